@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pairline.llm import decontaminate, mixing, sharding
+from pairline.llm import decontaminate, mixing, near_dup, sharding
 from pairline.llm.common import table
 
 
@@ -14,6 +14,29 @@ def op2_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(docs).rows.select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op3_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return near_dup.near_duplicates(docs).select("doc_id", F.col("n_shingles").cast("long"), "component_id", "kept")
+
+
+OP3_SQL = r"""
+WITH RECURSIVE words AS (
+  SELECT doc_id, coalesce(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+'), []) AS w FROM documents),
+shingles AS (
+  SELECT DISTINCT doc_id, w[i:i + least(5, len(w)) - 1] AS g
+  FROM words, unnest(range(1, greatest(1, len(w) - 4) + 1)) AS t(i) WHERE len(w) > 0),
+sizes AS (SELECT doc_id, count(*) AS n FROM shingles GROUP BY doc_id),
+met AS (
+  SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS k FROM shingles a JOIN shingles b ON a.g = b.g AND a.doc_id <> b.doc_id GROUP BY 1, 2),
+links AS (
+  SELECT a, b FROM met JOIN sizes x ON x.doc_id = a JOIN sizes y ON y.doc_id = b WHERE 100 * k >= 75 * (x.n + y.n - k)),
+reach(a, b) AS (
+  SELECT doc_id, doc_id FROM documents UNION SELECT reach.a, links.b FROM reach JOIN links ON reach.b = links.a)
+SELECT d.doc_id, coalesce(n, 0)::BIGINT AS n_shingles, component_id, d.doc_id = component_id AS kept
+FROM documents d LEFT JOIN sizes USING (doc_id) JOIN (SELECT a AS doc_id, min(b) AS component_id FROM reach GROUP BY a) USING (doc_id)
+"""
+
+
 def op5_shard(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     rows = sharding.shard_documents(docs.withColumn("text_crc32", F.crc32("text")))
@@ -46,8 +69,8 @@ FROM docs LEFT JOIN hits USING (r) LEFT JOIN named USING (r)
 
 
 def queries() -> dict:
-    return {"op2_mix": op2_mix, "op5_shard": op5_shard, "op10_decontaminate": op10_decontaminate}
+    return {"op2_mix": op2_mix, "op3_near_duplicates": op3_near_duplicates, "op5_shard": op5_shard, "op10_decontaminate": op10_decontaminate}
 
 
 def oracle_sql() -> dict:
-    return {"op10_decontaminate": OP10_SQL}
+    return {"op3_near_duplicates": OP3_SQL, "op10_decontaminate": OP10_SQL}
