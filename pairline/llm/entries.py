@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pairline.llm import decontaminate, mixing, near_dup, sharding
+from pairline.llm import decontaminate, mixing, near_dup, sharding, toxicity
 from pairline.llm.common import table
 
 
@@ -43,6 +43,12 @@ def op5_shard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
+def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    rows = toxicity.toxicity(docs, table(spark, sf_dir, "labels"))
+    return rows.select("doc_id", "held_out", "score", "predicted", F.size("spans").cast("long").alias("n_spans"))
+
+
 def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return decontaminate.annotate(docs, table(spark, sf_dir, "benchmark")).drop("text")
@@ -69,7 +75,7 @@ FROM docs LEFT JOIN hits USING (r) LEFT JOIN named USING (r)
 
 
 def queries() -> dict:
-    return {"op2_mix": op2_mix, "op3_near_duplicates": op3_near_duplicates, "op5_shard": op5_shard, "op10_decontaminate": op10_decontaminate}
+    return {"op2_mix": op2_mix, "op3_near_duplicates": op3_near_duplicates, "op5_shard": op5_shard, "op9_toxicity": op9_toxicity, "op10_decontaminate": op10_decontaminate}
 
 
 def oracle_sql() -> dict:
