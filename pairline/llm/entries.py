@@ -5,10 +5,15 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pairline.llm import decontaminate, mixing, near_dup, sharding, toxicity
+from pairline.llm import ann, decontaminate, mixing, near_dup, sharding, toxicity
 from pairline.llm.common import table
 
 
+def op1_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
+    return ann.nearest(rows, rows.where("vec_id % 20 = 0"), k=20).withColumnRenamed("id", "vec_id")
+
+
 def op2_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "source")
     return mixing.mix(docs).rows.select("doc_id", "size", "source_size", "target", "taken")
@@ -75,7 +80,7 @@ FROM docs LEFT JOIN hits USING (r) LEFT JOIN named USING (r)
 
 
 def queries() -> dict:
-    return {"op2_mix": op2_mix, "op3_near_duplicates": op3_near_duplicates, "op5_shard": op5_shard, "op9_toxicity": op9_toxicity, "op10_decontaminate": op10_decontaminate}
+    return {"op1_nearest": op1_nearest, "op2_mix": op2_mix, "op3_near_duplicates": op3_near_duplicates, "op5_shard": op5_shard, "op9_toxicity": op9_toxicity, "op10_decontaminate": op10_decontaminate}
 
 
 def oracle_sql() -> dict:
