@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pairline.llm import ann, decontaminate, mixing, near_dup, sharding, toxicity
+from pairline.llm import ann, decontaminate, line_dedup, mixing, near_dup, sharding, token_counts, toxicity
 from pairline.llm.common import table
 
 
@@ -48,6 +48,28 @@ def op5_shard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
+def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "source")
+    rows = line_dedup.dedup_lines(docs)
+    return rows.select("doc_id", "n_lines", "n_removed", F.length("text").cast("long").alias("kept_chars"), F.md5("text").alias("kept_md5"))
+
+
+OP6_SQL = """
+WITH lines AS (SELECT source, unnest(string_split(text, chr(10))) AS line FROM documents),
+common AS (SELECT line FROM lines WHERE trim(line) <> '' GROUP BY line HAVING count(DISTINCT source) >= 8),
+cut AS (
+  SELECT doc_id, string_split(text, chr(10)) AS own, list_filter(string_split(text, chr(10)), lambda x: NOT list_contains(gone, x)) AS rest
+  FROM documents, (SELECT coalesce(list(line), []) AS gone FROM common))
+SELECT doc_id, len(own)::BIGINT AS n_lines, (len(own) - len(rest))::BIGINT AS n_removed, length(array_to_string(rest, chr(10)))::BIGINT AS kept_chars, md5(array_to_string(rest, chr(10))) AS kept_md5
+FROM cut
+"""
+
+
+def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return token_counts.count_tokens(docs, ["text"]).drop("text")
+
+
 def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     rows = toxicity.toxicity(docs, table(spark, sf_dir, "labels"))
@@ -80,8 +102,8 @@ FROM docs LEFT JOIN hits USING (r) LEFT JOIN named USING (r)
 
 
 def queries() -> dict:
-    return {"op1_nearest": op1_nearest, "op2_mix": op2_mix, "op3_near_duplicates": op3_near_duplicates, "op5_shard": op5_shard, "op9_toxicity": op9_toxicity, "op10_decontaminate": op10_decontaminate}
+    return {"op1_nearest": op1_nearest, "op2_mix": op2_mix, "op3_near_duplicates": op3_near_duplicates, "op5_shard": op5_shard, "op6_line_dedup": op6_line_dedup, "op8_token_counts": op8_token_counts, "op9_toxicity": op9_toxicity, "op10_decontaminate": op10_decontaminate}
 
 
 def oracle_sql() -> dict:
-    return {"op3_near_duplicates": OP3_SQL, "op10_decontaminate": OP10_SQL}
+    return {"op3_near_duplicates": OP3_SQL, "op6_line_dedup": OP6_SQL, "op10_decontaminate": OP10_SQL}
