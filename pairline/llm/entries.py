@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pairline.llm import ann, decontaminate, line_dedup, mixing, near_dup, sharding, token_counts, toxicity
+from pairline.llm import ann, decontaminate, licence_scan, line_dedup, mixing, near_dup, secret_scan, sharding, token_counts, toxicity
 from pairline.llm.common import table
 
 
@@ -42,6 +42,12 @@ FROM documents d LEFT JOIN sizes USING (doc_id) JOIN (SELECT a AS doc_id, min(b)
 """
 
 
+def op4_licences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    rows = licence_scan.scan(docs).withColumn("families", F.array_join("families", ","))
+    return rows.select("doc_id", "n_paragraphs", "n_licences", "families", F.size("findings").cast("long").alias("n_predicted"))
+
+
 def op5_shard(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     rows = sharding.shard_documents(docs.withColumn("text_crc32", F.crc32("text")))
@@ -65,6 +71,10 @@ FROM cut
 """
 
 
+def op7_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secret_scan.find_secrets(table(spark, sf_dir, "documents").select("doc_id", "text", "source"))
+
+
 def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return token_counts.count_tokens(docs, ["text"]).drop("text")
@@ -102,7 +112,7 @@ FROM docs LEFT JOIN hits USING (r) LEFT JOIN named USING (r)
 
 
 def queries() -> dict:
-    return {"op1_nearest": op1_nearest, "op2_mix": op2_mix, "op3_near_duplicates": op3_near_duplicates, "op5_shard": op5_shard, "op6_line_dedup": op6_line_dedup, "op8_token_counts": op8_token_counts, "op9_toxicity": op9_toxicity, "op10_decontaminate": op10_decontaminate}
+    return {"op1_nearest": op1_nearest, "op2_mix": op2_mix, "op3_near_duplicates": op3_near_duplicates, "op4_licences": op4_licences, "op5_shard": op5_shard, "op6_line_dedup": op6_line_dedup, "op7_secrets": op7_secrets, "op8_token_counts": op8_token_counts, "op9_toxicity": op9_toxicity, "op10_decontaminate": op10_decontaminate}
 
 
 def oracle_sql() -> dict:
