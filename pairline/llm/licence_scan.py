@@ -36,7 +36,7 @@ TEMPLATES = {
 }
 NONE = "none"
 CLASSES = [NONE, *sorted(TEMPLATES)]
-FEATURES, WORD = 1 << 14, r"[\p{L}\p{N}]+"
+FEATURES, WORD = 1 << 12, r"[\p{L}\p{N}]+"
 #: Documents whose paragraphs are sampled, about; template words that a labelled and a confirmed paragraph must have; wrong predictions allowed.
 SAMPLE_DOCS, LABEL_COVER, CONFIRM_COVER, WRONG = 1500, 0.95, 0.75, 0.01
 
@@ -99,8 +99,8 @@ def predict(model: LogisticRegressionModel, rows: DataFrame) -> DataFrame:
 def train(spark: SparkSession, docs: DataFrame, text_col: str = "text") -> tuple[LogisticRegressionModel, float]:
     """The classifier and the least probability at which a family is believed."""
     rows = cut(training_rows(spark, docs, text_col), "licences")
-    learner = LogisticRegression(maxIter=40, regParam=0.002, elasticNetParam=0.3, family="multinomial")
-    model = learner.fit(featurise(rows.where("not held")))
+    learner = LogisticRegression(maxIter=30, regParam=0.002, elasticNetParam=0.3, family="multinomial")
+    model = learner.fit(featurise(rows.where("not held").coalesce(4)))
     bars = [0.3, 0.4, 0.5, 0.6, 0.7, 0.8, 0.9]
     tried = predict(model, rows.where("held")).where(F.col("family") != NONE)
     right = F.element_at(F.array(*map(F.lit, CLASSES)), (F.col("label") + 1).cast("int")) == F.col("family")
