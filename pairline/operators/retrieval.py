@@ -46,7 +46,7 @@ def knn_exact(pool: DataFrame, queries: DataFrame, k: int, id_col: str = "img_id
 
     parts = max(1, -(-pool.count() // 4096))
     left = asked.withColumn("block", F.pmod(F.xxhash64("query_id"), F.lit(blocks))).withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))))
-    right = pool.select(F.col(id_col).alias("id"), F.col(vector_col).alias("v")).withColumn("part", F.pmod(F.xxhash64("id"), F.lit(parts)).cast("int")).withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).cast("long"))
+    right = pool.select(F.col(id_col).alias("id"), F.col(vector_col).alias("v")).withColumn("part", F.pmod(F.xxhash64("id"), F.lit(parts)).cast("int")).withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long"))))
     found = left.groupBy("block", "part").cogroup(right.groupBy("block", "part")).applyInPandas(best, schema)
     return _ranked(found, k).select("query_id", "rank", "id", "score")
 
