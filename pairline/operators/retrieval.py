@@ -84,7 +84,7 @@ def gather_by_id(neighbours: DataFrame, attributes: DataFrame, id_col: str, colu
     joined = neighbours.join(attributes.select(F.col(id_col).alias("id"), *columns), "id")
     rows = F.array_sort(F.collect_list(F.struct("rank", "id", *columns)))
     grouped = joined.groupBy("query_id").agg(rows.alias("rows"))
-    return grouped.select("query_id", F.transform("rows", lambda r: r["id"]).alias("ids"), *[F.transform("rows", lambda r, c=c: r[c]).alias(c) for c in columns])
+    return grouped.select("query_id", F.col("rows.id").alias("ids"), *[F.col(f"rows.{c}").alias(c) for c in columns])
 
 
 def mean_pool(tokens: DataFrame, key: str, vector_col: str = "embedding") -> DataFrame:

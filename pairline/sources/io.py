@@ -35,7 +35,7 @@ def read_prompts_jsonl(spark: SparkSession, path: str) -> DataFrame:
 
 def read_prompt_folders(spark: SparkSession, root: str, pattern: str = "*/prompt.json") -> DataFrame:
     """(folder, the triple, global_index, local_index, gpu_rank) of each prompt.json, bare or wrapped."""
-    whole = spark.read.option("wholetext", True).text(f"{root}/{pattern}").select("value", F.col("_metadata.file_path").alias("path"))
+    whole = spark.read.text(f"{root}/{pattern}", wholetext=True).select("value", F.col("_metadata.file_path").alias("path"))
     wrapped = F.from_json("value", f"prompt struct<{_struct(TRIPLE)}>, global_index bigint, local_index bigint, gpu_rank int")
     parsed = whole.select(folder_of(F.col("path")).alias("folder"), wrapped.alias("w"), F.from_json("value", TRIPLE).alias("b"))
     triple = [F.coalesce(F.col(f"w.prompt.{c}"), F.col(f"b.{c}")).alias(c) for c in ("original_caption", "edit_instruction", "resulting_caption")]
@@ -129,6 +129,6 @@ def append_history(df: DataFrame, path: str) -> None:
 
 def template_table(spark: SparkSession, root: str) -> DataFrame:
     """(name, text) of a folder of templates; the name is the relative path without suffix, separators as underscores."""
-    files = spark.read.option("wholetext", True).option("recursiveFileLookup", True).text(root).select("value", F.col("_metadata.file_path").alias("path"))
+    files = spark.read.text(root, wholetext=True, recursiveFileLookup=True).select("value", F.col("_metadata.file_path").alias("path"))
     tail = F.regexp_replace(F.regexp_replace("path", "^[a-z]+:/*", "/"), "^" + root.replace("file:", "").rstrip("/") + "/", "")
     return files.select(F.replace(F.regexp_replace(tail, r"\.[^./]+$", ""), F.lit("/"), F.lit("_")).alias("name"), F.col("value").alias("text"))
