@@ -1,0 +1,258 @@
+"""Mixing, sharding, line dedup, licences, secrets, tokens, toxicity and the pipeline."""
+
+import re
+import zlib
+from collections import Counter, defaultdict
+
+import numpy as np
+import pytest
+from compare import SF, same
+from pyspark.sql import functions as F
+
+import corpus_pipeline
+from pairline.llm import entries, licence_scan, line_dedup, mixing, secret_scan, sharding, token_counts, toxicity
+
+DOCS = f"{SF}/documents.parquet"
+
+
+def sizes_of(rows):
+    return {r.doc_id: len(re.findall(r"[^\x20\x09-\x0D]+", r.text or "")) for r in rows}
+
+
+def brute_targets(sizes):
+    """sizes: source -> words; weights 3, 1, 2 in code point order, null last; the excess over twice the size is reshared."""
+    order = sorted(sizes, key=lambda s: (s is None, s or ""))
+    weight = {s: (3, 1, 2)[i % 3] for i, s in enumerate(order)}
+    wanted, capped = 1.5 * sum(sizes.values()), {}
+    while True:
+        rest = [s for s in order if s not in capped]
+        left, total = wanted - sum(capped.values()), sum(weight[s] for s in rest)
+        over = [s for s in rest if left * weight[s] / total > 2 * sizes[s]] if rest else []
+        if not over:
+            return capped | {s: left * weight[s] / total for s in rest}
+        capped |= {s: 2.0 * sizes[s] for s in over}
+
+
+def test_mix_targets_and_shares(spark):
+    rows = {r.doc_id: r for r in spark.read.parquet(DOCS).collect()}
+    sizes, got = sizes_of(rows.values()), entries.op2_mix(spark, SF).collect()
+    assert {r.doc_id: r.size for r in got} == sizes
+    per_source = Counter()
+    for i, n in sizes.items():
+        per_source[rows[i].source] += n
+    targets, taken = brute_targets(per_source), Counter()
+    for r in got:
+        assert 0 <= r.taken <= 2 * r.size and r.source_size == per_source[rows[r.doc_id].source]
+        assert r.target == pytest.approx(targets[rows[r.doc_id].source], rel=1e-9)
+        taken[rows[r.doc_id].source] += r.taken
+    assert all(abs(taken[s] - t) <= 1 for s, t in targets.items())
+    again = entries.op2_mix(spark, SF).collect()
+    assert sorted(map(tuple, got)) == sorted(map(tuple, again))
+
+
+def test_mix_awkward(spark, awkward):
+    m = mixing.mix(awkward, block_words=16)
+    rows = m.rows.collect()
+    assert len(rows) == awkward.count()
+    assert all(r.taken <= 2 * r.size for r in rows) and all(r.taken == 0 for r in rows if not r.size)
+    targets = brute_targets({s: sum(r.size for r in rows if r.source == s) for s in {r.source for r in rows}})
+    for s, t in targets.items():
+        assert abs(sum(r.taken for r in rows if r.source == s) - t) <= 1
+    slots = [r.place for r in m.slots.orderBy("slot").collect()]
+    assert len(slots) > 50
+    first = Counter(slots[: len(slots) // 2])
+    for place, n in Counter(slots).items():  # each half holds about half of every source
+        assert abs(first[place] - n / 2) <= 4
+    mixed = mixing.mixed_documents(awkward)
+    assert mixed.columns == awkward.columns
+    assert mixing.mixed_documents(awkward.limit(0)).count() == 0
+
+
+def test_golden_points_meet_every_source(spark):
+    rows = [(f"s{i:03d}", i % 7 == 0 and 5000 or 3) for i in range(200)]
+    docs = spark.createDataFrame([(i, " ".join(["w"] * n), s) for i, (s, n) in enumerate(rows)], "doc_id long, text string, source string")
+    m = mixing.mix(docs, block_words=4)
+    needed = m.sources.agg(F.expr("count_if(goal > 0)")).first()[0]
+    assert m.slots.select("place").distinct().count() == needed
+    off = m.rows.groupBy("source").agg((F.sum("taken") - F.first("target")).alias("d")).where("abs(d) > 1")
+    assert off.count() == 0
+
+
+# ---- sharding -------------------------------------------------------------------------------
+
+
+def check_shards(rows, shards, tolerance):
+    total, by = sum(r.size for r in rows), defaultdict(list)
+    for r in rows:
+        by[r.shard].append(r)
+    assert set(by) <= set(range(shards))
+    for own in by.values():
+        assert sorted(r.slot for r in own) == list(range(len(own)))
+    largest = max(r.size for r in rows)
+    for k in range(shards):
+        assert abs(sum(r.size for r in by[k]) - total / shards) <= 2 * tolerance * total / shards + 2 * largest
+
+
+def test_shards_of_documents(spark):
+    texts = {r.doc_id: r.text for r in spark.read.parquet(DOCS).collect()}
+    rows = entries.op5_shard(spark, SF).collect()
+    assert {r.doc_id: (r.size, r.text_crc32, r.law, r.grown_shard) for r in rows} == {i: (len(t.encode()) + 1, zlib.crc32(t.encode()), "bytes", None) for i, t in texts.items()}
+    check_shards(rows, 16, 0.06)
+
+
+def test_hot_group_is_cut_and_others_stay_whole(spark):
+    df = spark.range(6000).select(F.col("id").alias("doc_id"), F.when(F.col("id") < 2500, "hot " * 20).otherwise(F.concat(F.lit("text "), (F.col("id") % 1500).cast("string"), F.lit("x" * 60))).alias("text"))
+    rows = sharding.shard_documents(df, 8).collect()
+    check_shards(rows, 8, 0.06)
+    where = defaultdict(set)
+    for r in rows:
+        where[r.text].add(r.shard)
+    assert [t[:3] for t, s in where.items() if len(s) > 1] == ["hot"]
+
+
+def test_shard_awkward(spark, awkward):
+    out = sharding.shard_documents(awkward, 4)
+    rows = out.collect()
+    assert set(out.columns) == {*awkward.columns, "slot"} and len(rows) == awkward.count()
+    assert all(r.size == (len(r.text.encode()) if r.text else 0) + 1 for r in rows)
+    assert len({r.shard for r in rows if r.doc_id == 1}) == 1
+    assert sharding.shard_documents(awkward.limit(0), 4).count() == 0
+
+
+# ---- lines, licences, secrets, tokens -------------------------------------------------------
+
+
+def test_line_dedup_sql(spark, duck):
+    same(entries.op6_line_dedup(spark, SF), duck.execute(entries.OP6_SQL).df())
+
+
+def test_line_dedup_awkward(spark, awkward):
+    docs = [(i, f"own {i}\nshared\n\n  \nnear\nlast", f"s{i % 9}") for i in range(18)] + [(100 + i, "near\nonly seven", f"s{i}") for i in range(7)] + [(200, None, "s1"), (201, "shared", None), (None, "shared", "s1")]
+    df = spark.createDataFrame(docs, "doc_id long, text string, source string").withColumn("n_lines", F.lit("clash"))
+    got = {(r.doc_id, r.text, r.n_lines, r.n_removed) for r in line_dedup.dedup_lines(df, min_sites=8).collect()}
+    assert (0, "own 0\n\n  ", 6, 3) in got and (100, "only seven", 2, 1) in got
+    assert (200, None, 0, 0) in got and (201, "", 1, 1) in got and (None, "", 1, 1) in got
+    assert line_dedup.dedup_lines(awkward).count() == awkward.count()
+    assert line_dedup.dedup_lines(awkward.limit(0)).count() == 0
+
+
+def test_licences_of_documents(spark):
+    marks = {"Licensed under the Apache License, Version 2.0.": "apache", "This work is licensed under the GNU General Public License, version 3.": "gpl", "Released under the MIT License.": "mit", "Licensed under CC BY-NC 4.0.": "cc-by-nc", "All rights reserved.": "reserved"}
+    texts = {r.doc_id: r.text for r in spark.read.parquet("/root/testdata/sf0.01/documents.parquet").collect()}
+    got = {r.doc_id: r for r in entries.op4_licences(spark, "/root/testdata/sf0.01").collect()}
+    assert set(got) == set(texts)
+    right = 0
+    for i, t in texts.items():
+        want = ",".join(sorted({f for m, f in marks.items() if m in t.split("\n")}))
+        right += got[i].families == want
+        assert got[i].n_paragraphs == len(t.split("\n"))
+    assert right >= 0.99 * len(texts)
+
+
+def test_licences_awkward(spark, awkward):
+    out = licence_scan.scan(awkward)
+    assert out.count() == awkward.count() and out.where("n_licences > 0").count() == 0
+    assert licence_scan.scan(awkward.limit(0)).count() == 0
+
+
+def test_secrets_of_documents(spark):
+    planted = re.compile(r'AKIA[0-9A-Z]{16}|(?<=password=)[0-9a-f]{18}|(?<=token = ")[0-9a-f]{40}')
+    want = {(r.doc_id, *m.span()) for r in spark.read.parquet("/root/testdata/sf0.01/documents.parquet").collect() for m in planted.finditer(r.text)}
+    got = {(r.doc_id, r.start, r.end) for r in entries.op7_secrets(spark, "/root/testdata/sf0.01").collect()}
+    assert len(want & got) >= 0.95 * len(want) and len(got - want) <= 0.1 * len(want) + 1
+
+
+def test_secrets_awkward(spark, awkward):
+    assert secret_scan.find_secrets(awkward).count() == 0
+    assert secret_scan.find_secrets(awkward.limit(0)).count() == 0
+
+
+def test_tokens_add_up_and_round_trip(spark):
+    docs = spark.read.parquet(DOCS).limit(60)
+    encoder = token_counts.Encoder()
+    for r in token_counts.count_tokens(docs, ["text", "source"]).collect():
+        whole = r.text + "\n" + r.source
+        ids = encoder.encoding.encode_ordinary(whole)
+        assert encoder.encoding.decode(ids) == whole
+        assert r.n_tokens == len(ids) == sum(r.section_tokens) and r.n_sections == r.text.count("\n") + 2
+        raw, at, want = whole.encode(), 0, [0] * r.n_sections
+        for token in ids:  # by the first byte
+            want[raw[:at].count(b"\n")] += 1
+            at += len(encoder.encoding.decode_single_token_bytes(token))
+        assert r.section_tokens == want
+
+
+def test_token_rules_and_awkward(spark, awkward):
+    ends, starts = np.array([3, 9, 10]), np.array([0, 4, 5])
+    assert [a.tolist() for a in (token_counts.attribute(ends, starts, "first")[0], token_counts.attribute(ends, starts, "most")[0])] == [[2, 0, 1], [1, 0, 2]]
+    assert token_counts.attribute(ends, starts, "most")[1] == 1
+    got = token_counts.count_tokens(awkward, ["text"]).collect()
+    assert len(got) == awkward.count() and all(r.n_tokens == 0 and r.section_tokens == [0] for r in got if not r.text)
+    assert token_counts.count_tokens(awkward.limit(0), ["text"]).count() == 0
+
+
+# ---- toxicity -------------------------------------------------------------------------------
+
+
+def test_scan_agrees_with_plain_recursion():
+    rng = np.random.default_rng(2)
+    field = toxicity.Field({"weights": {"bad": 4.0, "^ugl": 3.0}, "bias": -2.0, "trans": [3.0, 0.3, 0.5, 1.5], "start": 0.2})
+    texts = [[str(w) for w in rng.choice(["bad", "ugly", "fine", "day"], n)] for n in (0, 1, 2, 57, 300)]
+    t = np.array(field.__dict__["t00"]), field.t01, field.t10, field.t11
+    for words, got in zip(texts, field.marginals(texts), strict=True):
+        n = len(words)
+        e = [np.array([1.0, np.exp(field.emission(w))]) for w in words]
+        move = np.array([[t[0], t[1]], [t[2], t[3]]], float)
+        ahead, back = [], [np.ones(2)]
+        for i in range(n):
+            a = e[i] * (np.array([1.0, field.start]) if not i else ahead[-1] @ move)
+            ahead.append(a / a.sum())
+        for i in range(n - 1, 0, -1):
+            b = move @ (e[i] * back[0])
+            back.insert(0, b / b.sum())
+        want = [float((a * b / (a * b).sum())[1]) for a, b in zip(ahead, back, strict=False)] if n else []
+        assert np.allclose(got, want, atol=1e-9)
+
+
+def test_held_out_accuracy(spark):
+    sf = "/root/testdata/sf0.1"
+    labels = {r.doc_id: r.toxic for r in spark.read.parquet(f"{sf}/labels.parquet").collect()}
+    rows = entries.op9_toxicity(spark, sf).collect()
+    assert all(r.held_out == (zlib.crc32(str(r.doc_id).encode()) % 4 == 2) and r.predicted == int(r.score >= 0.3) and 0 <= r.score <= 1 for r in rows)
+    held = [(r.predicted, labels[r.doc_id]) for r in rows if r.held_out and r.doc_id in labels]
+    counts = Counter(held)
+    assert counts[1, 1] >= 0.85 * (counts[1, 1] + counts[0, 1])
+    assert counts[1, 0] <= 0.03 * (counts[1, 0] + counts[0, 0])
+
+
+def test_toxicity_awkward(spark, awkward):
+    labels = spark.createDataFrame([(1, 1), (1, None), (4, 0), (None, 1), (6, 0), (99, 1)], "doc_id long, toxic int")
+    out = toxicity.toxicity(awkward, labels)
+    assert out.count() == awkward.count()
+    assert toxicity.toxicity(awkward, labels.limit(0)).where("score != 0").count() == 0
+    assert toxicity.toxicity(awkward.limit(0), labels).count() == 0
+
+
+def test_spans_point_at_words():
+    got = toxicity.offending("You utter FOOL, fool and cad", np.array([0.1, 0.2, 0.9, 0.95, 0.1, 0.7]))
+    assert [("You utter FOOL, fool and cad"[s["start"] : s["end"]], s["marginal"]) for s in got] == [("FOOL, fool", 0.95), ("cad", 0.7)]
+
+
+# ---- pipeline -------------------------------------------------------------------------------
+
+
+def test_pipeline_by_stages(spark):
+    docs = spark.read.parquet(DOCS)
+    toxic = {r.doc_id for r in entries.op9_toxicity(spark, SF).where("predicted = 1").collect()}
+    kept = corpus_pipeline.reject_toxic(spark, docs, SF)
+    assert kept.columns == docs.columns and {r.doc_id for r in kept.collect()} == {r.doc_id for r in docs.collect()} - toxic
+    out = corpus_pipeline.run(spark, SF)
+    assert set(docs.columns) < set(out.columns)
+    rows = out.collect()
+    whole = {r.doc_id: r.text for r in docs.collect()}
+    assert not {r.doc_id for r in rows} & toxic
+    partial = [r for r in rows if r.text != whole[r.doc_id]]
+    assert len(partial) <= len({r.source for r in rows})
+    assert all(whole[r.doc_id].split()[: len(r.text.split())] == r.text.split() for r in partial)
+    assert max(Counter(r.doc_id for r in rows).values()) <= 2
+    check_shards(rows, 16, 0.1)
