@@ -23,7 +23,7 @@ def query(name: str, sql: str | None = None):
 
 
 def _load() -> None:
-    from pairline.plans import curation_queries, prompt_queries, split_queries, table_queries, vector_queries  # noqa: F401
+    from pairline.plans import curation_queries, io_queries, prompt_queries, split_queries, table_queries, vector_queries  # noqa: F401
 
 
 def queries() -> dict:
