@@ -117,7 +117,7 @@ def scan(docs: DataFrame, text_col: str = "text") -> DataFrame:
     added = ("n_paragraphs", "n_licences", "families", "findings")
     kept = docs.select(*[c for c in docs.columns if c not in added])
     model, bar = train(spark, docs, text_col)
-    found = predict(model, paragraphs(docs, text_col).dropDuplicates(["t1", "t2", "place"])).where((F.col("family") != NONE) & (F.col("probability") >= bar))
+    found = predict(model, paragraphs(docs, text_col)).where((F.col("family") != NONE) & (F.col("probability") >= bar)).dropDuplicates(["t1", "t2", "place"])
     rated = found.withColumn("confirmed", cover(F.col("words"), F.col("family")) >= CONFIRM_COVER)
     per_text = rated.groupBy("t1", "t2").agg(F.array_sort(F.collect_list(F.struct("place", "family", "probability", "confirmed"))).alias("findings"))
     text = F.col(text_col)
