@@ -2,12 +2,13 @@
 
 1. Each text becomes the set of its shingles as 64-bit hashes; 128 universal hash minima of the set
    give 32 bands of 4 and a sketch of 256 bits. Texts with one set are one node from here on.
-2. Nodes that share a band are candidates. Each is first compared with the smallest node of its
-   buckets: where sketch and set sizes allow a similarity of 0.75, the likeliest partner is confirmed on the full sets.
-3. Alternating large-star and small-star gives components. Only pairs of a bucket whose nodes are still
-   in different components are left; those that sketch and sizes allow are confirmed too, all of them, and components are
-   taken again. So no link between different texts is lost, and a large group of copies is
-   never paired within itself.
+2. Nodes that share a band are candidates. In each of a few turns a hub is drawn for every band, and of the pairs of
+   its members with hubs of other components that sketch and set sizes allow, each component confirms
+   the likeliest on the full sets; alternating large-star and small-star joins the components.
+3. Only pairs of a band whose nodes are still in different components are left. All of them are tried, in the
+   join that meets them: by sketch, by sizes and by their sets in 32 bits, which never understate what
+   two sets have in common; what is left is confirmed on the full sets, and components are taken again. So no link
+   between different texts is lost, and a large group of copies is never paired within itself.
 
 A pair at exactly 0.75 misses all bands with probability 5e-6, and the sketch bound with 3e-6.
 
@@ -36,6 +37,8 @@ HASHES, BAND_ROWS = 128, 4
 BANDS = HASHES // BAND_ROWS
 #: Bits of 256 in which the sketches of a pair may differ: 32 are expected at 0.75, with a deviation of 6.3.
 SKETCH_BITS = 60
+#: Turns of single trial pairs for each component before all pairs that are left are tried.
+TURNS = 2
 LOWER_BYTES = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
 _MULTIPLIER = np.uint64(0x9E3779B97F4A7C15)
 _RNG = np.random.default_rng(20240229)
@@ -118,8 +121,7 @@ def fingerprints(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 def _likely(a: str, b: str) -> Column:
     """Set sizes and sketches allow the similarity."""
     n, m = F.col(f"{a}.n_shingles"), F.col(f"{b}.n_shingles")
-    apart = sum((F.bit_count(F.col(f"{a}.s{i}").bitwiseXOR(F.col(f"{b}.s{i}"))) for i in range(1, 4)), F.bit_count(F.col(f"{a}.s0").bitwiseXOR(F.col(f"{b}.s0"))))
-    return (100 * F.least(n, m) >= PERCENT * F.greatest(n, m)) & (apart <= SKETCH_BITS)
+    return (100 * F.least(n, m) >= PERCENT * F.greatest(n, m)) & (_apart(a, b) <= SKETCH_BITS)
 
 
 def _similar(pairs: DataFrame) -> DataFrame:
@@ -140,46 +142,118 @@ def _similar(pairs: DataFrame) -> DataFrame:
     return pairs.mapInArrow(run, "a long, b long")
 
 
-def confirm(pairs: DataFrame, prints: DataFrame, docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """The pairs of nodes (a, b) whose full shingle sets have the similarity; one text stands for a node."""
-    wanted = pairs.select(F.col("a").alias("node")).union(pairs.select(F.col("b").alias("node"))).distinct()
-    keys = prints.join(wanted, "node").groupBy("node").agg(F.min("text_key").alias("text_key"))
+def _texts(wanted: DataFrame, prints: DataFrame, docs: DataFrame, text_col: str) -> DataFrame:
+    """(node, body): one text for each wanted node."""
+    keys = prints.join(wanted, "node", "left_semi").groupBy("node").agg(F.min("text_key").alias("text_key"))
     body = docs.select(F.xxhash64(F.col(text_col)).alias("text_key"), F.col(text_col).cast("binary").alias("body"))
-    texts = cut(keys.join(body, "text_key").dropDuplicates(["node"]).select("node", "body"), "texts")
+    return keys.join(body, "text_key").dropDuplicates(["node"]).select("node", "body")
+
+
+def _short_sets(texts: DataFrame, placed: DataFrame) -> DataFrame:
+    """(node, short): the shingle sets of placed nodes in 32 bits, to rule out pairs inside the join that meets them."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sets = [np.unique((shingle_set(body.as_py()) >> np.uint64(32)).astype(np.uint32)).view(np.int32) for body in batch.column(1)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sets, pa.list_(pa.int32()))], ["node", "short"])
+
+    return texts.join(placed.select("node").distinct(), "node", "left_semi").mapInArrow(run, "node long, short array<int>")
+
+
+def confirm(pairs: DataFrame, texts: DataFrame) -> DataFrame:
+    """The pairs of nodes (a, b) whose full shingle sets have the similarity; texts: (node, body)."""
     left = texts.select(F.col("node").alias("a"), F.col("body").alias("text_a"))
     right = texts.select(F.col("node").alias("b"), F.col("body").alias("text_b"))
     return _similar(pairs.join(left, "a").join(right, "b").select("a", "b", "text_a", "text_b"))
 
 
+def _apart(a: str, b: str) -> Column:
+    """Differing bits of two sketches."""
+    bits = [F.bit_count(F.col(f"{a}.s{i}").bitwiseXOR(F.col(f"{b}.s{i}"))) for i in range(4)]
+    return bits[0] + bits[1] + bits[2] + bits[3]
+
+
+def _star_pairs(placed: DataFrame, near: DataFrame, turn: int) -> DataFrame:
+    """For each component its likeliest pair (a, b) with the hub of a band.
+
+    A band's hub is drawn anew in each turn, from its largest component, so that large components
+    meet each other; there are at most as many pairs as components.
+    """
+    sizes = placed.select("node", "component").distinct().groupBy("component").agg(F.count("*").alias("members"))
+    sized = placed.join(sizes, "component")
+    order = F.struct("members", "component", F.xxhash64("node", F.lit(turn)))
+    hubs = sized.groupBy("band").agg(F.max_by("node", order).alias("hub"), F.max_by("component", order).alias("home"))
+    met = placed.join(hubs, "band").where("component != home").select("node", "component", "hub").distinct()
+    a, b = near.alias("a"), near.alias("b")
+    rated = met.join(a, met.node == F.col("a.node")).join(b, met.hub == F.col("b.node")).where(_likely("a", "b")).select(met.node, "hub", "component", _apart("a", "b").alias("apart"))
+    order = F.struct("apart", "node", "hub")
+    return rated.groupBy("component").agg(F.min_by("node", order).alias("a"), F.min_by("hub", order).alias("b")).select("a", "b").distinct()
+
+
+def _placed(members: DataFrame, parts: DataFrame) -> DataFrame:
+    """(node, band, component) of the bands whose nodes are in different components."""
+    named = members.join(parts, "node", "left").select("node", "band", F.coalesce("component", "node").alias("component"))
+    mixed = named.groupBy("band").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low < high").select("band")
+    return named.join(mixed, "band", "left_semi")
+
+
+def _one_each(rest: DataFrame) -> DataFrame:
+    """Of pairs (a, b, ca, cb) one for each component."""
+    order = F.struct("a", "b")
+    each = [rest.groupBy(c).agg(F.min_by("a", order).alias("a"), F.min_by("b", order).alias("b")).select("a", "b") for c in ("ca", "cb")]
+    return each[0].union(each[1]).distinct()
+
+
+def _still_apart(rest: DataFrame, parts: DataFrame) -> DataFrame:
+    """The pairs whose nodes are in different components, with these."""
+    at = rest.select("a", "b")
+    for end, name in (("a", "ca"), ("b", "cb")):
+        at = at.join(parts.select(F.col("node").alias(end), F.col("component").alias(name)), end, "left").withColumn(name, F.coalesce(name, end))
+    return at.where("ca != cb").select("a", "b", "ca", "cb")
+
+
+def _tree(parts: DataFrame) -> DataFrame:
+    return parts.where("node != component").select(F.col("node").alias("a"), F.col("component").alias("b"))
+
+
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, text_key, n_shingles, component_id, kept) of each document; kept: doc_id = component_id."""
     small_batches(docs.sparkSession)
     prints = cut(fingerprints(docs, id_col, text_col), "prints")
     nodes = prints.where("node is not null")
-    slim = nodes.select("node", "n_shingles", "s0", "s1", "s2", "s3").dropDuplicates(["node"])
     bands = nodes.select("node", F.explode("bands").alias("band"))
-    shared = bands.groupBy("band").agg(F.min("node").alias("hub"), F.max("node").alias("top")).where("hub < top").select("band", "hub")
-    members = cut(bands.join(shared, "band").distinct(), "members")
-    near = slim.join(members.select("node").distinct(), "node", "left_semi")
+    shared = bands.groupBy("band").agg(F.min("node").alias("low"), F.max("node").alias("high")).where("low < high").select("band")
+    members = cut(bands.join(shared, "band", "left_semi").distinct(), "members")
+    near = nodes.select("node", "n_shingles", "bands", "s0", "s1", "s2", "s3").join(members.select("node").distinct(), "node", "left_semi").dropDuplicates(["node"])
     near = cut(near, "near")
-
-    stars = members.where("node != hub").select("node", "hub").distinct()
-    a, b = near.alias("a"), near.alias("b")
-    apart = sum((F.bit_count(F.col(f"a.s{i}").bitwiseXOR(F.col(f"b.s{i}"))) for i in range(1, 4)), F.bit_count(F.col("a.s0").bitwiseXOR(F.col("b.s0"))))
-    rated = stars.join(a, stars.node == F.col("a.node")).join(b, stars.hub == F.col("b.node")).where(_likely("a", "b")).select(stars.node, stars.hub, apart.alias("apart"))
-    first = rated.groupBy("node").agg(F.min_by("hub", F.struct("apart", "hub")).alias("hub")).select(F.col("node").alias("a"), F.col("hub").alias("b"))
-    links = cut(confirm(cut(first, "pairs"), prints, docs, id_col, text_col), "links")
-
-    parts = cut(connected_components(links), "parts")
-    placed = members.join(parts, "node", "left").select("node", "band", F.coalesce("component", "node").alias("component"))
-    mixed = placed.groupBy("band").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low < high").select("band")
-    left = placed.join(mixed, "band", "left_semi").join(near, "node")
+    texts = cut(_texts(near.select("node"), prints, docs, text_col), "texts")
+
+    placed = members.withColumn("component", F.col("node"))
+    parts = None
+    for turn in range(TURNS):
+        pairs = cut(_star_pairs(placed, near.drop("bands"), turn), "pairs")
+        links = cut(confirm(pairs, texts), "links")
+        if links.isEmpty():
+            break
+        parts = cut(connected_components(links if parts is None else _tree(parts).union(links)), "parts")
+        placed = cut(_placed(members, parts), "placed")
+    if parts is None:
+        parts = cut(members.limit(0).select("node", F.col("node").alias("component")), "parts")
+
+    left = placed.join(near, "node").join(_short_sets(texts, placed), "node")
     a, b = left.alias("a"), left.alias("b")
-    rest = a.join(b, (F.col("a.band") == F.col("b.band")) & (F.col("a.component") < F.col("b.component")) & _likely("a", "b"))
-    rest = cut(rest.select(F.col("a.node").alias("a"), F.col("b.node").alias("b")).distinct(), "pairs")
-    more = confirm(rest, prints, docs, id_col, text_col)
-    tree = parts.where("node != component").select(F.col("node").alias("a"), F.col("component").alias("b"))
-    parts = cut(connected_components(tree.union(more)), "parts")
+    first = F.get(F.array_intersect(F.col("a.bands"), F.col("b.bands")), F.lit(0)) == F.col("a.band")  # a pair is met once, whatever bands it shares
+    met = F.size(F.array_intersect(F.col("a.short"), F.col("b.short"))) + F.col("a.n_shingles") - F.size("a.short")  # at least what the full sets have in common
+    enough = 100 * met >= PERCENT * (F.col("a.n_shingles") + F.col("b.n_shingles") - met)
+    rest = a.join(b, (F.col("a.band") == F.col("b.band")) & (F.col("a.component") < F.col("b.component")) & _likely("a", "b") & first & enough)
+    rest = cut(rest.select(F.col("a.node").alias("a"), F.col("b.node").alias("b"), F.col("a.component").alias("ca"), F.col("b.component").alias("cb")), "rest")
+    for turn in range(TURNS + 1):
+        if rest.isEmpty():
+            break
+        pairs = rest.select("a", "b") if turn == TURNS else cut(_one_each(rest), "pairs")
+        parts = cut(connected_components(_tree(parts).union(confirm(pairs, texts))), "parts")
+        if turn < TURNS:
+            rest = cut(_still_apart(rest.join(pairs, ["a", "b"], "left_anti"), parts), "rest")
 
     least = nodes.groupBy("node").agg(F.min("doc_id").alias("least")).join(parts, "node", "left").withColumn("component", F.coalesce("component", "node"))
     named = least.groupBy("component").agg(F.min("least").alias("component_id"))
