@@ -169,7 +169,7 @@ def replaced_words(spark, d):
 
 @query("align_captions")
 def align_captions(spark, d):
-    p = views.prompts(spark, d).select("prompt_idx", F.slice(tx.clean_tokens(F.col("original_caption")), 1, 60).alias("a"), F.slice(tx.clean_tokens(F.col("resulting_caption")), 1, 60).alias("b"))
+    p = views.prompts(spark, d).select("prompt_idx", tx.clean_tokens(F.col("original_caption")).alias("a"), tx.clean_tokens(F.col("resulting_caption")).alias("b"))
     return align.align_captions(p, "prompt_idx", "a", "b")
 
 

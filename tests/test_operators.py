@@ -107,6 +107,39 @@ def test_alignment_score_is_the_longest_common_subsequence(x, y):
     assert used == sorted(used) and all(x[m] == y[j] for j, m in enumerate(mapped) if m >= 0)
 
 
+@settings(max_examples=60, deadline=None)
+@given(st.lists(st.sampled_from("abcd"), max_size=40), st.lists(st.sampled_from("abcd"), max_size=40))
+def test_alignment_walks_back_by_the_tie_rule(x, y):
+    table = [[0] * (len(y) + 1) for _ in range(len(x) + 1)]
+    for i, a in enumerate(x, 1):
+        for j, b in enumerate(y, 1):
+            table[i][j] = max(table[i][j - 1], table[i - 1][j], table[i - 1][j - 1] + (1 if a == b else -1))
+    mapped, i, j = [-1] * len(y), len(x), len(y)
+    while j:
+        if table[i][j] == table[i][j - 1]:
+            j -= 1
+        elif i and table[i][j] == table[i - 1][j]:
+            i -= 1
+        else:
+            i, j = i - 1, j - 1
+            mapped[j] = i
+    assert align.align(x, y) == (table[-1][-1], mapped)
+
+
+def test_long_captions_are_aligned_whole(spark):
+    from compare import SF
+
+    from pairline.plans import registry, views
+
+    words = {r.prompt_idx: (r.a, r.b) for r in views.prompts(spark, SF).select("prompt_idx", tx.clean_tokens(F.col("original_caption")).alias("a"), tx.clean_tokens(F.col("resulting_caption")).alias("b")).collect()}
+    got = {r.prompt_idx: (r.score, r.mapping) for r in registry.queries()["align_captions"](spark, SF).collect()}
+    assert got.keys() == words.keys() and any(len(a) > 60 and len(b) > 60 for a, b in words.values())
+    assert all(len(got[k][1]) == len(b) for k, (_, b) in words.items())
+    tail = [f"w{i}" for i in range(5000)]
+    score, mapped = align.align(["x"] * 100 + tail, ["y"] * 70 + tail)
+    assert score == 5000 and mapped == [-1] * 70 + list(range(100, 5100))
+
+
 def test_index_and_running_total(spark):
     df = spark.range(1000).select(F.col("id"), (F.col("id") * 7 % 13).alias("v"))
     indexed = index_rows(df, F.desc("id"))
