@@ -138,13 +138,11 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
 
 
 def mixed_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
-    """The documents of the mix, with the columns of docs: one row for each time a document is taken.
+    """The documents of the mix, with the columns of docs: one row for each time a document is taken, always with its whole text.
 
-    A document of which only a part is taken (the last of a source) has the first words, parted by single blanks.
+    The document at a source's target is taken if half of its words or more were, so that a source is off by half a document at most.
     """
     rows = mix(docs, id_col, text_col, **options).rows
-    turns = F.expr("sequence(1L, (taken + size - 1) div size)")
-    each = rows.where("taken > 0").withColumn("__turn", F.explode(turns))
-    part = F.least(F.col("size"), F.col("taken") - (F.col("__turn") - 1) * F.col("size"))
-    first = F.array_join(F.slice(F.regexp_extract_all(F.col(text_col), F.lit(f"({WORD})"), F.lit(1)), F.lit(1), part.cast("int")), " ")
-    return each.withColumn(text_col, F.when(part < F.col("size"), first).otherwise(F.col(text_col))).select(*docs.columns)
+    times = F.expr("(2 * taken + size) div (2 * size)")
+    each = rows.where("2 * taken >= size and size > 0").withColumn("__turn", F.explode(F.sequence(F.lit(1).cast("long"), times)))
+    return each.select(*docs.columns)

@@ -68,6 +68,18 @@ def test_mix_awkward(spark, awkward):
     assert mixing.mixed_documents(awkward.limit(0)).count() == 0
 
 
+def test_mixed_documents_are_whole(spark):
+    rows = [(100 * s + i, f"{s}\n {i}\t\n" + "  word" * (n - 2), f"s{s:02d}") for s in range(12) for i, n in enumerate([2, 40, 700][: 1 + s % 3] * (1 + s % 4))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    whole, plan = {r[0]: r[1] for r in rows}, {r.doc_id: r for r in mixing.mix(docs).rows.collect()}
+    assert any(r.taken % r.size for r in plan.values())  # targets inside documents
+    out = mixing.mixed_documents(docs).collect()
+    assert all(r.text == whole[r.doc_id] for r in out)
+    times = Counter(r.doc_id for r in out)
+    for i, r in plan.items():
+        assert r.taken // r.size <= times[i] <= -(-r.taken // r.size) and abs(times[i] * r.size - r.taken) <= r.size / 2
+
+
 def test_golden_points_meet_every_source(spark):
     rows = [(f"s{i:03d}", i % 7 == 0 and 5000 or 3) for i in range(200)]
     docs = spark.createDataFrame([(i, " ".join(["w"] * n), s) for i, (s, n) in enumerate(rows)], "doc_id long, text string, source string")
