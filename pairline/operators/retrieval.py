@@ -16,6 +16,8 @@ from pairline.functions import vectors as vx
 #: Below the first an exact search is used, below the second the quantised search of other engines would be; here both give exact results.
 EXACT_BELOW, HASH_BELOW = 20_000, 100_000
 QUERY_BLOCK = 256
+#: Up to so many centres of leaves are broadcast; more are met by the queries in blocks.
+BROADCAST_LEAVES = 4096
 
 
 def _ranked(scored: DataFrame, k: int) -> DataFrame:
@@ -31,7 +33,7 @@ def knn_exact(pool: DataFrame, queries: DataFrame, k: int, id_col: str = "img_id
     """
     asked = queries.select(F.col(id_col).alias("query_id"), F.col(vector_col).alias("v"))
     blocks = max(1, -(-asked.count() // QUERY_BLOCK))
-    schema = "query_id long, id long, score double"
+    schema = f"query_id {queries.schema[id_col].dataType.simpleString()}, id {pool.schema[id_col].dataType.simpleString()}, score double"
 
     def unit(x: np.ndarray) -> np.ndarray:
         return x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), vx.FLOOR)
@@ -61,15 +63,17 @@ def knn_partitioned(pool: DataFrame, queries: DataFrame, k: int, id_col: str = "
     # a tenth of the pool, drawn by hash, and enough for every leaf
     train = base.where(F.pmod(F.xxhash64("id"), F.lit(10)) == 0) if n >= 100 * leaves else base
     model = KMeans(k=leaves, seed=seed, distanceMeasure="cosine", maxIter=10).fit(train)
-    if leaves > 4096:
-        raise ValueError("more leaves than one broadcast should hold")
     spark = pool.sparkSession
     table = spark.createDataFrame([(i, [float(x) for x in c]) for i, c in enumerate(model.clusterCenters())], "leaf int, centre array<double>")
     placed = model.transform(base).select("id", "v", F.col("prediction").alias("leaf"))
     asked = queries.select(F.col(id_col).alias("query_id"), unit.alias("q"))
-    near = asked.crossJoin(F.broadcast(table)).withColumn("s", vx.dot(F.col("q"), F.col("centre")))
-    first = Window.partitionBy("query_id").orderBy(F.desc("s"), "leaf")
-    probed = near.withColumn("r", F.row_number().over(first)).where(F.col("r") <= probes).select("query_id", "q", "leaf")
+    if leaves <= BROADCAST_LEAVES:
+        near = asked.crossJoin(F.broadcast(table)).withColumn("s", vx.dot(F.col("q"), F.col("centre")))
+        first = Window.partitionBy("query_id").orderBy(F.desc("s"), "leaf")
+        probed = near.withColumn("r", F.row_number().over(first)).where(F.col("r") <= probes).select("query_id", "q", "leaf")
+    else:
+        centres = table.select(F.col("leaf").alias(id_col), F.col("centre").alias(vector_col))
+        probed = asked.join(knn_exact(centres, queries, probes, id_col, vector_col).select("query_id", F.col("id").alias("leaf")), "query_id")
     scored = probed.join(placed, "leaf").select("query_id", "id", vx.dot(F.col("q"), F.col("v")).alias("score"))
     return _ranked(scored, k).select("query_id", "rank", "id", "score")
 

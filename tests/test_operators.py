@@ -209,6 +209,21 @@ def test_partitioned_search_finds_clusters(spark):
     assert all(r.query_id == r.id for r in first)
 
 
+def test_partitioned_search_by_default_probes_and_with_many_leaves(spark, monkeypatch):
+    import numpy as np
+
+    rng = np.random.default_rng(3)
+    centres = rng.normal(size=(40, 16)) * 5
+    x = centres[np.arange(2500) % 40] + rng.normal(size=(2500, 16)) * 0.3
+    pool = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "img_id long, embedding array<double>")
+    asked = pool.where("img_id < 40")
+    exact = {(r.query_id, r.id) for r in retrieval.knn_exact(pool, asked, 10).collect()}
+    near = {(r.query_id, r.rank, r.id) for r in retrieval.knn_partitioned(pool, asked, 10).collect()}
+    assert len(exact & {(q, i) for q, _, i in near}) >= 0.9 * len(exact)
+    monkeypatch.setattr(retrieval, "BROADCAST_LEAVES", 8)
+    assert {(r.query_id, r.rank, r.id) for r in retrieval.knn_partitioned(pool, asked, 10).collect()} == near
+
+
 def test_files(spark, tmp_path):
     root = tmp_path / "out"
     for name, body in {"0000001": {"original_caption": "a", "edit_instruction": "b", "resulting_caption": "c"}, "0000002": {"prompt": {"original_caption": "x"}, "global_index": 4}}.items():
