@@ -47,7 +47,7 @@ FROM documents d LEFT JOIN sizes USING (doc_id) JOIN (SELECT a AS doc_id, min(b)
 def op4_licences(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     rows = licence_scan.scan(docs).withColumn("families", F.array_join("families", ","))
-    return rows.select("doc_id", "n_paragraphs", "n_licences", "families", F.size("findings").cast("long").alias("n_predicted"))
+    return rows.select("doc_id", "n_paragraphs", "n_licences", "families", F.size("findings").cast("long").alias("n_predicted"), F.size(F.filter("findings", lambda x: x.family == licence_scan.UNKNOWN)).cast("long").alias("n_unknown"))
 
 
 def op5_shard(spark: SparkSession, sf_dir: str) -> DataFrame:

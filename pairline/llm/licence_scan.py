@@ -4,8 +4,10 @@ Paragraphs (lines) are turned into hashed word 1- and 2-grams; a multinomial log
 sparse penalty tells licence families from paragraphs of none. It is trained on windows of words of the
 templates below and on paragraphs of a bounded sample of the corpus: those whose words a template covers are its family, those
 that no template covers to a half are of none. On a held-out fifth the least probability is found at which no more than one of a hundred
-family predictions is wrong; below it a paragraph is unknown. A prediction stands only if the family's template covers enough of the
-paragraph's words.
+family predictions is wrong. Asked are whole paragraphs and their sentences, long ones in overlapping windows, so that a notice within a longer
+line is found. What is more likely a licence than none, but below that bar or with the name of a family that has no template, is of
+family unknown. A prediction is confirmed if the family's template covers enough of the words of the piece, or of a window
+of it that holds a pair of words that no other template has.
 
 Defined results: a null text has no paragraph; blank paragraphs are of no family; equal texts get equal results, equal
 rows all stay; ties of probability go to the family first in the alphabet; an empty table gives no rows; columns of the input keep their names and
@@ -14,11 +16,13 @@ values, result columns replace any of the same name.
 
 from __future__ import annotations
 
+import re
+
 from pyspark.ml import PipelineModel
 from pyspark.ml.classification import LogisticRegression, LogisticRegressionModel
 from pyspark.ml.feature import HashingTF, NGram, VectorAssembler
 from pyspark.ml.functions import vector_to_array
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from pairline.llm.common import cut
@@ -34,11 +38,15 @@ TEMPLATES = {
     "mpl": "This Source Code Form is subject to the terms of the Mozilla Public License, version 2.0. If a copy of the MPL was not distributed with this file, you can obtain one at.",
     "reserved": "All rights reserved. Copyright. No part of this publication may be reproduced, stored or transmitted in any form without prior written permission of the copyright holder.",
 }
-NONE = "none"
+NONE, UNKNOWN = "none", "unknown"
+# Words in the names of families that have no template.
+OTHERS = "affero agpl artistic boost bsl cddl cecill cpl ecl eclipse epl eupl fdl isc lesser lgpl library nd noderivatives noderivs ofl openssl sa sharealike sspl unlicense wtfpl zlib".split()
 CLASSES = [NONE, *sorted(TEMPLATES)]
 FEATURES, WORD = 1 << 12, r"[\p{L}\p{N}]+"
 #: Documents whose paragraphs are sampled, about; template words that a labelled and a confirmed paragraph must have; wrong predictions allowed.
 SAMPLE_DOCS, LABEL_COVER, CONFIRM_COVER, WRONG = 1500, 0.95, 0.75, 0.01
+#: Words of the longest piece of a sentence (as the longest training windows), between the starts of pieces, and of a confirming window.
+PIECE, STEP, CONFIRM_WORDS = 24, 12, 4
 
 
 def words_of(text: Column) -> Column:
@@ -65,6 +73,37 @@ def paragraphs(docs: DataFrame, text_col: str) -> DataFrame:
     return each.select("t1", "t2", "place", words_of(F.col("paragraph")).alias("words")).where(F.size("words") > 0)
 
 
+def pieces(docs: DataFrame, text_col: str) -> DataFrame:
+    """(t1, t2, place, words): as paragraphs, and for those of several sentences or many words also their sentences in pieces."""
+    text = F.col(text_col)
+    each = docs.select(F.xxhash64(text).alias("t1"), F.xxhash64(F.lit("2"), text).alias("t2"), F.posexplode(F.split(text, "\n", -1)).alias("place", "paragraph"))
+    split = each.select("t1", "t2", "place", F.filter(F.transform(F.split("paragraph", r"[.!?;:]+\s+"), words_of), lambda s: F.size(s) > 0).alias("sentences")).where(F.size("sentences") > 0)
+    windows = F.flatten(F.transform("sentences", lambda s: F.transform(F.sequence(F.lit(1), F.greatest(F.lit(1), F.size(s) - (PIECE - STEP)), F.lit(STEP)), lambda i: F.slice(s, i, F.lit(PIECE)))))
+    return split.select("t1", "t2", "place", F.explode(F.array_distinct(F.concat(F.array(F.flatten("sentences")), windows))).alias("words"))
+
+
+def _pairs() -> dict[str, list[str]]:
+    """The pairs of neighbouring words that only one template has."""
+    split = {f: re.findall(r"[^\W_]+", t.lower()) for f, t in TEMPLATES.items()}
+    own = {f: {f"{a} {b}" for a, b in zip(w, w[1:], strict=False)} for f, w in split.items()}
+    return {f: sorted(p - set().union(*[own[g] for g in own if g != f])) for f, p in own.items()}
+
+
+def confirmed(words: Column, family: Column) -> Column:
+    """Whether the template covers the piece, or a window with a pair of words of its own."""
+    pairs = F.create_map(*[c for f, p in sorted(_pairs().items()) for c in (F.lit(f), F.array(*map(F.lit, p)))])
+    template, own = F.element_at(_templates(), family), F.element_at(pairs, family)
+    starts = F.sequence(F.lit(1), F.greatest(F.lit(1), F.size(words) - (CONFIRM_WORDS - 1)))
+
+    def covers(i: Column) -> Column:
+        window = F.slice(words, i, F.lit(CONFIRM_WORDS))
+        near = F.transform(F.sequence(F.lit(1), F.greatest(F.lit(1), F.size(window) - 1)), lambda k: F.array_join(F.slice(window, k, F.lit(2)), " "))
+        distinct = F.array_distinct(window)
+        return (F.size(F.array_intersect(distinct, template)) >= CONFIRM_COVER * F.size(distinct)) & F.arrays_overlap(near, own)
+
+    return (cover(words, family) >= CONFIRM_COVER) | F.exists(starts, covers)
+
+
 def training_rows(spark: SparkSession, docs: DataFrame, text_col: str) -> DataFrame:
     """(words, label, held): template windows and labelled paragraphs of the sample; held marks a fifth for calibration."""
     windows = spark.createDataFrame(sorted(TEMPLATES.items()), "family string, text string").select("family", words_of(F.col("text")).alias("all"))
@@ -89,11 +128,11 @@ def featurise(rows: DataFrame) -> DataFrame:
 
 
 def predict(model: LogisticRegressionModel, rows: DataFrame) -> DataFrame:
-    """rows with family and probability of the likeliest class."""
+    """rows with family and probability of the likeliest class, and the probability of none."""
     out = model.transform(featurise(rows)).withColumn("__p", vector_to_array("probability"))
     best = F.array_max("__p")
     family = F.element_at(F.array(*map(F.lit, CLASSES)), F.array_position("__p", best).cast("int"))
-    return out.withColumn("family", family).withColumn("probability", best).drop("__p", "features", "rawPrediction", "prediction")
+    return out.withColumn("family", family).withColumn("probability", best).withColumn("p_none", F.element_at("__p", 1)).drop("__p", "features", "rawPrediction", "prediction")
 
 
 def train(spark: SparkSession, docs: DataFrame, text_col: str = "text") -> tuple[LogisticRegressionModel, float]:
@@ -112,13 +151,20 @@ def train(spark: SparkSession, docs: DataFrame, text_col: str = "text") -> tuple
 
 
 def scan(docs: DataFrame, text_col: str = "text") -> DataFrame:
-    """docs with n_paragraphs, n_licences, families (sorted) and findings (paragraph number, family, probability, confirmed)."""
+    """docs with n_paragraphs, n_licences, families (sorted) and findings (paragraph number, family or unknown, probability of it or of any licence, confirmed)."""
     spark = docs.sparkSession
     added = ("n_paragraphs", "n_licences", "families", "findings")
     kept = docs.select(*[c for c in docs.columns if c not in added])
     model, bar = train(spark, docs, text_col)
-    found = predict(model, paragraphs(docs, text_col)).where((F.col("family") != NONE) & (F.col("probability") >= bar)).dropDuplicates(["t1", "t2", "place"])
-    rated = found.withColumn("confirmed", cover(F.col("words"), F.col("family")) >= CONFIRM_COVER)
+    likely = predict(model, pieces(docs, text_col)).where((F.col("family") != NONE) | (F.col("p_none") < 0.5))
+    other = F.arrays_overlap("words", F.array(*map(F.lit, OTHERS)))
+    known = (F.col("family") != NONE) & (F.col("probability") >= bar) & ~other
+    named = likely.withColumn("family", F.when(known, F.col("family")).otherwise(UNKNOWN)).withColumn("probability", F.when(known, F.col("probability")).otherwise(1 - F.col("p_none")))
+    rated = named.withColumn("confirmed", (F.col("family") != UNKNOWN) & F.coalesce(confirmed(F.col("words"), F.col("family")), F.lit(False)))
+    # one finding of each family in a paragraph; unknown, and what is not confirmed, only beside none that is
+    rated = rated.groupBy("t1", "t2", "place", "family").agg(F.max("confirmed").alias("confirmed"), F.max("probability").alias("probability"))
+    sure = F.max("confirmed").over(Window.partitionBy("t1", "t2", "place"))
+    rated = rated.withColumn("__sure", sure).where("confirmed or not __sure")
     per_text = rated.groupBy("t1", "t2").agg(F.array_sort(F.collect_list(F.struct("place", "family", "probability", "confirmed"))).alias("findings"))
     text = F.col(text_col)
     keyed = kept.withColumns({"t1": F.xxhash64(text), "t2": F.xxhash64(F.lit("2"), text), "n_paragraphs": F.coalesce(F.size(F.split(text, "\n", -1)), F.lit(0)).cast("long")}).withColumn("n_paragraphs", F.when(text.isNull(), 0).otherwise(F.col("n_paragraphs")))

@@ -167,6 +167,16 @@ def test_licences_awkward(spark, awkward):
     assert licence_scan.scan(awkward.limit(0)).count() == 0
 
 
+def test_licences_inside_lines_and_unknown_ones(spark):
+    prose = "the river ran past the old mill and the children threw stones into the water until evening came and they went home to eat"
+    mit, lgpl = "Copyright 2020 Jane Doe. Released under the MIT License.", "This work is licensed under the GNU Lesser General Public License, version 3."
+    lines = [mit, f"{prose}. {prose}. Released under the MIT License. {prose}", lgpl, "Licensed under CC BY-SA 4.0.", prose, "Released under the MIT License."]
+    docs = spark.read.parquet(DOCS).select("doc_id", "text").union(spark.createDataFrame([(-1 - i, x) for i, x in enumerate(lines)], "doc_id long, text string"))
+    got = {r.doc_id: r for r in licence_scan.scan(docs).where("doc_id < 0").collect()}
+    assert [(got[-1 - i].families, got[-1 - i].n_licences) for i in range(6)] == [(["mit"], 1), (["mit"], 1), ([], 0), ([], 0), ([], 0), (["mit"], 1)]
+    assert [[f.family for f in got[k].findings] for k in (-3, -4, -5)] == [["unknown"], ["unknown"], []]
+
+
 def test_secrets_of_documents(spark):
     planted = re.compile(r'AKIA[0-9A-Z]{16}|(?<=password=)[0-9a-f]{18}|(?<=token = ")[0-9a-f]{40}')
     want = {(r.doc_id, *m.span()) for r in spark.read.parquet("/root/testdata/sf0.01/documents.parquet").collect() for m in planted.finditer(r.text)}
