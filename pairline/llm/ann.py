@@ -1,17 +1,20 @@
 """Approximate nearest neighbours by inner product: a robust-pruned directed graph in each shard.
 
-Equal vectors are one point (with the k + 1 smallest ids that it stands for), and points are dealt into shards
-of bounded size by a hash. In a shard a coordinate is added that gives all points one length, so that largest inner
-product and smallest distance are the same. The graph starts at random; greedy beam searches from the
+Equal vectors are one point (with the k + 1 smallest ids that it stands for). Points are dealt into bands of nearly equal
+length, and a band into shards of bounded size by a hash, so that within a shard the largest inner product is close to the
+smallest angle. The graph of a shard is built on directions alone and starts at random; greedy beam searches from the
 entry point propose neighbours of each point, and pruning keeps a candidate only if no kept one is closer
-to it by the factor ALPHA, so that short and long edges in different directions stay. Reverse edges are added and pruned alike.
-A query's block visits every shard, where a beam search walks the graph; what it finds is scored again on the original
-vectors in double precision and merged. Each row is indexed; nothing is sampled.
+to it by the factor ALPHA, so that short and long edges in different directions stay. Reverse edges are added and pruned alike, and
+a point that cannot be reached from the entry afterwards is linked from its nearest reachable one.
+A query's block visits every shard, where a beam search by inner product walks the graph; what it finds is scored again on the
+original vectors in double precision and merged. Each row is indexed; nothing is sampled. Every shard gives k + 1 points where it
+has as many, so that a query gets k rows wherever there are k candidates.
 
 Defined results: vectors that are null, empty, zero or hold null or non-finite components take no part,
 nor do rows without an id; vectors are compared with those of their own length only; an id that
 stands repeatedly with one vector counts once, with several vectors each is a row, and a
-query never finds its own id; ties go to the smaller id; fewer candidates than k give all of them; an empty table gives no rows.
+query never finds its own id; ties go to the smaller id; scores beyond the range of a double are infinite (or zero) but ranked by
+what they would be; fewer candidates than k give all of them; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -23,11 +26,15 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from pairline.llm.common import cut
+from pairline.llm.common import cut, small_batches
 
-SHARD_POINTS, QUERY_BLOCK = 4096, 512
+SHARD_POINTS, QUERY_BLOCK = 4096, 1024
 DEGREE, BUILD_BEAM, SEARCH_BEAM, ALPHA, STEP = 32, 64, 128, 1.2, 4
-BUILD_BLOCK, SALTS = 256, 64
+BUILD_BLOCK, ADOPTED = 256, 4
+#: Bands of length for each doubling: the longest vector of a band is 9 % longer than its shortest.
+BANDS_PER_OCTAVE = 8
+#: There are at most 17,000 bands for each number of components; so many in all are broadcast. Tasks that build and search, at most.
+BROADCAST_BANDS, TASKS = 20_000, 4096
 
 
 def valid(vector: Column) -> Column:
@@ -37,14 +44,43 @@ def valid(vector: Column) -> Column:
     return vector.isNotNull() & F.coalesce(finite & F.exists(v, lambda x: x != 0), F.lit(False))
 
 
+def band_of(vector: Column) -> Column:
+    """The number of the band of length of a vector, whatever the size of its components."""
+    v = F.transform(vector, lambda x: F.abs(x.cast("double")))
+    top = F.array_max(v)
+    squares = F.aggregate(v, F.lit(0.0), lambda total, x: total + (x / top) * (x / top))
+    return F.floor((F.log2(top) + F.log2(squares) / 2) * BANDS_PER_OCTAVE + 0.5).cast("int")
+
+
 # ---- the graph of one shard -----------------------------------------------------------------
 
 
-def lengthened(x: np.ndarray) -> np.ndarray:
-    """x with a coordinate that gives all rows the length of the longest."""
-    squares = (x.astype(np.float64) ** 2).sum(axis=1)
-    extra = np.sqrt(np.maximum(squares.max() - squares, 0))
-    return np.column_stack([x, extra]).astype(np.float32)
+def scaled(x: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """x in rows whose largest component is between a half and one, the powers of two taken out, and the rows' lengths then."""
+    _, power = np.frexp(np.abs(x).max(axis=1))
+    part = np.ldexp(x, -power[:, None])
+    return part, power, np.sqrt((part * part).sum(axis=1))
+
+
+def directions(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Unit vectors, and their share of the length of the longest row."""
+    part, power, length = scaled(x)
+    logs = power + np.log2(length)
+    return (part / length[:, None]).astype(np.float32), np.exp2(logs - logs.max()).astype(np.float32)
+
+
+def products(x: np.ndarray, chosen: np.ndarray, queries: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Inner products of each query with its chosen rows of x, and the order of those that a double cannot hold (0 for the others)."""
+    part, power, _ = scaled(x)
+    asked, turned, _ = scaled(queries)
+    with np.errstate(all="ignore"):
+        plain = np.einsum("qbd,qd->qb", x[chosen], queries)
+        value = np.einsum("qbd,qd->qb", part[chosen], asked)
+        size = power[chosen] + turned[:, None]
+        score = np.where(np.isfinite(plain), plain, np.ldexp(value, size))
+        lost = np.isinf(score) | (score == 0) & (value != 0)
+        beyond = np.where(lost, np.sign(value) * (size + np.log2(np.abs(value)) + 5000), 0.0)
+    return score, beyond
 
 
 def beam_search(graph: np.ndarray, x: np.ndarray, entry: int, queries: np.ndarray, beam: int) -> tuple[np.ndarray, np.ndarray]:
@@ -119,7 +155,7 @@ def robust_prune(x: np.ndarray, points: np.ndarray, candidates: np.ndarray, alph
 
 
 def build_graph(x: np.ndarray, degree: int = DEGREE, beam: int = BUILD_BEAM, seed: int = 7) -> tuple[np.ndarray, int]:
-    """Neighbour lists (n, degree), n where there is none, and the entry point; x has rows of one length."""
+    """Neighbour lists, n where there is none, and the entry point, from which all points are reached; x has rows of one length."""
     n = len(x)
     rng = np.random.default_rng(seed)
     entry = int((x @ x.mean(axis=0)).argmax())
@@ -137,7 +173,37 @@ def build_graph(x: np.ndarray, degree: int = DEGREE, beam: int = BUILD_BEAM, see
             chosen = robust_prune(x, points, np.concatenate([found, old], axis=1), alpha, degree)
             graph[points] = np.where(chosen >= 0, chosen, n)
             _reverse(graph, x, points, chosen, alpha, degree)
-    return graph.astype(np.int32), entry
+    return adopt(graph.astype(np.int32), x, entry), entry
+
+
+def reached(graph: np.ndarray, starts: np.ndarray, seen: np.ndarray) -> None:
+    """Mark in seen all points that the graph leads to from starts."""
+    n = len(graph)
+    seen[starts] = True
+    while len(starts):
+        ahead = np.unique(graph[starts])
+        starts = ahead[ahead < n]
+        starts = starts[~seen[starts]]
+        seen[starts] = True
+
+
+def adopt(graph: np.ndarray, x: np.ndarray, entry: int) -> np.ndarray:
+    """The graph with an edge to each point that the entry does not reach, from its nearest reached one; each gets at most ADOPTED of these."""
+    n, degree = graph.shape
+    graph = np.column_stack([graph, np.full((n, ADOPTED), n, graph.dtype)])
+    seen, used = np.zeros(n, bool), np.zeros(n, int)
+    reached(graph, np.array([entry]), seen)
+    while not seen.all():
+        lost, free = np.flatnonzero(~seen)[:BUILD_BLOCK], np.flatnonzero(seen & (used < ADOPTED))
+        parents = free[(x[lost] @ x[free].T).argmax(axis=1)]
+        taken = []
+        for point, parent in zip(lost.tolist(), parents.tolist(), strict=True):
+            if used[parent] < ADOPTED:
+                graph[parent, degree + used[parent]] = point
+                used[parent] += 1
+                taken.append(point)
+        reached(graph, np.array(taken), seen)
+    return graph[:, : degree + used.max()]
 
 
 def _reverse(graph: np.ndarray, x: np.ndarray, points: np.ndarray, chosen: np.ndarray, alpha: float, degree: int) -> None:
@@ -170,32 +236,67 @@ def _reverse(graph: np.ndarray, x: np.ndarray, points: np.ndarray, chosen: np.nd
 
 
 def points_of(vectors: DataFrame, id_col: str, vector_col: str, keep: int) -> DataFrame:
-    """(vector, dim, ids): each different vector once, with its `keep` smallest ids; large groups are gathered in two steps."""
-    rows = vectors.select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).alias("vector")).where(F.col("id").isNotNull() & valid(F.col("vector")))
-    least = lambda ids: F.slice(F.array_sort(F.array_distinct(ids)), 1, keep)
-    some = rows.groupBy("vector", F.pmod(F.xxhash64("id"), F.lit(SALTS)).alias("salt")).agg(least(F.collect_list("id")).alias("ids"))
-    return some.groupBy("vector").agg(least(F.flatten(F.collect_list("ids"))).alias("ids")).withColumn("dim", F.size("vector"))
-
+    """(h1, h2, vector, ids, dim, band): each different vector once, with its `keep` smallest ids, which are cut before they are gathered."""
+    vector = F.col(vector_col)
+    rows = vectors.select(F.col(id_col).cast("long").alias("id"), vector.alias("vector"), F.xxhash64(vector).alias("h1"), F.xxhash64(F.lit("point"), vector).alias("h2")).where(F.col("id").isNotNull() & valid(F.col("vector")))
+    least = Window.partitionBy("h1", "h2").orderBy("id")
+    few = rows.select("id", "h1", "h2").distinct().withColumn("place", F.row_number().over(least)).where(F.col("place") <= keep)
+    ids = few.groupBy("h1", "h2").agg(F.array_sort(F.collect_list("id")).alias("ids"))
+    points = rows.groupBy("h1", "h2").agg(F.first("vector").alias("vector")).join(ids, ["h1", "h2"])
+    return points.withColumns({"dim": F.size("vector"), "band": band_of(F.col("vector"))})
 
-INDEX = "dim int, shard int, points long, ids binary, vectors binary, graph binary, entry int"
 
+def layout_of(points: DataFrame, shard_points: int) -> DataFrame:
+    """(dim, band, parts, base): how many shards a band has, and how many the bands before it."""
+    bands = points.groupBy("dim", "band").agg(F.ceil(F.count("*") / shard_points).cast("int").alias("parts"))
+    before = F.sum("parts").over(Window.partitionBy("dim").orderBy("band").rowsBetween(Window.unboundedPreceding, -1))
+    return bands.withColumn("base", F.coalesce(before, F.lit(0)).cast("int"))
 
-def build_index(points: DataFrame, shards: int) -> DataFrame:
-    """One row for each shard: its points' smallest ids, vectors and neighbour lists."""
 
-    def build(key, pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["id", "key"])
-        own = np.array(pdf["vector"].tolist())
-        graph, entry = build_graph(lengthened(own))
-        ids = np.column_stack([pdf["id"].to_numpy(np.int64), pdf["key"].to_numpy(np.int64)])
-        return pd.DataFrame([{"dim": key[0], "shard": key[1], "points": len(own), "ids": ids.tobytes(), "vectors": own.astype(np.float64).tobytes(), "graph": graph.tobytes(), "entry": entry}])
+INDEX = "dim int, shard int, points long, ids binary, counts binary, vectors binary, graph binary, entry int"
 
-    rows = points.select("dim", F.pmod(F.xxhash64("vector"), F.lit(shards)).cast("int").alias("shard"), F.col("ids")[0].alias("id"), F.xxhash64("vector", F.lit("point")).alias("key"), "vector")
-    return rows.groupBy("dim", "shard").applyInPandas(build, INDEX)
 
+def build_index(points: DataFrame, layout: DataFrame) -> DataFrame:
+    """One row for each shard: its points' vectors, their ids, and neighbour lists."""
 
-def search(index: DataFrame, queries: DataFrame, k: int, shards: int, beam: int = SEARCH_BEAM) -> DataFrame:
-    """(query_id, query_key, id, key, score): the k + 1 nearest points found of each shard. queries: (query_id, vector, dim)."""
+    def build(key, pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values(["h1", "h2"])
+        own = np.array(pdf["vector"].tolist(), np.float64)
+        graph, entry = build_graph(directions(own)[0])
+        counts = np.array([len(v) for v in pdf["ids"]], np.int64)
+        return pd.DataFrame([{"dim": key[0], "shard": key[1], "points": len(own), "ids": np.concatenate(pdf["ids"].tolist()).astype(np.int64).tobytes(), "counts": counts.tobytes(), "vectors": own.tobytes(), "graph": graph.tobytes(), "entry": entry}])
+
+    bands, shards = layout.agg(F.count("*"), F.coalesce(F.sum("parts"), F.lit(0))).first()
+    placed = points.join(F.broadcast(layout) if bands <= BROADCAST_BANDS else layout, ["dim", "band"])
+    rows = placed.select("dim", (F.col("base") + F.pmod("h1", "parts")).cast("int").alias("shard"), "h1", "h2", "ids", "vector")
+    # by ranges of the shards' numbers, so that no two large ones meet in a task by chance
+    return rows.repartitionByRange(max(1, min(TASKS, shards)), "dim", "shard").groupBy("dim", "shard").applyInPandas(build, INDEX)
+
+
+def best_ids(found: np.ndarray, score: np.ndarray, beyond: np.ndarray, ids: np.ndarray, counts: np.ndarray, own: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(query, id, score, beyond), the k best of each query by score and smaller id, its own id left out; found: points, -1 for none."""
+    begins = np.cumsum(counts) - counts
+    alone = (counts[found] == 1) & (ids[begins[found]] == own[:, None])
+    score = np.where((found < 0) | alone, -np.inf, score)
+    there = ~((found < 0) | alone)
+    order = np.lexsort((ids[begins[found]], -beyond, -score, ~there), axis=1)[:, : k + 1]
+    point, there = (np.take_along_axis(v, order, 1).ravel() for v in (found, there))
+    value, rest = (np.take_along_axis(v, order, 1).ravel()[there] for v in (score, beyond))
+    query, point = np.repeat(np.arange(len(found)), order.shape[1])[there], point[there]
+    n = counts[point]
+    at = np.repeat(begins[point], n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+    query, value, rest, each = np.repeat(query, n), np.repeat(value, n), np.repeat(rest, n), ids[at]
+    other = each != own[query]
+    query, value, rest, each = query[other], value[other], rest[other], each[other]
+    order = np.lexsort((each, -rest, -value, query))
+    query, value, rest, each = query[order], value[order], rest[order], each[order]
+    first = np.searchsorted(query, np.arange(len(found)))
+    kept = np.arange(len(query)) - first[query] < k
+    return query[kept], each[kept], value[kept], rest[kept]
+
+
+def search(index: DataFrame, layout: DataFrame, queries: DataFrame, k: int, beam: int = SEARCH_BEAM) -> DataFrame:
+    """(query_id, query_key, id, score, beyond): the k nearest ids found in each shard. queries: (query_id, vector, dim)."""
     blocks = max(1, -(-queries.count() // QUERY_BLOCK))
     keyed = queries.select("query_id", F.xxhash64("vector", F.lit("point")).alias("query_key"), "vector", "dim", F.pmod(F.xxhash64("query_id"), F.lit(blocks)).cast("int").alias("block"))
 
@@ -204,37 +305,36 @@ def search(index: DataFrame, queries: DataFrame, k: int, shards: int, beam: int
         return pd.DataFrame([{"dim": key[0], "query_ids": ids.tobytes(), "matrix": np.array(pdf["vector"].tolist(), np.float64).tobytes()}])
 
     packed = cut(keyed.groupBy("dim", "block").applyInPandas(gather, "dim int, query_ids binary, matrix binary"), "queries")
-    work = packed.withColumn("shard", F.explode(F.sequence(F.lit(0), F.lit(shards - 1)))).join(index, ["dim", "shard"])
+    numbers = layout.groupBy("dim").agg(F.sum("parts").cast("int").alias("shards"))  # a row for each number of components
+    tasks = max(1, min(TASKS, 4 * (layout.agg(F.sum("parts")).first()[0] or 0)))
+    work = packed.join(numbers, "dim").withColumn("shard", F.explode(F.sequence(F.lit(0), F.col("shards") - 1))).drop("shards")
+    work = work.repartition(tasks, "dim", "shard").join(index.repartition(tasks, "dim", "shard"), ["dim", "shard"])
+    width = max(beam, k + 1)
 
     def walk(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             for r in pdf.itertuples():
                 own = np.frombuffer(r.vectors).reshape(r.points, r.dim)
                 graph = np.frombuffer(r.graph, np.int32).reshape(r.points, -1)
-                ids, query_ids = (np.frombuffer(v, np.int64).reshape(-1, 2) for v in (r.ids, r.query_ids))
+                ids, counts = np.frombuffer(r.ids, np.int64), np.frombuffer(r.counts, np.int64)
+                query_ids = np.frombuffer(r.query_ids, np.int64).reshape(-1, 2)
                 asked = np.frombuffer(r.matrix).reshape(len(query_ids), r.dim)
-                flat = np.column_stack([asked, np.zeros(len(asked))]).astype(np.float32)
-                found, _ = beam_search(graph, lengthened(own), r.entry, flat, min(beam, r.points))
-                score = np.einsum("qbd,qd->qb", own[np.maximum(found, 0)], asked)
-                score = np.where(found >= 0, score, -np.inf)
-                best = np.lexsort((ids[np.maximum(found, 0), 0], -score), axis=1)[:, : k + 1]
-                q = np.repeat(np.arange(len(asked)), best.shape[1])
-                hit, value = np.take_along_axis(found, best, 1).ravel(), np.take_along_axis(score, best, 1).ravel()
-                there = hit >= 0
-                yield pd.DataFrame({"query_id": query_ids[q, 0], "query_key": query_ids[q, 1], "id": ids[hit, 0], "key": ids[hit, 1], "score": value})[there]
+                unit, length = directions(own)
+                found, _ = beam_search(graph, unit * length[:, None], r.entry, directions(asked)[0], min(width, r.points))
+                score, beyond = products(own, np.maximum(found, 0), asked)
+                query, each, value, rest = best_ids(found, score, beyond, ids, counts, query_ids[:, 0], k)
+                yield pd.DataFrame({"query_id": query_ids[query, 0], "query_key": query_ids[query, 1], "id": each, "score": value, "beyond": rest})
 
-    return work.mapInPandas(walk, "query_id long, query_key long, id long, key long, score double")
+    return work.mapInPandas(walk, "query_id long, query_key long, id long, score double, beyond double")
 
 
 def nearest(vectors: DataFrame, queries: DataFrame, k: int, id_col: str = "vec_id", vector_col: str = "embedding", shard_points: int = SHARD_POINTS, beam: int = SEARCH_BEAM) -> DataFrame:
     """(query_id, rank, id, score): for each row of queries the k nearest rows of vectors found, its own id left out."""
+    small_batches(vectors.sparkSession)
     points = cut(points_of(vectors, id_col, vector_col, k + 1), "points")
-    shards = max(1, -(-points.count() // shard_points))
-    index = cut(build_index(points, shards), "graphs")
+    layout = cut(layout_of(points, shard_points), "layout")
+    index = cut(build_index(points, layout), "graphs")
     asked = queries.select(F.col(id_col).cast("long").alias("query_id"), F.col(vector_col).alias("vector")).where(F.col("query_id").isNotNull() & valid(F.col("vector"))).distinct().withColumn("dim", F.size("vector"))
-    found = search(index, asked, k, shards, beam)
-    by_query = Window.partitionBy("query_id", "query_key")
-    found = found.withColumn("place", F.row_number().over(by_query.orderBy(F.desc("score"), "id", "key"))).where(F.col("place") <= k + 1)
-    groups = points.select(F.col("ids")[0].alias("id"), F.xxhash64("vector", F.lit("point")).alias("key"), "ids")
-    each = found.join(groups, ["id", "key"]).select("query_id", "query_key", "score", F.explode("ids").alias("id")).where("id != query_id")
-    return each.withColumn("rank", F.row_number().over(by_query.orderBy(F.desc("score"), "id"))).where(F.col("rank") <= k).select("query_id", "rank", "id", "score")
+    found = search(index, layout, asked, k, beam)
+    order = Window.partitionBy("query_id", "query_key").orderBy(F.desc("score"), F.desc("beyond"), "id")
+    return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "id", "score")

@@ -7,16 +7,20 @@ from pyspark.sql import functions as F
 
 from pairline.sources.scratch import cut, drop, shared_dir  # noqa: F401
 
-#: Rows in an Arrow batch: whole texts go to Python, so that a batch stays at a few MB for usual texts.
-BATCH_ROWS = 1000
+#: Rows and bytes in an Arrow batch: whole texts go to Python.
+BATCH_ROWS, BATCH_BYTES = 1000, 64 << 20
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
 def small_batches(spark: SparkSession) -> None:
-    """Hold Arrow batches of the session to BATCH_ROWS rows at most."""
-    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    if not 0 < int(spark.conf.get(key)) <= BATCH_ROWS:
-        spark.conf.set(key, str(BATCH_ROWS))
+    """Hold Arrow batches of the session to BATCH_ROWS rows and BATCH_BYTES bytes at most.
+
+    The settings are read when a plan runs, after the operator has returned, so that they stay with the session.
+    """
+    for key, most in (("maxRecordsPerBatch", BATCH_ROWS), ("maxBytesPerBatch", BATCH_BYTES)):
+        key = f"spark.sql.execution.arrow.{key}"
+        if not 0 < int(spark.conf.get(key).rstrip("b")) <= most:
+            spark.conf.set(key, str(most))
 
 
 def ascii_lower(text: Column) -> Column:

@@ -79,21 +79,54 @@ def test_components_of_a_path_and_a_star(spark):
 # ---- nearest neighbours ---------------------------------------------------------------------
 
 
-def test_recall_against_brute_force(spark):
-    rng = np.random.default_rng(3)
-    x = rng.normal(size=(3000, 24)).astype(np.float32)
-    x[10] *= 3
-    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<float>")
-    got = ann.nearest(df, df.where("vec_id % 20 = 0"), 20, shard_points=700).toPandas()
-    hits = 0
+def gaussian(n=3000, width=64, seed=3):
+    return np.random.default_rng(seed).normal(size=(n, width))
+
+
+def one_long():
+    x = gaussian()
+    x[7] *= 10_000
+    return x
+
+
+def recall(spark, x, k=20, **options):
+    """Share of the true k nearest found for each twentieth row; all scores are checked."""
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+    got = ann.nearest(df, df.where("vec_id % 20 = 0"), k, **options).toPandas()
+    hits, level = 0, x / np.abs(x).max()
     for q, rows in got.groupby("query_id"):
-        score = x.astype(float) @ x[q].astype(float)
+        score = level @ level[q]
         score[q] = -np.inf
-        assert list(rows.sort_values("rank")["rank"]) == list(range(1, 21))
-        assert np.allclose(rows["score"], score[rows["id"]], rtol=0, atol=1e-12)
-        hits += len(set(np.lexsort((np.arange(3000), -score))[:20]) & set(rows["id"]))
-    assert got["query_id"].nunique() == 150
-    assert hits >= 0.9 * 150 * 20
+        assert list(rows.sort_values("rank")["rank"]) == list(range(1, k + 1))
+        with np.errstate(all="ignore"):
+            assert np.allclose(rows["score"], (x[rows["id"]] * x[q]).sum(axis=1), rtol=1e-12, atol=1e-12)
+        hits += len(set(np.lexsort((np.arange(len(x)), -score))[:k]) & set(rows["id"]))
+    assert got["query_id"].nunique() == -(-len(x) // 20)
+    return hits / (k * -(-len(x) // 20))
+
+
+@pytest.mark.parametrize("shard_points", [4096, 300])
+@pytest.mark.parametrize("name", ["unequal", "one_long", "uneven", "unit"])
+def test_recall_against_brute_force(spark, name, shard_points):
+    x = {"unequal": gaussian, "one_long": one_long, "uneven": lambda: gaussian() * np.random.default_rng(1).lognormal(size=(3000, 1)), "unit": lambda: gaussian() / np.linalg.norm(gaussian(), axis=1, keepdims=True)}[name]()
+    assert recall(spark, x, shard_points=shard_points) >= 0.95
+
+
+@pytest.mark.parametrize("factor", [1e150, 1e-150, 1e120])
+def test_components_near_the_ends_of_doubles(spark, factor):
+    assert recall(spark, gaussian(1000) * factor * 1.0) >= 0.95
+
+
+def test_recall_on_the_table(spark):
+    x = np.array(spark.read.parquet("/root/testdata/sf0.1/embeddings.parquet").orderBy("vec_id").select("embedding").toPandas()["embedding"].tolist(), float)
+    assert recall(spark, x) >= 0.95
+
+
+def test_overflowing_scores_are_ranked(spark):
+    rows = [(0, [1e200, 1e200]), (1, [1e200, 1e200]), (2, [3e200, 1e200]), (3, [-1e200, 1e100]), (4, [1e-300, 0.0])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = [(r.id, r.score) for r in ann.nearest(df, df.where("vec_id = 0"), 20).orderBy("rank").collect()]
+    assert got == [(2, np.inf), (1, np.inf), (4, pytest.approx(1e-100)), (3, -np.inf)]
 
 
 def test_awkward_vectors(spark):
@@ -109,13 +142,17 @@ def test_awkward_vectors(spark):
     assert ann.nearest(df.limit(0), df.limit(0), 3).count() == 0
 
 
-def test_pruned_graph_keeps_degrees():
-    x = ann.lengthened(np.random.default_rng(0).normal(size=(300, 8)))
-    graph, _ = ann.build_graph(x, degree=12, beam=24)
-    assert graph.shape == (300, 12)
+def test_pruned_graph_keeps_degrees_and_reaches_all():
+    x = ann.directions(np.random.default_rng(0).normal(size=(300, 8)))[0]
+    graph, entry = ann.build_graph(x, degree=12, beam=24)
+    assert graph.shape[0] == 300 and 12 <= graph.shape[1] <= 12 + ann.ADOPTED
     for i, row in enumerate(graph):
         own = row[row < 300]
         assert i not in own and len(set(own)) == len(own)
+    lone = np.full((300, 4), 300, np.int32)  # a graph without edges
+    seen = np.zeros(300, bool)
+    ann.reached(ann.adopt(lone, x, entry), np.array([entry]), seen)
+    assert seen.all()
 
 
 # ---- decontamination ------------------------------------------------------------------------
