@@ -9,6 +9,8 @@ from pairline.sources.scratch import cut, drop, shared_dir  # noqa: F401
 
 #: Rows and bytes in an Arrow batch: whole texts go to Python.
 BATCH_ROWS, BATCH_BYTES = 1000, 64 << 20
+#: Rows of a table that may be broadcast, once they are counted; parts over which the rows of one key are dealt in other joins.
+BROADCAST_ROWS, SALTS = 20_000, 256
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
@@ -30,3 +32,16 @@ def ascii_lower(text: Column) -> Column:
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def spread_join(left: DataFrame, right: DataFrame, keys: list[str], by: list[str], how: str = "inner", counted: bool = True) -> DataFrame:
+    """left joined with right, which has at most one row for each combination of keys, however frequent a key is in left.
+
+    Where right is small (it is counted, unless told otherwise) it is broadcast. Else the rows of a key are dealt over
+    SALTS parts by the columns `by`, and right's row goes to those parts only that have rows.
+    """
+    if counted and right.count() <= BROADCAST_ROWS:
+        return left.join(F.broadcast(right), keys, how)
+    salted = left.withColumn("__salt", F.pmod(F.xxhash64(F.lit("salt"), *by), F.lit(SALTS)).cast("int"))
+    there = salted.select(*keys, "__salt").distinct().join(right, keys)
+    return salted.join(there, [*keys, "__salt"], how).drop("__salt")

@@ -18,7 +18,7 @@ def op1_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op2_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "source")
-    return mixing.mix(docs).rows.select("doc_id", "size", "source_size", "target", "taken")
+    return mixing.mix(docs).rows.select("doc_id", "size", "source_size", "target", "taken", "first_slot", "n_slots")
 
 
 def op3_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
