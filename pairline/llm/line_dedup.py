@@ -15,7 +15,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from pairline.llm.common import cut
+from pairline.llm.common import cut, spread_join
 
 #: Distinct sites from which a line is boilerplate; log2 of a sketch's registers (deviation 1.04 / 2**6); share of the threshold that counts as near.
 MIN_SITES, LOG_REGISTERS, NEAR = 8, 12, 0.15
@@ -37,29 +37,32 @@ def boilerplate(docs: DataFrame, text_col: str = "text", site_col: str = "source
     spread = lines.groupBy("h1", "h2").agg(F.hll_sketch_estimate(F.hll_sketch_agg("site", F.lit(LOG_REGISTERS))).alias("sites"))
     band = max(1.0, NEAR * min_sites)
     spread = cut(spread.where(F.col("sites") >= min_sites - band), "spread")
-    near = spread.where(F.col("sites") <= min_sites + band).select("h1", "h2")
-    exact = lines.join(near, ["h1", "h2"], "left_semi").groupBy("h1", "h2").agg(F.countDistinct("site").alias("sites")).where(F.col("sites") >= min_sites)
+    near = cut(spread.where(F.col("sites") <= min_sites + band).select("h1", "h2"), "near")
+    pairs = spread_join(lines, near, ["h1", "h2"], ["site"], "left_semi").distinct()
+    exact = pairs.groupBy("h1", "h2").agg(F.count("*").alias("sites")).where(F.col("sites") >= min_sites)
     return spread.where(F.col("sites") > min_sites + band).select("h1", "h2").union(exact.select("h1", "h2"))
 
 
 def remove_lines(docs: DataFrame, lines: DataFrame, text_col: str = "text") -> DataFrame:
-    """docs with the lines (h1, h2) taken out of the text, and n_lines, n_removed."""
+    """docs with the lines (h1, h2) taken out of the text, and n_lines, n_removed. lines is a table that is cheap to read."""
     added = ("n_lines", "n_removed")
     kept = docs.select(*[c for c in docs.columns if c not in added])
-    t1, t2 = hash128(F.col(text_col))
-    keyed = kept.withColumns({"__t1": t1, "__t2": t2})
-    each = keyed.select("__t1", "__t2", F.explode(F.array_distinct(lines_of(F.col(text_col)))).alias("line"))
+    text = F.col(text_col)
+    t1, t2 = hash128(text)
+    each = kept.select(t1.alias("t1"), t2.alias("t2"), F.explode(F.array_distinct(lines_of(text))).alias("line"))
     h1, h2 = hash128(F.col("line"))
-    each = each.select("__t1", "__t2", h1.alias("h1"), h2.alias("h2"))
-    held = each.join(lines, ["h1", "h2"]).distinct().groupBy("__t1", "__t2").agg(F.collect_list(F.struct("h1", "h2")).alias("__gone"))
-    joined = keyed.join(held, ["__t1", "__t2"], "left")
-    all_lines = lines_of(F.col(text_col))
-    stays = F.filter(all_lines, lambda x: ~F.array_contains(F.col("__gone"), F.struct(hash128(x)[0].alias("h1"), hash128(x)[1].alias("h2"))))
-    rest = F.when(F.col("__gone").isNull(), all_lines).otherwise(stays)
-    out = joined.withColumn("__rest", rest)
-    n = F.when(F.col(text_col).isNull(), 0).otherwise(F.size(all_lines)).cast("long")
-    left = F.when(F.col(text_col).isNull(), 0).otherwise(F.size("__rest")).cast("long")
-    return out.select(*[F.array_join("__rest", "\n").alias(c) if c == text_col else F.col(c) for c in kept.columns], n.alias("n_lines"), (n - left).alias("n_removed"))
+    each = each.select("t1", "t2", h1.alias("h1"), h2.alias("h2"))
+    met = spread_join(each, lines, ["h1", "h2"], ["t1"]).distinct()  # the copies of a text are one here
+    held = cut(met.groupBy("t1", "t2").agg(F.collect_list(F.struct("h1", "h2")).alias("gone")), "held")
+    # the rows of one text are told apart by their other columns
+    keyed = kept.select(F.struct(*kept.columns).alias("row"), t1.alias("t1"), t2.alias("t2"), F.xxhash64(*[c for c in kept.columns if c != text_col]).alias("other"))
+    text = F.col("row")[text_col]
+    all_lines = lines_of(text)
+    stays = F.filter(all_lines, lambda x: ~F.array_contains(F.col("gone"), F.struct(hash128(x)[0].alias("h1"), hash128(x)[1].alias("h2"))))
+    out = spread_join(keyed, held, ["t1", "t2"], ["other"], "left").withColumn("rest", F.when(F.col("gone").isNull(), all_lines).otherwise(stays))
+    n = F.when(text.isNull(), 0).otherwise(F.size(all_lines)).cast("long")
+    left = F.when(text.isNull(), 0).otherwise(F.size("rest")).cast("long")
+    return out.select(*[F.array_join("rest", "\n").alias(c) if c == text_col else F.col("row")[c].alias(c) for c in kept.columns], n.alias("n_lines"), (n - left).alias("n_removed"))
 
 
 def dedup_lines(docs: DataFrame, text_col: str = "text", site_col: str = "source", min_sites: int = MIN_SITES) -> DataFrame:
