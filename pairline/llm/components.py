@@ -5,22 +5,27 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pairline.llm.common import cut, drop
+from pairline.llm.common import SALTS, cut, drop
+
+
+def _least(edges: DataFrame) -> DataFrame:
+    """edges (a, b) with m, the smallest b of all edges of a; the edges of one a are never brought into one task."""
+    salted = edges.withColumn("salt", F.pmod(F.xxhash64("b"), F.lit(SALTS)).cast("int"))
+    parts = salted.groupBy("a", "salt").agg(F.min("b").alias("m"))
+    whole = parts.groupBy("a").agg(F.min("m").alias("m"))
+    return salted.join(parts.select("a", "salt").join(whole, "a"), ["a", "salt"]).drop("salt")
 
 
 def _large_star(edges: DataFrame) -> DataFrame:
     """Link each neighbour above u with the smallest of u and its neighbours."""
     both = edges.union(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    least = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
-    return both.where("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
+    return _least(both).where("b > a").select(F.col("b").alias("a"), F.least("a", "m").alias("b")).distinct()
 
 
 def _small_star(edges: DataFrame) -> DataFrame:
     """Link u and each neighbour below u with the smallest of these."""
     down = edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a != b")
-    least = down.groupBy("a").agg(F.min("b").alias("m"))
-    near = down.join(least, "a").where("b != m").select(F.col("b").alias("a"), F.col("m").alias("b"))
-    return near.union(least.select("a", F.col("m").alias("b"))).distinct()
+    return _least(down).select(F.when(F.col("b") == F.col("m"), F.col("a")).otherwise(F.col("b")).alias("a"), F.col("m").alias("b")).distinct()
 
 
 def _mark(edges: DataFrame) -> tuple:

@@ -29,7 +29,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from pairline.llm.common import cut, small_batches
+from pairline.llm.common import SALTS, cut, small_batches, spread_join
 from pairline.llm.components import connected_components
 
 SHINGLE, PERCENT = 5, 75
@@ -37,6 +37,8 @@ HASHES, BAND_ROWS = 128, 4
 BANDS = HASHES // BAND_ROWS
 #: Bits of 256 in which the sketches of a pair may differ: 32 are expected at 0.75, with a deviation of 6.3.
 SKETCH_BITS = 60
+#: Nodes of a band that one task compares with as many others.
+BLOCK = 4096
 #: Turns of single trial pairs for each component before all pairs that are left are tried.
 TURNS = 2
 LOWER_BYTES = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
@@ -118,9 +120,12 @@ def fingerprints(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return rows.mapInArrow(run, f"doc_id {kind}, text_key long, {PRINTS}")
 
 
+SKETCHED = ("n_shingles", "s0", "s1", "s2", "s3")
+
+
 def _likely(a: str, b: str) -> Column:
-    """Set sizes and sketches allow the similarity."""
-    n, m = F.col(f"{a}.n_shingles"), F.col(f"{b}.n_shingles")
+    """Set sizes and sketches allow the similarity; a and b come before the columns' names."""
+    n, m = F.col(f"{a}n_shingles"), F.col(f"{b}n_shingles")
     return (100 * F.least(n, m) >= PERCENT * F.greatest(n, m)) & (_apart(a, b) <= SKETCH_BITS)
 
 
@@ -143,10 +148,10 @@ def _similar(pairs: DataFrame) -> DataFrame:
 
 
 def _texts(wanted: DataFrame, prints: DataFrame, docs: DataFrame, text_col: str) -> DataFrame:
-    """(node, body): one text for each wanted node."""
-    keys = prints.join(wanted, "node", "left_semi").groupBy("node").agg(F.min("text_key").alias("text_key"))
-    body = docs.select(F.xxhash64(F.col(text_col)).alias("text_key"), F.col(text_col).cast("binary").alias("body"))
-    return keys.join(body, "text_key").dropDuplicates(["node"]).select("node", "body")
+    """(node, body): one text for each wanted node; copies of a text are one before anything is joined."""
+    keys = prints.where("node is not null").groupBy("node").agg(F.min("text_key").alias("text_key")).join(wanted, "node", "left_semi")
+    body = docs.select(F.xxhash64(F.col(text_col)).alias("text_key"), F.col(text_col).cast("binary").alias("body")).groupBy("text_key").agg(F.first("body").alias("body"))
+    return keys.join(body, "text_key").select("node", "body")
 
 
 def _short_sets(texts: DataFrame, placed: DataFrame) -> DataFrame:
@@ -161,15 +166,16 @@ def _short_sets(texts: DataFrame, placed: DataFrame) -> DataFrame:
 
 
 def confirm(pairs: DataFrame, texts: DataFrame) -> DataFrame:
-    """The pairs of nodes (a, b) whose full shingle sets have the similarity; texts: (node, body)."""
+    """The pairs of nodes (a, b) whose full shingle sets have the similarity; texts: (node, body). Many pairs may have one b."""
     left = texts.select(F.col("node").alias("a"), F.col("body").alias("text_a"))
     right = texts.select(F.col("node").alias("b"), F.col("body").alias("text_b"))
-    return _similar(pairs.join(left, "a").join(right, "b").select("a", "b", "text_a", "text_b"))
+    each = spread_join(pairs, left, ["a"], ["b"], counted=False)
+    return _similar(spread_join(each, right, ["b"], ["a"], counted=False).select("a", "b", "text_a", "text_b"))
 
 
 def _apart(a: str, b: str) -> Column:
     """Differing bits of two sketches."""
-    bits = [F.bit_count(F.col(f"{a}.s{i}").bitwiseXOR(F.col(f"{b}.s{i}"))) for i in range(4)]
+    bits = [F.bit_count(F.col(f"{a}s{i}").bitwiseXOR(F.col(f"{b}s{i}"))) for i in range(4)]
     return bits[0] + bits[1] + bits[2] + bits[3]
 
 
@@ -179,22 +185,45 @@ def _star_pairs(placed: DataFrame, near: DataFrame, turn: int) -> DataFrame:
     A band's hub is drawn anew in each turn, from its largest component, so that large components
     meet each other; there are at most as many pairs as components.
     """
-    sizes = placed.select("node", "component").distinct().groupBy("component").agg(F.count("*").alias("members"))
-    sized = placed.join(sizes, "component")
+    salt = F.pmod(F.xxhash64("node"), F.lit(SALTS)).cast("int")
+    parts = placed.select("node", "component").distinct().groupBy("component", salt.alias("salt")).agg(F.count("*").alias("n"))
+    whole = parts.groupBy("component").agg(F.sum("n").alias("members"))
+    sized = placed.withColumn("salt", salt).join(parts.select("component", "salt").join(whole, "component"), ["component", "salt"])
     order = F.struct("members", "component", F.xxhash64("node", F.lit(turn)))
-    hubs = sized.groupBy("band").agg(F.max_by("node", order).alias("hub"), F.max_by("component", order).alias("home"))
-    met = placed.join(hubs, "band").where("component != home").select("node", "component", "hub").distinct()
-    a, b = near.alias("a"), near.alias("b")
-    rated = met.join(a, met.node == F.col("a.node")).join(b, met.hub == F.col("b.node")).where(_likely("a", "b")).select(met.node, "hub", "component", _apart("a", "b").alias("apart"))
+    hubs = cut(sized.groupBy("band").agg(F.max_by("node", order).alias("hub"), F.max_by("component", order).alias("home")), "hubs")
+    met = spread_join(placed, hubs, ["band"], ["node"]).where("component != home").select("node", "component", "hub").distinct()
+    own = near.select("node", *[F.col(c).alias(f"a_{c}") for c in SKETCHED])
+    other = near.select(F.col("node").alias("hub"), *[F.col(c).alias(f"b_{c}") for c in SKETCHED])
+    rated = spread_join(met.join(own, "node"), other, ["hub"], ["node"], counted=False).where(_likely("a_", "b_"))
     order = F.struct("apart", "node", "hub")
+    rated = rated.select("node", "hub", "component", _apart("a_", "b_").alias("apart"))
     return rated.groupBy("component").agg(F.min_by("node", order).alias("a"), F.min_by("hub", order).alias("b")).select("a", "b").distinct()
 
 
 def _placed(members: DataFrame, parts: DataFrame) -> DataFrame:
     """(node, band, component) of the bands whose nodes are in different components."""
-    named = members.join(parts, "node", "left").select("node", "band", F.coalesce("component", "node").alias("component"))
-    mixed = named.groupBy("band").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low < high").select("band")
-    return named.join(mixed, "band", "left_semi")
+    named = cut(members.join(parts, "node", "left").select("node", "band", F.coalesce("component", "node").alias("component")), "named")
+    mixed = cut(named.groupBy("band").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low < high").select("band"), "mixed")
+    return spread_join(named, mixed, ["band"], ["node"], "left_semi")
+
+
+def _left_pairs(placed: DataFrame, near: DataFrame, short: DataFrame) -> DataFrame:
+    """(a, b, ca, cb): the pairs of a band in different components that sketches, sizes and short sets allow.
+
+    The nodes of a band are dealt into blocks of about BLOCK, and each two blocks meet in a task of their own.
+    """
+    blocks = cut(placed.groupBy("band").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks")), "blocks")
+    left = spread_join(placed, blocks, ["band"], ["node"]).withColumn("own", F.pmod(F.xxhash64("node", F.lit("block")), F.col("blocks")).cast("int"))
+    left = left.join(near, "node").join(short, "node").withColumn("met", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    names = ["node", "component", "bands", "short", *SKETCHED]
+    a = left.select("band", F.col("own").alias("p"), F.col("met").alias("q"), *[F.col(c).alias(f"a_{c}") for c in names])
+    b = left.select("band", F.col("met").alias("p"), F.col("own").alias("q"), *[F.col(c).alias(f"b_{c}") for c in names])
+    once = F.get(F.array_intersect("a_bands", "b_bands"), F.lit(0)) == a.band  # a pair is met once, whatever bands it shares
+    common = F.size(F.array_intersect("a_short", "b_short")) + F.col("a_n_shingles") - F.size("a_short")  # at least what the full sets have in common
+    enough = 100 * common >= PERCENT * (F.col("a_n_shingles") + F.col("b_n_shingles") - common)
+    at = (a.band == b.band) & (a.p == b.p) & (a.q == b.q)
+    rest = a.join(b, at & (F.col("a_component") < F.col("b_component")) & _likely("a_", "b_") & once & enough)
+    return rest.select(F.col("a_node").alias("a"), F.col("b_node").alias("b"), F.col("a_component").alias("ca"), F.col("b_component").alias("cb"))
 
 
 def _one_each(rest: DataFrame) -> DataFrame:
@@ -221,11 +250,12 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     small_batches(docs.sparkSession)
     prints = cut(fingerprints(docs, id_col, text_col), "prints")
     nodes = prints.where("node is not null")
-    bands = nodes.select("node", F.explode("bands").alias("band"))
-    shared = bands.groupBy("band").agg(F.min("node").alias("low"), F.max("node").alias("high")).where("low < high").select("band")
-    members = cut(bands.join(shared, "band", "left_semi").distinct(), "members")
-    near = nodes.select("node", "n_shingles", "bands", "s0", "s1", "s2", "s3").join(members.select("node").distinct(), "node", "left_semi").dropDuplicates(["node"])
-    near = cut(near, "near")
+    facts = [F.first(c).alias(c) for c in ("bands", *SKETCHED)]
+    unique = cut(nodes.groupBy("node").agg(*facts, F.min("doc_id").alias("least")), "nodes")  # copies are one node from here on
+    bands = unique.select("node", F.explode("bands").alias("band"))
+    shared = cut(bands.groupBy("band").agg(F.min("node").alias("low"), F.max("node").alias("high")).where("low < high").select("band"), "shared")
+    members = cut(spread_join(bands, shared, ["band"], ["node"], "left_semi").distinct(), "members")
+    near = cut(unique.drop("least").join(members.select("node").distinct(), "node", "left_semi"), "near")
     texts = cut(_texts(near.select("node"), prints, docs, text_col), "texts")
 
     placed = members.withColumn("component", F.col("node"))
@@ -240,13 +270,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     if parts is None:
         parts = cut(members.limit(0).select("node", F.col("node").alias("component")), "parts")
 
-    left = placed.join(near, "node").join(_short_sets(texts, placed), "node")
-    a, b = left.alias("a"), left.alias("b")
-    first = F.get(F.array_intersect(F.col("a.bands"), F.col("b.bands")), F.lit(0)) == F.col("a.band")  # a pair is met once, whatever bands it shares
-    met = F.size(F.array_intersect(F.col("a.short"), F.col("b.short"))) + F.col("a.n_shingles") - F.size("a.short")  # at least what the full sets have in common
-    enough = 100 * met >= PERCENT * (F.col("a.n_shingles") + F.col("b.n_shingles") - met)
-    rest = a.join(b, (F.col("a.band") == F.col("b.band")) & (F.col("a.component") < F.col("b.component")) & _likely("a", "b") & first & enough)
-    rest = cut(rest.select(F.col("a.node").alias("a"), F.col("b.node").alias("b"), F.col("a.component").alias("ca"), F.col("b.component").alias("cb")), "rest")
+    rest = cut(_left_pairs(placed, near, _short_sets(texts, placed)), "rest")
     for turn in range(TURNS + 1):
         if rest.isEmpty():
             break
@@ -255,10 +279,10 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         if turn < TURNS:
             rest = cut(_still_apart(rest.join(pairs, ["a", "b"], "left_anti"), parts), "rest")
 
-    least = nodes.groupBy("node").agg(F.min("doc_id").alias("least")).join(parts, "node", "left").withColumn("component", F.coalesce("component", "node"))
-    named = least.groupBy("component").agg(F.min("least").alias("component_id"))
-    labels = least.select("node", "component").join(named, "component").select("node", "component_id")
-    linked = nodes.join(labels, "node").select("doc_id", "text_key", "n_shingles", "component_id")
+    least = cut(unique.select("node", "least").join(parts, "node", "left").withColumn("component", F.coalesce("component", "node")), "least")
+    named = cut(least.groupBy("component").agg(F.min("least").alias("component_id")), "ids")
+    labels = cut(spread_join(least, named, ["component"], ["node"]).select("node", "component_id"), "labels")
+    linked = spread_join(nodes, labels, ["node"], ["doc_id", "text_key"]).select("doc_id", "text_key", "n_shingles", "component_id")
     alone = prints.where("node is null").select("doc_id", "text_key", "n_shingles", F.col("doc_id").alias("component_id"))
     return linked.union(alone).withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
 
@@ -268,10 +292,10 @@ def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str
     groups = near_duplicates(docs, id_col, text_col).where("kept")
     keep = groups.where("n_shingles > 0").groupBy("doc_id", "component_id").agg(F.min("text_key").alias("text_key"), F.count("*").alias("rows"))
     keep = cut(keep.select("doc_id", "text_key", "rows").union(groups.where("n_shingles = 0").select("doc_id", "text_key", F.lit(1).cast("long"))).distinct(), "kept")
-    rows = docs.withColumn("__key", F.xxhash64(F.col(text_col)))
-    keep = keep.select(F.col("doc_id").alias("__id"), F.col("text_key").alias("__text"), F.col("rows").alias("__rows"))
-    held = rows.join(keep, F.col(id_col).eqNullSafe(F.col("__id")) & (F.col("__key") == F.col("__text")))
-    if keep.where("__rows > 1").isEmpty():
-        return held.select(*docs.columns)
-    repeated = held.where("__rows > 1").dropDuplicates(["__id", "__text"])
-    return held.where("__rows = 1").select(*docs.columns).union(repeated.select(*docs.columns))
+    rows = docs.select(F.struct(*docs.columns).alias("row"), F.col(id_col).alias("id"), F.xxhash64(F.col(text_col)).alias("key"))
+    held = rows.join(keep, F.col("id").eqNullSafe(F.col("doc_id")) & (F.col("key") == F.col("text_key")))
+    kept = [F.col("row")[c].alias(c) for c in docs.columns]
+    if keep.where("rows > 1").isEmpty():
+        return held.select(*kept)
+    repeated = held.where("rows > 1").dropDuplicates(["id", "key"])
+    return held.where("rows = 1").select(*kept).union(repeated.select(*kept))
