@@ -10,7 +10,9 @@ directly.
 Windows are dealt into slices of bounded size; each slice is collected and broadcast, and the
 documents pass the slices one after the other in narrow stages, without a shuffle. A slice is
 made of single (window, item) pairs, so that neither a large item nor a window shared by many
-items makes one too large.
+items makes one too large. No more than IN_FLIGHT slices are broadcast at a time: where a benchmark has more, what each
+few of them find in a text is written with the text's hash and their broadcasts are given up, and in the end the findings of a text are joined to
+the documents with it.
 
 Defined results: a null text has no words and is clean; a document without words is clean; equal
 rows are judged alike and all stay; a window occurs wherever its words do, overlaps included;
@@ -21,22 +23,22 @@ values, the result columns replace any of the same name.
 
 from __future__ import annotations
 
-import hashlib
 from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from pairline.llm.common import cut, small_batches
+from pairline.llm.common import cut, small_batches, spread_join
 
 WINDOW_WORDS = 13
 #: (window, item) pairs, and bytes of windows, in one broadcast slice.
 SLICE_PAIRS, SLICE_BYTES = 100_000, 32 << 20
+#: Slices that are broadcast at a time.
+IN_FLIGHT = 2
 #: Bytes of words stay, in lower case; all others part words. Bytes from 0x80 belong to words.
 WORD_BYTES = bytes(b if b > 0x7F or chr(b).isdigit() or chr(b).islower() else b + 32 if chr(b).isupper() else 32 for b in range(256))
-RESULT = "n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean"
-STATE = ("__spans", "__items")
 
 
 def words_of(text: bytes | None) -> list[bytes]:
@@ -121,59 +123,73 @@ def annotate(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item
     count, volume = pairs.agg(F.count("*"), F.coalesce(F.sum(F.octet_length("window")), F.lit(0))).first()
     slices = max(1, -(-count // SLICE_PAIRS), -(-volume // SLICE_BYTES))
     added = ["n_words", "n_hit", "n_items", "items_sha256", "contaminated", "hit_spans", "hit_items"]
-    kept = docs.select(*[c for c in docs.columns if c not in added and c not in STATE])
-    out = kept.withColumn(STATE[0], F.lit(None).cast("array<array<bigint>>")).withColumn(STATE[1], F.lit(None).cast("array<string>")).withColumn("__body", F.col(text_col).cast("binary"))
+    kept = [c for c in docs.columns if c not in added]
+    rows = docs.select(F.struct(*kept).alias("row"), F.col(text_col).cast("binary").alias("body"))
+    if slices <= IN_FLIGHT:
+        tables = [spark.sparkContext.broadcast(searchers(part.collect())) for part in _slices(pairs, slices)]
+        out = rows.mapInArrow(_search(tables), _found(rows.schema["row"].dataType))
+    else:
+        text_hash = [F.xxhash64("body").alias("t1"), F.xxhash64(F.lit("2"), "body").alias("t2")]
+        parts = list(_slices(pairs, slices))
+        found = None
+        for at in range(0, slices, IN_FLIGHT):
+            tables = [spark.sparkContext.broadcast(searchers(part.collect())) for part in parts[at : at + IN_FLIGHT]]
+            texts = rows.select(F.struct(*text_hash).alias("row"), "body")
+            hits = texts.mapInArrow(_search(tables, only_hits=True), _found(texts.schema["row"].dataType))
+            some = cut(hits.select("row.t1", "row.t2", "spans", "items").dropDuplicates(["t1", "t2"]), "hits")
+            for broadcast in tables:
+                broadcast.destroy()
+            found = some if found is None else found.union(some)
+        found = cut(found.groupBy("t1", "t2").agg(F.flatten(F.collect_list("spans")).alias("spans"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items")), "found")
+        keyed = rows.select("row", "body", *text_hash, F.xxhash64(*[F.col("row")[c] for c in kept if c != text_col]).alias("other"))
+        joined = spread_join(keyed, found, ["t1", "t2"], ["other"], "left").select("row", "body", "spans", "items")
+        out = joined.mapInArrow(_search([]), _found(rows.schema["row"].dataType))
+    n_items = F.size("items").cast("long")
+    sha = F.sha2(F.array_join("items", ",").cast("binary"), 256)
+    contaminated = (F.col("n_hit") > 0) & (20 * F.col("n_hit") >= F.col("n_words"))
+    result = ["n_words", "n_hit", n_items.alias("n_items"), sha.alias("items_sha256"), contaminated.alias("contaminated")]
+    spans = [F.col("spans").alias("hit_spans"), F.col("items").alias("hit_items")] if keep_spans else []
+    return out.select(*[F.col("row")[c].alias(c) for c in kept], *result, *spans)
+
+
+def _found(row: T.DataType) -> T.StructType:
+    out = T.StructType().add("row", row).add("n_words", T.LongType()).add("n_hit", T.LongType())
+    return out.add("spans", T.ArrayType(T.ArrayType(T.LongType()))).add("items", T.ArrayType(T.StringType()))
+
+
+def _slices(pairs: DataFrame, slices: int) -> Iterator[DataFrame]:
     for k in range(slices):
-        part = pairs.where(F.pmod(F.xxhash64("window", "item"), F.lit(slices)) == k) if slices > 1 else pairs
-        tables = spark.sparkContext.broadcast(searchers(part.collect()))
-        out = out.mapInArrow(_search(tables, last=k == slices - 1), _search_schema(out))
-    out = out.drop("__body").withColumn("contaminated", (F.col("n_hit") > 0) & (20 * F.col("n_hit") >= F.col("n_words")))
-    result = ["n_words", "n_hit", "n_items", "items_sha256", "contaminated"]
-    spans = [F.col(STATE[0]).alias("hit_spans"), F.col(STATE[1]).alias("hit_items")] if keep_spans else []
-    return out.select(*kept.columns, *result, *spans)
+        yield pairs.where(F.pmod(F.xxhash64("window", "item"), F.lit(slices)) == k) if slices > 1 else pairs
 
 
-def _search_schema(df: DataFrame) -> str:
-    fields = [(f"`{c.replace('`', '``')}`", t) for c, t in df.dtypes]
-    if "n_words" not in df.columns:
-        fields += [("n_words", "bigint"), ("n_hit", "bigint"), ("n_items", "bigint"), ("items_sha256", "string")]
-    return ", ".join(f"{c} {t}" for c, t in fields)
-
-
-def _search(tables, last: bool):
-    """A narrow stage: adds what one slice finds to the spans and items so far; the last one counts."""
+def _search(tables: list, only_hits: bool = False):
+    """(row, body, and what is found already: spans, items) to (row, n_words, n_hit, spans, items), by all slices in tables; with only_hits just the rows that have any."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            names = batch.schema.names
-            columns = {c: batch.column(i) for i, c in enumerate(names)}
-            all_spans, all_items, sizes, hits = [], [], [], []
-            for body, spans, items in zip(columns["__body"], columns[STATE[0]].to_pylist(), columns[STATE[1]].to_pylist(), strict=True):
-                words = words_of(body.as_py())
-                spans, items = [list(s) for s in spans or []], set(items or [])
-                for table in tables.value:
-                    for start, ids in table.find(words):
+            sizes, all_spans, all_items = [], [], []
+            before = zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True) if batch.num_columns > 2 else ((None, None) for _ in range(batch.num_rows))
+            for body, (spans, items) in zip(batch.column(1), before, strict=True):
+                words, spans, items = words_of(body.as_py()), [list(s) for s in spans or []], set(items or [])
+                for searcher in (x for table in tables for x in table.value):
+                    for start, ids in searcher.find(words):
                         if spans and spans[-1][0] <= start <= spans[-1][1]:
-                            spans[-1][1] = max(spans[-1][1], start + table.length)
+                            spans[-1][1] = max(spans[-1][1], start + searcher.length)
                         else:
-                            spans.append([start, start + table.length])
+                            spans.append([start, start + searcher.length])
                         items.update(ids)
-                spans = merge_spans(spans)
-                all_spans.append(spans)
-                all_items.append(sorted(items))
                 sizes.append(len(words))
-                hits.append(sum(end - start for start, end in spans))
-            columns[STATE[0]] = pa.array(all_spans, pa.list_(pa.list_(pa.int64())))
-            columns[STATE[1]] = pa.array(all_items, pa.list_(pa.string()))
-            columns["n_words"] = pa.array(sizes, pa.int64())
-            columns["n_hit"] = pa.array(hits, pa.int64())
-            columns["n_items"] = pa.array([len(x) for x in all_items], pa.int64())
-            columns["items_sha256"] = pa.array([hashlib.sha256(",".join(x).encode()).hexdigest() if last else None for x in all_items], pa.string())
-            yield pa.RecordBatch.from_arrays(list(columns.values()), list(columns))
+                all_spans.append(merge_spans(spans))
+                all_items.append(sorted(items))
+            hits = [sum(end - start for start, end in spans) for spans in all_spans]
+            arrays = [batch.column(0), pa.array(sizes, pa.int64()), pa.array(hits, pa.int64()), pa.array(all_spans, pa.list_(pa.list_(pa.int64()))), pa.array(all_items, pa.list_(pa.string()))]
+            out = pa.RecordBatch.from_arrays(arrays, ["row", "n_words", "n_hit", "spans", "items"])
+            yield out.filter(pa.array([n > 0 for n in hits], pa.bool_())) if only_hits else out
 
     return run
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame:
     """The documents that are not contaminated, with the columns of docs."""
-    return annotate(docs, benchmark, **options).where("not contaminated").select(*docs.columns)
+    out = annotate(docs.select(F.struct(*docs.columns).alias("doc"), F.col(options.get("text_col", "text")).alias("text")), benchmark, **options | {"text_col": "text"})
+    return out.where("not contaminated").select("doc.*")

@@ -7,7 +7,9 @@ import numpy as np
 import pytest
 from compare import SF, same
 
-from pairline.llm import ann, components, decontaminate, entries, near_dup
+from pyspark.sql import functions as F
+
+from pairline.llm import ann, common, components, decontaminate, entries, near_dup
 
 LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 
@@ -62,6 +64,21 @@ def test_near_duplicates_chains_and_awkward_rows(spark, awkward):
     assert got == brute_components(docs)
 
 
+def test_families_that_share_bands_and_frequent_keys(spark, monkeypatch):
+    """Pairs of a family that never joins are all tried in blocks, and joins deal frequent keys over parts."""
+    monkeypatch.setattr(near_dup, "BLOCK", 3)
+    monkeypatch.setattr(common, "BROADCAST_ROWS", 0)
+    rng = np.random.default_rng(9)
+    base = [f"b{i}" for i in range(80)]
+    family = [" ".join(base + [f"own{i}x{j}" for j in range(rng.integers(8, 60))]) for i in range(40)]
+    texts = family + [" ".join(base)] * 30 + drifting(25, 4)
+    docs = [(i, t) for i, t in enumerate(texts)]
+    df = spark.createDataFrame(docs, "doc_id long, text string").select("*", F.lit("x").alias("component_id"), F.lit(1).alias("kept"), F.lit(2).alias("__key"), F.lit(3).alias("node"))
+    got = sorted(((r.doc_id, r.n_shingles, r.component_id, r.kept) for r in near_dup.near_duplicates(df).collect()), key=str)
+    assert got == brute_components(docs)
+    assert len(near_dup.drop_near_duplicates(df).columns) == len(df.columns)
+
+
 def test_one_document_of_each_group_stays(spark, awkward):
     kept = near_dup.drop_near_duplicates(awkward)
     assert kept.columns == awkward.columns
@@ -176,6 +193,27 @@ def test_decontamination_sql(spark, duck):
     same(entries.op10_decontaminate(spark, SF), duck.execute(entries.OP10_SQL).df())
 
 
+def test_few_slices_are_in_flight(spark, monkeypatch):
+    """A benchmark of many slices is searched by few at a time, whose broadcasts are given up before the next."""
+    monkeypatch.setattr(decontaminate, "SLICE_PAIRS", 5)
+    alive, most, send = set(), [0], spark.sparkContext.broadcast
+
+    def broadcast(value):
+        held = send(value)
+        alive.add(held)
+        most[0] = max(most[0], len(alive))
+        give_up = held.destroy
+        held.destroy = lambda: (alive.discard(held), give_up())
+        return held
+
+    monkeypatch.setattr(spark.sparkContext, "broadcast", broadcast)
+    items = [(i, " ".join(f"q{i}x{j}" for j in range(18))) for i in range(8)]
+    docs = [(i, f"start {items[i % 8][1]} middle {items[3][1]} end") for i in range(20)] + [(30, "clean"), (31, None)]
+    got = {r.doc_id: tuple(r[2:]) for r in decontaminate.annotate(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")).collect()}
+    assert got == {i: brute_hits(t, items) for i, t in docs}
+    assert not alive and most[0] == decontaminate.IN_FLIGHT
+
+
 @pytest.mark.parametrize("pairs", [100_000, 7])
 def test_windows_of_all_lengths(spark, awkward, pairs, monkeypatch):
     monkeypatch.setattr(decontaminate, "SLICE_PAIRS", pairs)
