@@ -1,174 +1,317 @@
 """Licence scan by a trained paragraph classifier.
 
-Paragraphs (lines) are turned into hashed word 1- and 2-grams; a multinomial logistic regression with a
-sparse penalty tells licence families from paragraphs of none. It is trained on windows of words of the
-templates below and on paragraphs of a bounded sample of the corpus: those whose words a template covers are its family, those
-that no template covers to a half are of none. On a held-out fifth the least probability is found at which no more than one of a hundred
-family predictions is wrong. Asked are whole paragraphs and their sentences, long ones in overlapping windows, so that a notice within a longer
-line is found. What is more likely a licence than none, but below that bar or with the name of a family that has no template, is of
-family unknown. A prediction is confirmed if the family's template covers enough of the words of the piece, or of a window
-of it that holds a pair of words that no other template has.
+Paragraphs (blocks of lines between blank ones) are read in windows of WINDOW words, a new one each STEP words, so that a notice is found
+inside longer prose and across line feeds. A window is counts of hashed word 1- and 2-grams; a multinomial logistic
+regression with a sparse penalty tells it for one of the licence families, for a licence of another family, or for none.
+
+It is trained on labelled notices (NOTICES, OTHER_NOTICES and NO_NOTICES below, or a table of reviewed paragraphs besides) alone and
+inside windows of a bounded sample of the corpus. Notices and documents are parted before windows are cut: those held out
+fit a temperature, which calibrates the probabilities, the bar at which no more than WRONG of the held-out family predictions are wrong, and
+the bar at which no more than FALSE of the held-out windows without a notice are held for any licence. What is likely a licence
+by the second bar, but below the first, of another family or with the name of one, is of family unknown.
+
+A prediction is confirmed by comparison with the family's notices word by word, in order: a run of RUN_WORDS words or more of the window and the words
+around it must stand in a notice, with a pair of words that no other family has, or a SHORT notice must stand in it whole.
+
+A window is classified only if the sum of the largest advantage over none that each of its words and pairs can give to any class
+is high enough for the second bar. This bound never leaves out a window that the classifier would report, and is cheap: weights are looked up by hash.
 
 Defined results: a null text has no paragraph; blank paragraphs are of no family; equal texts get equal results, equal
-rows all stay; ties of probability go to the family first in the alphabet; an empty table gives no rows; columns of the input keep their names and
+rows all stay; ties of probability go to the class first in the alphabet; an empty table gives no rows; columns of the input keep their names and
 values, result columns replace any of the same name.
 """
 
 from __future__ import annotations
 
+import json
+import math
 import re
 
-from pyspark.ml import PipelineModel
-from pyspark.ml.classification import LogisticRegression, LogisticRegressionModel
-from pyspark.ml.feature import HashingTF, NGram, VectorAssembler
+import numpy as np
+from pyspark.ml.classification import LogisticRegression
+from pyspark.ml.feature import CountVectorizer
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from pairline.llm.common import cut
-
-# Notices of licence families, as their authors publish them.
-TEMPLATES = {
-    "apache": "Licensed under the Apache License, Version 2.0 (the License); you may not use this file except in compliance with the License. You may obtain a copy of the License at. Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an AS IS BASIS, without warranties or conditions of any kind, either express or implied.",
-    "bsd": "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer. Use of this source code is governed by a BSD-style license that can be found in the LICENSE file. Released under the BSD 3-Clause License.",
-    "cc-by": "This work is licensed under a Creative Commons Attribution 4.0 International License. Licensed under CC BY 4.0. You are free to share and adapt the material for any purpose, even commercially, under the Attribution term.",
-    "cc-by-nc": "This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License. Licensed under CC BY-NC 4.0. You may not use the material for commercial purposes, NonCommercial only.",
-    "gpl": "This program is free software: you can redistribute it and or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or at your option any later version. This work is licensed under the GNU General Public License, version 3. GPL-3.0-or-later",
-    "mit": "Released under the MIT License. The MIT License (MIT). Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the Software), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense.",
-    "mpl": "This Source Code Form is subject to the terms of the Mozilla Public License, version 2.0. If a copy of the MPL was not distributed with this file, you can obtain one at.",
-    "reserved": "All rights reserved. Copyright. No part of this publication may be reproduced, stored or transmitted in any form without prior written permission of the copyright holder.",
+from pairline.llm.common import cut, spread_join
+
+# Notices of licence families, as their authors publish them; the last of each family is held out.
+NOTICES = {
+    "apache": [
+        "Licensed under the Apache License, Version 2.0 (the License); you may not use this file except in compliance with the License. You may obtain a copy of the License at. Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an AS IS BASIS, without warranties or conditions of any kind, either express or implied.",
+        "Licensed under the Apache License, Version 2.0.",
+        "This project is licensed under the Apache License 2.0.",
+        "SPDX-License-Identifier: Apache-2.0",
+        "Released under the Apache License, Version 2.0.",
+    ],
+    "bsd": [
+        "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer.",
+        "Use of this source code is governed by a BSD-style license that can be found in the LICENSE file.",
+        "Released under the BSD 3-Clause License.",
+        "This project is licensed under the BSD 3-Clause License.",
+    ],
+    "cc-by": [
+        "This work is licensed under a Creative Commons Attribution 4.0 International License.",
+        "Licensed under CC BY 4.0.",
+        "You are free to share and adapt the material for any purpose, even commercially, under the Attribution term.",
+        "This article is available under the Creative Commons Attribution License, CC BY 4.0.",
+    ],
+    "cc-by-nc": [
+        "This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License.",
+        "Licensed under CC BY-NC 4.0.",
+        "You may not use the material for commercial purposes, NonCommercial only.",
+        "This article is available under the Creative Commons Attribution-NonCommercial License, CC BY-NC 4.0.",
+    ],
+    "gpl": [
+        "This program is free software: you can redistribute it and or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or at your option any later version.",
+        "This work is licensed under the GNU General Public License, version 3.",
+        "SPDX-License-Identifier: GPL-3.0-or-later",
+        "Released under the GNU General Public License, version 3.",
+    ],
+    "mit": [
+        "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the Software), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense.",
+        "Released under the MIT License.",
+        "The MIT License (MIT).",
+        "This project is licensed under the MIT License.",
+    ],
+    "mpl": [
+        "This Source Code Form is subject to the terms of the Mozilla Public License, version 2.0. If a copy of the MPL was not distributed with this file, you can obtain one at.",
+        "SPDX-License-Identifier: MPL-2.0",
+        "Released under the Mozilla Public License, version 2.0.",
+        "This project is licensed under the Mozilla Public License 2.0.",
+    ],
+    "reserved": [
+        "All rights reserved.",
+        "No part of this publication may be reproduced, stored or transmitted in any form without prior written permission of the copyright holder.",
+        "Copyright. All rights reserved by the author.",
+        "Copyright by the publisher. All rights reserved.",
+    ],
 }
-NONE, UNKNOWN = "none", "unknown"
-# Words in the names of families that have no template.
+# Notices of families that are reported as unknown; every third is held out.
+OTHER_NOTICES = [
+    "This work is licensed under the GNU Lesser General Public License, version 3.",
+    "This program is licensed under the GNU Affero General Public License, version 3.",
+    "This program and the accompanying materials are made available under the Eclipse Public License 2.0.",
+    "Licensed under CC BY-SA 4.0.",
+    "Licensed under the European Union Public Licence 1.2.",
+    "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License.",
+    "This is free and unencumbered software released into the public domain, the Unlicense.",
+    "Permission to use, copy, modify, and or distribute this software for any purpose with or without fee is hereby granted, the ISC License.",
+    "Licensed under the Artistic License 2.0.",
+    "Distributed under the Boost Software License, Version 1.0.",
+    "Released under the zlib License.",
+    "Licensed under CC BY-ND 4.0.",
+]
+# Lines that share words with notices and are none; every third is held out.
+NO_NOTICES = [
+    "Copyright holder rights.", "Version 2.0.", "The driver's license was issued in version 3 of the form.", "She asked permission of the public library to copy the file.",
+    "General conditions of the software market are free of charge.", "He was granted a commercial license to deal in wine.", "The software is distributed with source code.",
+    "Terms and conditions of use.", "Any later version of the work was published by the foundation.", "The copyright notice was retained.", "Material may be adapted for any purpose.", "Without limitation, rights were reserved for members.",
+]
+# Notices shorter than RUN_WORDS, and words in the names of families without notices above.
+SHORT = {"mit": ["the mit license"], "reserved": ["all rights reserved"]}
 OTHERS = "affero agpl artistic boost bsl cddl cecill cpl ecl eclipse epl eupl fdl isc lesser lgpl library nd noderivatives noderivs ofl openssl sa sharealike sspl unlicense wtfpl zlib".split()
-CLASSES = [NONE, *sorted(TEMPLATES)]
-FEATURES, WORD = 1 << 12, r"[\p{L}\p{N}]+"
-#: Documents whose paragraphs are sampled, about; template words that a labelled and a confirmed paragraph must have; wrong predictions allowed.
-SAMPLE_DOCS, LABEL_COVER, CONFIRM_COVER, WRONG = 1500, 0.95, 0.75, 0.01
-#: Words of the longest piece of a sentence (as the longest training windows), between the starts of pieces, and of a confirming window.
-PIECE, STEP, CONFIRM_WORDS = 24, 12, 4
+NONE, UNKNOWN = "none", "unknown"
+CLASSES = sorted([NONE, UNKNOWN, *NOTICES])
+WORD = r"[\p{L}\p{N}]+"
+#: Hash values for words and for pairs; words of a window, between the starts of windows, and before and after a window that are compared too.
+BUCKETS, WINDOW, STEP, AROUND = 1 << 15, 16, 4, 12
+#: Documents whose windows are sampled, about, and windows of the sample that each notice is put into; allowed shares of wrong families and of false licences; words of a confirming run.
+SAMPLE_DOCS, MIXED, WRONG, FALSE, RUN_WORDS = 1500, 12, 0.01, 0.001, 4
+FINDINGS = "array<struct<place:int,family:string,probability:double,confirmed:boolean>>"
 
 
 def words_of(text: Column) -> Column:
     return F.regexp_extract_all(F.lower(text), F.lit(f"({WORD})"), F.lit(1))
 
 
-def _templates() -> Column:
-    pairs = []
-    for family, text in sorted(TEMPLATES.items()):
-        pairs += [F.lit(family), F.array_distinct(words_of(F.lit(text)))]
-    return F.create_map(*pairs)
+def paragraphs_of(text: Column) -> Column:
+    return F.split(text, r"\n\s*\n", -1)
 
 
-def cover(words: Column, family: Column) -> Column:
-    """The share of different words that the family's template has."""
-    own = F.array_distinct(words)
-    return F.coalesce(F.size(F.array_intersect(own, F.element_at(_templates(), family))) / F.nullif(F.size(own), F.lit(0)), F.lit(0.0))
+def plain_words(text: str) -> list[str]:
+    return re.findall(r"[^\W_]+", text.lower())
 
 
-def paragraphs(docs: DataFrame, text_col: str) -> DataFrame:
-    """(t1, t2, place, words): the paragraphs with words, by the hash of the text."""
-    text = F.col(text_col)
-    each = docs.select(F.xxhash64(text).alias("t1"), F.xxhash64(F.lit("2"), text).alias("t2"), F.posexplode(F.split(text, "\n", -1)).alias("place", "paragraph"))
-    return each.select("t1", "t2", "place", words_of(F.col("paragraph")).alias("words")).where(F.size("words") > 0)
+def _bucket(*words: Column) -> Column:
+    return F.pmod(F.xxhash64(*words), F.lit(BUCKETS)).cast("int")
+
+
+def grams(words: Column) -> Column:
+    """The hash values of a window's words, and of its pairs from BUCKETS on."""
+    ones = F.transform(words, lambda w: _bucket(w))
+    pairs = F.transform(F.slice(words, 1, F.greatest(F.size(words) - 1, F.lit(0))), lambda w, i: _bucket(w, F.get(words, i + 1)) + BUCKETS)
+    return F.transform(F.concat(ones, pairs), lambda g: g.cast("string"))
 
 
-def pieces(docs: DataFrame, text_col: str) -> DataFrame:
-    """(t1, t2, place, words): as paragraphs, and for those of several sentences or many words also their sentences in pieces."""
+def labelled_rows(spark: SparkSession, docs: DataFrame, text_col: str, labelled: DataFrame | None) -> DataFrame:
+    """(words, family, held): windows of notices, alone and between words of sampled documents, and windows of these; held ones calibrate."""
+    rows = [(n, f, i == len(own) - 1) for f, own in NOTICES.items() for i, n in enumerate(own)]
+    rows += [(n, f, i % 3 == 2) for own, f in ((OTHER_NOTICES, UNKNOWN), (NO_NOTICES, NONE)) for i, n in enumerate(own)]
+    notices = spark.createDataFrame(rows, "text string, family string, held boolean")
+    if labelled is not None:
+        reviewed = labelled.where(F.col("text").isNotNull() & F.col("family").isin(CLASSES)).select("text", "family")
+        notices = notices.union(reviewed.withColumn("held", F.pmod(F.xxhash64("text"), F.lit(5)) == 0))
+    notices = notices.select("family", "held", words_of(F.col("text")).alias("all")).where(F.size("all") > 0)
+    ends = F.transform(F.sequence(F.lit(0), F.greatest(F.size("all") - WINDOW, F.lit(0)), F.lit(4)), lambda i: F.slice("all", i + 1, F.lit(WINDOW)))
+    spans = notices.select("family", "held", F.explode(ends).alias("span"))
+    every = max(1, docs.count() // SAMPLE_DOCS)
     text = F.col(text_col)
-    each = docs.select(F.xxhash64(text).alias("t1"), F.xxhash64(F.lit("2"), text).alias("t2"), F.posexplode(F.split(text, "\n", -1)).alias("place", "paragraph"))
-    split = each.select("t1", "t2", "place", F.filter(F.transform(F.split("paragraph", r"[.!?;:]+\s+"), words_of), lambda s: F.size(s) > 0).alias("sentences")).where(F.size("sentences") > 0)
-    windows = F.flatten(F.transform("sentences", lambda s: F.transform(F.sequence(F.lit(1), F.greatest(F.lit(1), F.size(s) - (PIECE - STEP)), F.lit(STEP)), lambda i: F.slice(s, i, F.lit(PIECE)))))
-    return split.select("t1", "t2", "place", F.explode(F.array_distinct(F.concat(F.array(F.flatten("sentences")), windows))).alias("words"))
+    sample = docs.where(F.pmod(F.xxhash64(F.lit("sample"), text), F.lit(every)) == 0).select(text.alias("text")).distinct()
+    sample = sample.select((F.pmod(F.xxhash64(F.lit("held"), "text"), F.lit(5)) == 0).alias("held"), F.explode(paragraphs_of(F.col("text"))).alias("paragraph"))
+    sample = sample.select("held", words_of(F.col("paragraph")).alias("all")).where(F.size("all") > 0)
+    cuts = F.transform(F.slice(F.shuffle(F.sequence(F.lit(0), F.size("all") - 1, F.lit(WINDOW)), F.lit(3)), 1, 4), lambda i: F.slice("all", i + 1, F.lit(WINDOW)))
+    telling = sorted({t for own in [*_triples().values(), _triples({"": OTHER_NOTICES})[""]] for t in own})
+    # a window of the corpus with three words of a notice in a row may be one
+    plain = sample.select("held", F.explode(cuts).alias("words")).where(~F.arrays_overlap(_joined(F.col("words"), 3), F.array(*map(F.lit, telling))))
+    plain = plain.withColumn("turn", F.pmod(F.xxhash64("words"), F.lit(64)))
+    mixed = spans.withColumn("turn", F.explode(F.array(*[F.pmod(F.xxhash64("span", F.lit(k)), F.lit(64)) for k in range(MIXED)])))
+    mixed = mixed.join(plain.groupBy("held", "turn").agg(F.min("words").alias("words")), ["held", "turn"])
+    free = F.greatest(F.lit(0), F.lit(WINDOW) - F.size("span"))
+    before = F.pmod(F.xxhash64("span", "turn"), free + 1).cast("int")
+    between = F.concat(F.slice("words", 1, before), "span", F.slice("words", before + 1, free - before))
+    out = spans.select(F.col("span").alias("words"), "family", "held").union(mixed.select(between, "family", "held"))
+    return out.union(plain.select("words", F.lit(NONE), "held"))
 
 
 def _pairs() -> dict[str, list[str]]:
-    """The pairs of neighbouring words that only one template has."""
-    split = {f: re.findall(r"[^\W_]+", t.lower()) for f, t in TEMPLATES.items()}
-    own = {f: {f"{a} {b}" for a, b in zip(w, w[1:], strict=False)} for f, w in split.items()}
+    """The pairs of neighbouring words that only one family's notices have."""
+    split = {f: [plain_words(n) for n in own] for f, own in NOTICES.items()}
+    own = {f: {f"{a} {b}" for w in each for a, b in zip(w, w[1:], strict=False)} for f, each in split.items()}
     return {f: sorted(p - set().union(*[own[g] for g in own if g != f])) for f, p in own.items()}
 
 
-def confirmed(words: Column, family: Column) -> Column:
-    """Whether the template covers the piece, or a window with a pair of words of its own."""
-    pairs = F.create_map(*[c for f, p in sorted(_pairs().items()) for c in (F.lit(f), F.array(*map(F.lit, p)))])
-    template, own = F.element_at(_templates(), family), F.element_at(pairs, family)
-    starts = F.sequence(F.lit(1), F.greatest(F.lit(1), F.size(words) - (CONFIRM_WORDS - 1)))
+def _triples(notices: dict[str, list[str]] = NOTICES) -> dict[str, list[str]]:
+    split = {f: [plain_words(n) for n in own] for f, own in notices.items()}
+    return {f: sorted({" ".join(w[i : i + 3]) for w in each for i in range(len(w) - 2)}) for f, each in split.items()}
 
-    def covers(i: Column) -> Column:
-        window = F.slice(words, i, F.lit(CONFIRM_WORDS))
-        near = F.transform(F.sequence(F.lit(1), F.greatest(F.lit(1), F.size(window) - 1)), lambda k: F.array_join(F.slice(window, k, F.lit(2)), " "))
-        distinct = F.array_distinct(window)
-        return (F.size(F.array_intersect(distinct, template)) >= CONFIRM_COVER * F.size(distinct)) & F.arrays_overlap(near, own)
 
-    return (cover(words, family) >= CONFIRM_COVER) | F.exists(starts, covers)
+def _by_family(lists: dict[str, list[str]]) -> Column:
+    return F.create_map(*[c for f, own in sorted(lists.items()) for c in (F.lit(f), F.array(*map(F.lit, own)))])
 
 
-def training_rows(spark: SparkSession, docs: DataFrame, text_col: str) -> DataFrame:
-    """(words, label, held): template windows and labelled paragraphs of the sample; held marks a fifth for calibration."""
-    windows = spark.createDataFrame(sorted(TEMPLATES.items()), "family string, text string").select("family", words_of(F.col("text")).alias("all"))
-    windows = windows.withColumn("n", F.explode(F.array(*[F.lit(n) for n in (4, 6, 9, 14, 24)]))).where(F.size("all") >= F.col("n"))
-    windows = windows.withColumn("at", F.explode(F.expr("sequence(1, size(all) - n + 1)"))).select(F.slice("all", F.col("at"), F.col("n")).alias("words"), F.array_position(F.array(*map(F.lit, CLASSES)), F.col("family")).cast("double").alias("label"))
-    every = max(1, docs.count() // SAMPLE_DOCS)
-    sample = paragraphs(docs.where(F.pmod(F.xxhash64(F.lit("sample"), text_col), F.lit(every)) == 0), text_col).select("words").distinct()
-    covers = F.array(*[F.struct(cover(F.col("words"), F.lit(f)).alias("cover"), F.lit(k + 1.0).alias("label")) for k, f in enumerate(CLASSES[1:])])
-    rated = sample.withColumn("best", F.array_max(covers))
-    known = rated.where(F.col("best.cover") >= LABEL_COVER).select("words", F.col("best.label").alias("label"))
-    other = rated.where(F.col("best.cover") < 0.5).select("words", F.lit(1.0).alias("label") * 0)
-    rows = windows.withColumn("label", F.col("label") - 1).union(known).union(other)
-    return rows.withColumn("held", F.pmod(F.xxhash64("words"), F.lit(5)) == 0)
-
-
-def featurise(rows: DataFrame) -> DataFrame:
-    one = HashingTF(inputCol="words", outputCol="__one", numFeatures=FEATURES, binary=True)
-    pairs = NGram(n=2, inputCol="words", outputCol="__pairs")
-    two = HashingTF(inputCol="__pairs", outputCol="__two", numFeatures=FEATURES, binary=True)
-    both = VectorAssembler(inputCols=["__one", "__two"], outputCol="features")
-    return PipelineModel([one, pairs, two, both]).transform(rows).drop("__one", "__pairs", "__two")
-
-
-def predict(model: LogisticRegressionModel, rows: DataFrame) -> DataFrame:
-    """rows with family and probability of the likeliest class, and the probability of none."""
-    out = model.transform(featurise(rows)).withColumn("__p", vector_to_array("probability"))
-    best = F.array_max("__p")
-    family = F.element_at(F.array(*map(F.lit, CLASSES)), F.array_position("__p", best).cast("int"))
-    return out.withColumn("family", family).withColumn("probability", best).withColumn("p_none", F.element_at("__p", 1)).drop("__p", "features", "rawPrediction", "prediction")
-
-
-def train(spark: SparkSession, docs: DataFrame, text_col: str = "text") -> tuple[LogisticRegressionModel, float]:
-    """The classifier and the least probability at which a family is believed."""
-    rows = cut(training_rows(spark, docs, text_col), "licences")
-    learner = LogisticRegression(maxIter=30, regParam=0.002, elasticNetParam=0.3, family="multinomial")
-    model = learner.fit(featurise(rows.where("not held").coalesce(4)))
-    bars = [0.3, 0.4, 0.5, 0.6, 0.7, 0.8, 0.9]
-    tried = predict(model, rows.where("held")).where(F.col("family") != NONE)
-    right = F.element_at(F.array(*map(F.lit, CLASSES)), (F.col("label") + 1).cast("int")) == F.col("family")
-    counts = tried.agg(*[F.count_if(F.col("probability") >= b).alias(f"n{i}") for i, b in enumerate(bars)], *[F.count_if((F.col("probability") >= b) & ~right).alias(f"w{i}") for i, b in enumerate(bars)]).first()
-    for i, b in enumerate(bars):
-        if counts[f"w{i}"] <= WRONG * counts[f"n{i}"]:
-            return model, b
-    return model, bars[-1]
-
-
-def scan(docs: DataFrame, text_col: str = "text") -> DataFrame:
-    """docs with n_paragraphs, n_licences, families (sorted) and findings (paragraph number, family or unknown, probability of it or of any licence, confirmed)."""
-    spark = docs.sparkSession
+def _joined(words: Column, n: int) -> Column:
+    """The runs of n words, as strings."""
+    starts = F.sequence(F.lit(1), F.greatest(F.lit(1), F.size(words) - (n - 1)))
+    return F.transform(starts, lambda i: F.array_join(F.slice(words, i, F.lit(n)), " "))
+
+
+def confirmed(words: Column, family: Column) -> Column:
+    """Whether a run of the words stands in a notice of the family, in order, or a short notice in the words."""
+    known = F.element_at(_by_family(_triples()), family)
+    start = F.struct(F.lit(0).alias("now"), F.lit(0).alias("best"))
+
+    def longer(s: Column, triple: Column) -> Column:
+        now = F.when(F.array_contains(known, triple), s["now"] + 1).otherwise(0)
+        return F.struct(now.alias("now"), F.greatest(s["best"], now).alias("best"))
+
+    run = F.aggregate(_joined(words, 3), start, longer, lambda s: s["best"])
+    own = F.arrays_overlap(_joined(words, 2), F.element_at(_by_family(_pairs()), family))
+    short = F.exists(F.element_at(_by_family(SHORT | {f: [] for f in NOTICES if f not in SHORT}), family).cast("array<string>"), lambda p: F.contains(F.concat(F.lit(" "), F.array_join(words, " "), F.lit(" ")), F.concat(F.lit(" "), p, F.lit(" "))))
+    return F.coalesce((run >= RUN_WORDS - 2) & own | short, F.lit(False))
+
+
+class Classifier:
+    """A fitted classifier with its temperature and the least probabilities at which a family and any licence are believed."""
+
+    def __init__(self, spark: SparkSession, docs: DataFrame, text_col: str = "text", labelled: DataFrame | None = None):
+        rows = cut(labelled_rows(spark, docs, text_col, labelled).select("held", "family", grams(F.col("words")).alias("grams")), "licences")
+        rows = rows.withColumn("label", (F.array_position(F.array(*map(F.lit, CLASSES)), F.col("family")) - 1).cast("double"))
+        own = rows.where("not held").coalesce(4)
+        self.counter = CountVectorizer(inputCol="grams", outputCol="features", vocabSize=2 * BUCKETS).fit(own)
+        self.model = LogisticRegression(maxIter=40, regParam=0.0001, elasticNetParam=0.3, family="multinomial", standardization=False).fit(self.counter.transform(own))
+        held = cut(self.raw(rows.where("held")).select("label", "raw"), "held")
+        self.temperature, self.bar, self.any_bar = 1.0, 0.5, 0.5
+        self._calibrate(held)
+
+    def raw(self, rows: DataFrame) -> DataFrame:
+        return self.model.transform(self.counter.transform(rows)).withColumn("raw", vector_to_array("rawPrediction"))
+
+    def _calibrate(self, held: DataFrame) -> None:
+        """The temperature of the least loss over the held-out rows, then the lowest bar with few enough wrong families."""
+        grid = [0.25, 0.35, 0.5, 0.7, 1.0, 1.4, 2.0, 2.8, 4.0]
+        losses = held.agg(*[F.avg(-F.log(F.greatest(F.lit(1e-12), F.element_at(_softmax(F.col("raw"), t), F.col("label").cast("int") + 1)))).alias(f"t{i}") for i, t in enumerate(grid)]).first()
+        if losses[0] is None:
+            return
+        self.temperature = min(zip(losses, grid, strict=True))[1]
+        p = _softmax(F.col("raw"), self.temperature)
+        tried = held.withColumn("p", p).withColumn("best", F.array_max("p")).withColumn("at", F.array_position("p", F.col("best")))
+        tried = tried.where(~F.element_at(F.array(*map(F.lit, CLASSES)), F.col("at").cast("int")).isin(NONE, UNKNOWN))
+        wrong = F.col("at") != F.col("label") + 1
+        bars = [0.3, 0.4, 0.5, 0.6, 0.7, 0.8, 0.9, 0.95]
+        counts = tried.agg(*[f(c).alias(f"{k}{i}") for i, b in enumerate(bars) for k, f, c in (("n", F.count_if, F.col("best") >= b), ("w", F.count_if, (F.col("best") >= b) & wrong))]).first()
+        licence = 1 - F.element_at(p, CLASSES.index(NONE) + 1)
+        plain = held.where(F.col("label") == CLASSES.index(NONE)).agg(F.count("*").alias("n"), *[F.count_if(licence >= b).alias(f"w{i}") for i, b in enumerate(bars)]).first()
+        self.any_bar = next((b for i, b in enumerate(bars) if plain[f"w{i}"] <= FALSE * plain["n"]), bars[-1])
+        self.bar = next((b for i, b in enumerate(bars) if counts[f"w{i}"] <= WRONG * counts[f"n{i}"]), bars[-1])
+
+    def advantage(self) -> tuple[Column, float]:
+        """For each hash value the largest advantage over none that it can give to a class, as one array, and that of the intercepts less what is needed."""
+        none = CLASSES.index(NONE)
+        weights, base = self.model.coefficientMatrix.toArray(), self.model.interceptVector.toArray()
+        best = np.delete(weights - weights[none], none, axis=0).max(axis=0)
+        table = np.zeros(2 * BUCKETS)
+        for gram, x in zip(self.counter.vocabulary, best.tolist(), strict=True):
+            table[int(gram)] = x
+        table[BUCKETS:] = np.maximum(table[BUCKETS:], 0)  # a pair may reach over the end of a window
+        needed = self.temperature * math.log(self.any_bar / (1 - self.any_bar) / (len(CLASSES) - 1))  # if all classes were alike
+        return F.from_json(F.lit(json.dumps(table.tolist())), "array<double>"), float(np.delete(base - base[none], none).max() - needed)
+
+
+def _softmax(raw: Column, temperature: float) -> Column:
+    top = F.array_max(raw)
+    powers = F.transform(raw, lambda x: F.exp((x - top) / temperature))
+    return F.transform(powers, lambda x: x / F.aggregate(powers, F.lit(0.0), lambda s, y: s + y))
+
+
+def candidates(docs: DataFrame, text_col: str, classifier: Classifier) -> DataFrame:
+    """(t1, t2, place, words, around): the windows that can be held for a licence."""
+    text = F.col(text_col)
+    table, base = classifier.advantage()
+    each = docs.select(F.xxhash64(text).alias("t1"), F.xxhash64(F.lit("2"), text).alias("t2"), F.posexplode(paragraphs_of(text)).alias("place", "paragraph"))
+    each = each.select("t1", "t2", "place", words_of(F.col("paragraph")).alias("all")).where(F.size("all") > 0)
+    gain = F.transform("all", lambda w, i: F.get(table, _bucket(w)) + F.get(table, _bucket(w, F.get("all", i + 1)) + BUCKETS))
+    each = each.withColumn("gain", gain)
+    starts = F.sequence(F.lit(0), F.greatest(F.lit(0), F.size("all") - (WINDOW - STEP) - 1), F.lit(STEP))
+    likely = F.filter(starts, lambda i: F.aggregate(F.slice("gain", i + 1, F.lit(WINDOW)), F.lit(base), lambda s, x: s + x) >= 0)
+    each = each.select("t1", "t2", "place", "all", F.explode(likely).alias("at"))
+    around = F.slice("all", F.greatest(F.lit(1), F.col("at") + 1 - AROUND), F.lit(WINDOW + AROUND) + F.least(F.col("at"), F.lit(AROUND)))
+    return each.select("t1", "t2", "place", F.slice("all", F.col("at") + 1, F.lit(WINDOW)).alias("words"), around.alias("around"))
+
+
+def predict(classifier: Classifier, rows: DataFrame) -> DataFrame:
+    """rows (words) with family and calibrated probability; rows that are hardly a licence are left out. Unknown: the probability of any licence."""
+    out = classifier.raw(rows.withColumn("grams", grams(F.col("words")))).withColumn("p", _softmax(F.col("raw"), classifier.temperature)).drop("grams", "features", "raw", "rawPrediction", "probability", "prediction")
+    none = F.element_at("p", CLASSES.index(NONE) + 1)
+    best = F.array_max("p")
+    family = F.element_at(F.array(*map(F.lit, CLASSES)), F.array_position("p", best).cast("int"))
+    out = out.withColumns({"family": family, "probability": best, "none": none}).where(1 - F.col("none") >= classifier.any_bar)
+    known = ~F.col("family").isin(NONE, UNKNOWN) & (F.col("probability") >= classifier.bar) & ~F.arrays_overlap("words", F.array(*map(F.lit, OTHERS)))
+    out = out.withColumn("known", known)
+    return out.withColumn("family", F.when(F.col("known"), F.col("family")).otherwise(UNKNOWN)).withColumn("probability", F.when(F.col("known"), F.col("probability")).otherwise(1 - F.col("none"))).drop("known", "none", "p")
+
+
+def scan(docs: DataFrame, text_col: str = "text", labelled: DataFrame | None = None) -> DataFrame:
+    """docs with n_paragraphs, n_licences, families (sorted) and findings (paragraph number, family or unknown, probability of it or of any licence, confirmed).
+
+    labelled: (text, family) of reviewed paragraphs, to learn from besides; family may be none or unknown.
+    """
     added = ("n_paragraphs", "n_licences", "families", "findings")
-    kept = docs.select(*[c for c in docs.columns if c not in added])
-    model, bar = train(spark, docs, text_col)
-    likely = predict(model, pieces(docs, text_col)).where((F.col("family") != NONE) | (F.col("p_none") < 0.5))
-    other = F.arrays_overlap("words", F.array(*map(F.lit, OTHERS)))
-    known = (F.col("family") != NONE) & (F.col("probability") >= bar) & ~other
-    named = likely.withColumn("family", F.when(known, F.col("family")).otherwise(UNKNOWN)).withColumn("probability", F.when(known, F.col("probability")).otherwise(1 - F.col("p_none")))
-    rated = named.withColumn("confirmed", (F.col("family") != UNKNOWN) & F.coalesce(confirmed(F.col("words"), F.col("family")), F.lit(False)))
+    kept = [c for c in docs.columns if c not in added]
+    classifier = Classifier(docs.sparkSession, docs, text_col, labelled)
+    rated = predict(classifier, candidates(docs, text_col, classifier))
+    rated = rated.withColumn("confirmed", (F.col("family") != UNKNOWN) & confirmed(F.col("around"), F.col("family")))
     # one finding of each family in a paragraph; unknown, and what is not confirmed, only beside none that is
     rated = rated.groupBy("t1", "t2", "place", "family").agg(F.max("confirmed").alias("confirmed"), F.max("probability").alias("probability"))
     sure = F.max("confirmed").over(Window.partitionBy("t1", "t2", "place"))
-    rated = rated.withColumn("__sure", sure).where("confirmed or not __sure")
-    per_text = rated.groupBy("t1", "t2").agg(F.array_sort(F.collect_list(F.struct("place", "family", "probability", "confirmed"))).alias("findings"))
+    rated = rated.withColumn("sure", sure).where("confirmed or not sure")
+    per_text = cut(rated.groupBy("t1", "t2").agg(F.array_sort(F.collect_list(F.struct("place", "family", "probability", "confirmed"))).alias("found")), "findings")
     text = F.col(text_col)
-    keyed = kept.withColumns({"t1": F.xxhash64(text), "t2": F.xxhash64(F.lit("2"), text), "n_paragraphs": F.coalesce(F.size(F.split(text, "\n", -1)), F.lit(0)).cast("long")}).withColumn("n_paragraphs", F.when(text.isNull(), 0).otherwise(F.col("n_paragraphs")))
-    out = keyed.join(per_text, ["t1", "t2"], "left")
-    sure = F.filter("findings", lambda x: x.confirmed)
-    none = F.expr("cast(array() as array<struct<place:int,family:string,probability:double,confirmed:boolean>>)")
-    return out.withColumn("findings", F.coalesce("findings", none)).select(*kept.columns, "n_paragraphs", F.size(sure).cast("long").alias("n_licences"), F.array_sort(F.array_distinct(F.transform(sure, lambda x: x.family))).alias("families"), "findings")
+    blocks = F.size(F.filter(paragraphs_of(text), lambda p: p.rlike(WORD)))
+    n = F.when(text.isNull(), 0).otherwise(blocks).cast("long")
+    keyed = docs.select(F.struct(*kept).alias("row"), F.xxhash64(text).alias("t1"), F.xxhash64(F.lit("2"), text).alias("t2"), F.xxhash64(*[c for c in kept if c != text_col]).alias("other"), n.alias("n"))
+    out = spread_join(keyed, per_text, ["t1", "t2"], ["other"], "left").withColumn("found", F.coalesce("found", F.expr(f"cast(array() as {FINDINGS})")))
+    sure = F.filter("found", lambda x: x.confirmed)
+    families = F.array_sort(F.array_distinct(F.transform(sure, lambda x: x.family)))
+    return out.select(*[F.col("row")[c].alias(c) for c in kept], F.col("n").alias("n_paragraphs"), F.size(sure).cast("long").alias("n_licences"), families.alias("families"), F.col("found").alias("findings"))
