@@ -113,14 +113,15 @@ SQL = {
       FROM (SELECT row_number() OVER (ORDER BY x.conv_id, x.turn) - 1 AS prompt_idx, x.text AS a, y.text AS c, x.conv_id, x.turn FROM conversations x JOIN conversations y ON x.conv_id = y.conv_id AND y.turn = x.turn + 1) p
       JOIN benchmark b ON b.item_id = prompt_idx % (SELECT count(*) FROM benchmark)""",
     "lists": "SELECT doc_id, source, string_split(text, chr(10)) AS captions FROM documents",
-    "vecs": "SELECT vec_id, embedding::DOUBLE[] AS v, count(*) OVER () AS n FROM embeddings",
-    "samples": """SELECT a.vec_id // 5 AS prompt_idx, a.vec_id * 100 + draw AS seed, a.v AS image0, b.v AS image1, s.v AS text0, t.v AS text1
-      FROM vecs a, range(1, 9) AS r(draw), vecs b, vecs s, vecs t
-      WHERE b.vec_id = (a.vec_id + draw) % a.n AND s.vec_id = (a.vec_id + 1) % a.n AND t.vec_id = (b.vec_id + 1) % a.n""",
-    "metrics": """SELECT prompt_idx, seed, list_cosine_similarity(image0, text0) AS sim_0, list_cosine_similarity(image1, text1) AS sim_1, list_cosine_similarity(image0, image1) AS sim_image,
-      list_cosine_similarity(list_transform(list_zip(n1, n0), lambda z: z[1] - z[2]), list_transform(list_zip(m1, m0), lambda z: z[1] - z[2])) AS sim_dir
-      FROM (SELECT *, list_transform(image0, lambda x: x / sqrt(list_dot_product(image0, image0))) AS n0, list_transform(image1, lambda x: x / sqrt(list_dot_product(image1, image1))) AS n1,
-        list_transform(text0, lambda x: x / sqrt(list_dot_product(text0, text0))) AS m0, list_transform(text1, lambda x: x / sqrt(list_dot_product(text1, text1))) AS m1 FROM samples)""",
+    "vecs": """SELECT vec_id, v, n, list_transform(v, lambda x: x / size) AS u
+      FROM (SELECT vec_id, embedding::DOUBLE[] AS v, count(*) OVER () AS n, sqrt(list_dot_product(embedding::DOUBLE[], embedding::DOUBLE[])) AS size FROM embeddings)""",
+    "places": "SELECT vec_id AS i, draw, (vec_id + draw) % n AS j, (vec_id + 1) % n AS k, ((vec_id + draw) % n + 1) % n AS l FROM vecs, range(1, 9) AS r(draw)",
+    "samples": """SELECT i // 5 AS prompt_idx, i * 100 + draw AS seed, a.v AS image0, b.v AS image1, s.v AS text0, t.v AS text1
+      FROM places JOIN vecs a ON a.vec_id = i JOIN vecs b ON b.vec_id = j JOIN vecs s ON s.vec_id = k JOIN vecs t ON t.vec_id = l""",
+    # the cosine of two differences of unit vectors, from their inner products
+    "metrics": """SELECT prompt_idx, seed, sim_0, sim_1, sim_image, (sim_0 + sim_1 - list_dot_product(n1, m0) - list_dot_product(n0, m1)) / sqrt((2 - 2 * sim_image) * (2 - 2 * list_dot_product(m1, m0))) AS sim_dir
+      FROM (SELECT i // 5 AS prompt_idx, i * 100 + draw AS seed, a.u AS n0, b.u AS n1, s.u AS m0, t.u AS m1, list_dot_product(a.u, s.u) AS sim_0, list_dot_product(b.u, t.u) AS sim_1, list_dot_product(a.u, b.u) AS sim_image
+        FROM places JOIN vecs a ON a.vec_id = i JOIN vecs b ON b.vec_id = j JOIN vecs s ON s.vec_id = k JOIN vecs t ON t.vec_id = l)""",
     "samples_big": f"SELECT user_id AS prompt_idx, event_id AS seed, {', '.join(f'{U(c, chr(101) + 'vent_id')} AS {c}' for c in ('sim_0', 'sim_1', 'sim_dir', 'sim_image'))} FROM events",
     "scores": f"""SELECT folder, seed, q, [(q % 11)::DOUBLE, ({H('score', 'folder', 'seed')} % 11)::DOUBLE] AS sc, [((q + 3) % 11)::DOUBLE, ({H('score2', 'folder', 'seed')} % 11)::DOUBLE] AS pq, {H('there', 'folder', 'seed')} % 5 <> 0 AS scored
       FROM (SELECT l_orderkey AS folder, l_linenumber::BIGINT AS seed, max(l_quantity)::BIGINT AS q FROM lineitem GROUP BY ALL)""",
@@ -132,7 +133,7 @@ SQL = {
     "answers": f"SELECT prompt_idx, question, answer, 'r' || answer::VARCHAR AS reason FROM (SELECT doc_id AS prompt_idx, question, {H('answer', 'doc_id', 'question')} % 10 + 1 AS answer FROM documents, unnest(['edited', 'complete', 'same_words', 'minimal']) AS t(question))",
     "filelist": "SELECT page_id, relpath FROM (SELECT page_id, regexp_replace(url, '^https?://[^/]*/|\\?.*$', '', 'g') AS relpath FROM pages) WHERE relpath <> ''",
 }
-NEEDS = {"samples": ["vecs"], "metrics": ["samples"], "overall": ["scores"], "images": ["scores"]}
+NEEDS = {"places": ["vecs"], "samples": ["places"], "metrics": ["samples"], "overall": ["scores"], "images": ["scores"]}
 
 
 def with_views(sql: str, *names: str) -> str:
@@ -147,4 +148,4 @@ def with_views(sql: str, *names: str) -> str:
 
     for name in names:
         add(name)
-    return "WITH " + ",\n".join(f"{n} AS ({SQL[n]})" for n in order) + "\n" + sql
+    return "WITH " + ",\n".join(f"{n} AS {'MATERIALIZED ' if n in ('vecs', 'places') else ''}({SQL[n]})" for n in order) + "\n" + sql
