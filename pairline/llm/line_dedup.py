@@ -53,13 +53,13 @@ def remove_lines(docs: DataFrame, lines: DataFrame, text_col: str = "text") -> D
     h1, h2 = hash128(F.col("line"))
     each = each.select("t1", "t2", h1.alias("h1"), h2.alias("h2"))
     met = spread_join(each, lines, ["h1", "h2"], ["t1"]).distinct()  # the copies of a text are one here
-    held = cut(met.groupBy("t1", "t2").agg(F.collect_list(F.struct("h1", "h2")).alias("gone")), "held")
+    held = met.groupBy("t1", "t2").agg(F.collect_list(F.struct("h1", "h2")).alias("gone"))
     # the rows of one text are told apart by their other columns
     keyed = kept.select(F.struct(*kept.columns).alias("row"), t1.alias("t1"), t2.alias("t2"), F.xxhash64(*[c for c in kept.columns if c != text_col]).alias("other"))
     text = F.col("row")[text_col]
     all_lines = lines_of(text)
     stays = F.filter(all_lines, lambda x: ~F.array_contains(F.col("gone"), F.struct(hash128(x)[0].alias("h1"), hash128(x)[1].alias("h2"))))
-    out = spread_join(keyed, held, ["t1", "t2"], ["other"], "left").withColumn("rest", F.when(F.col("gone").isNull(), all_lines).otherwise(stays))
+    out = spread_join(keyed, held, ["t1", "t2"], ["other"], "left", counted=False).withColumn("rest", F.when(F.col("gone").isNull(), all_lines).otherwise(stays))
     n = F.when(text.isNull(), 0).otherwise(F.size(all_lines)).cast("long")
     left = F.when(text.isNull(), 0).otherwise(F.size("rest")).cast("long")
     return out.select(*[F.array_join("rest", "\n").alias(c) if c == text_col else F.col("row")[c].alias(c) for c in kept.columns], n.alias("n_lines"), (n - left).alias("n_removed"))
