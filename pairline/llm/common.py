@@ -10,7 +10,7 @@ from pairline.sources.scratch import cut, drop, shared_dir  # noqa: F401
 #: Rows and bytes in an Arrow batch: whole texts go to Python.
 BATCH_ROWS, BATCH_BYTES = 1000, 64 << 20
 #: Rows of a table that may be broadcast, once they are counted; parts over which the rows of one key are dealt in other joins.
-BROADCAST_ROWS, SALTS = 20_000, 256
+BROADCAST_ROWS, SALTS = 50_000, 256
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 

@@ -29,7 +29,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from pairline.llm.common import SALTS, cut, small_batches, spread_join
+from pairline.llm.common import cut, small_batches, spread_join
 from pairline.llm.components import connected_components
 
 SHINGLE, PERCENT = 5, 75
@@ -166,11 +166,13 @@ def _short_sets(texts: DataFrame, placed: DataFrame) -> DataFrame:
 
 
 def confirm(pairs: DataFrame, texts: DataFrame) -> DataFrame:
-    """The pairs of nodes (a, b) whose full shingle sets have the similarity; texts: (node, body). Many pairs may have one b."""
+    """The pairs of nodes (a, b) whose full shingle sets have the similarity; texts: (node, body).
+
+    A node of very many pairs is no one task's: nothing after the joins needs their keys together, so that Spark splits skewed ones.
+    """
     left = texts.select(F.col("node").alias("a"), F.col("body").alias("text_a"))
     right = texts.select(F.col("node").alias("b"), F.col("body").alias("text_b"))
-    each = spread_join(pairs, left, ["a"], ["b"], counted=False)
-    return _similar(spread_join(each, right, ["b"], ["a"], counted=False).select("a", "b", "text_a", "text_b"))
+    return _similar(pairs.join(left, "a").join(right, "b").select("a", "b", "text_a", "text_b"))
 
 
 def _apart(a: str, b: str) -> Column:
@@ -179,32 +181,33 @@ def _apart(a: str, b: str) -> Column:
     return bits[0] + bits[1] + bits[2] + bits[3]
 
 
-def _star_pairs(placed: DataFrame, near: DataFrame, turn: int) -> DataFrame:
+def _star_pairs(placed: DataFrame, near: DataFrame, parts: DataFrame | None, turn: int) -> DataFrame:
     """For each component its likeliest pair (a, b) with the hub of a band.
 
     A band's hub is drawn anew in each turn, from its largest component, so that large components
     meet each other; there are at most as many pairs as components.
     """
-    salt = F.pmod(F.xxhash64("node"), F.lit(SALTS)).cast("int")
-    parts = placed.select("node", "component").distinct().groupBy("component", salt.alias("salt")).agg(F.count("*").alias("n"))
-    whole = parts.groupBy("component").agg(F.sum("n").alias("members"))
-    sized = placed.withColumn("salt", salt).join(parts.select("component", "salt").join(whole, "component"), ["component", "salt"])
+    sized = placed.join(near.select("node", *SKETCHED), "node")
+    if parts is None:
+        sized = sized.withColumn("members", F.lit(1).cast("long"))
+    else:
+        sizes = cut(parts.groupBy("component").agg(F.count("*").alias("size")), "sizes")
+        sized = spread_join(sized, sizes, ["component"], ["node"], "left").withColumn("members", F.coalesce("size", F.lit(1))).drop("size")
     order = F.struct("members", "component", F.xxhash64("node", F.lit(turn)))
-    hubs = cut(sized.groupBy("band").agg(F.max_by("node", order).alias("hub"), F.max_by("component", order).alias("home")), "hubs")
-    met = spread_join(placed, hubs, ["band"], ["node"]).where("component != home").select("node", "component", "hub").distinct()
-    own = near.select("node", *[F.col(c).alias(f"a_{c}") for c in SKETCHED])
-    other = near.select(F.col("node").alias("hub"), *[F.col(c).alias(f"b_{c}") for c in SKETCHED])
-    rated = spread_join(met.join(own, "node"), other, ["hub"], ["node"], counted=False).where(_likely("a_", "b_"))
+    hub = F.max_by(F.struct(F.col("node").alias("hub"), F.col("component").alias("home"), *[F.col(c).alias(f"b_{c}") for c in SKETCHED]), order)
+    hubs = cut(sized.groupBy("band").agg(hub.alias("hub")).select("band", "hub.*"), "hubs")
+    own = sized.select("node", "band", "component", *[F.col(c).alias(f"a_{c}") for c in SKETCHED])
+    met = spread_join(own, hubs, ["band"], ["node"]).where((F.col("component") != F.col("home")) & _likely("a_", "b_"))
     order = F.struct("apart", "node", "hub")
-    rated = rated.select("node", "hub", "component", _apart("a_", "b_").alias("apart"))
+    rated = met.select("node", "hub", "component", _apart("a_", "b_").alias("apart"))
     return rated.groupBy("component").agg(F.min_by("node", order).alias("a"), F.min_by("hub", order).alias("b")).select("a", "b").distinct()
 
 
 def _placed(members: DataFrame, parts: DataFrame) -> DataFrame:
     """(node, band, component) of the bands whose nodes are in different components."""
     named = cut(members.join(parts, "node", "left").select("node", "band", F.coalesce("component", "node").alias("component")), "named")
-    mixed = cut(named.groupBy("band").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low < high").select("band"), "mixed")
-    return spread_join(named, mixed, ["band"], ["node"], "left_semi")
+    mixed = named.groupBy("band").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low < high").select("band")
+    return spread_join(named, cut(mixed, "mixed"), ["band"], ["node"], "left_semi")
 
 
 def _left_pairs(placed: DataFrame, near: DataFrame, short: DataFrame) -> DataFrame:
@@ -212,8 +215,9 @@ def _left_pairs(placed: DataFrame, near: DataFrame, short: DataFrame) -> DataFra
 
     The nodes of a band are dealt into blocks of about BLOCK, and each two blocks meet in a task of their own.
     """
-    blocks = cut(placed.groupBy("band").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks")), "blocks")
-    left = spread_join(placed, blocks, ["band"], ["node"]).withColumn("own", F.pmod(F.xxhash64("node", F.lit("block")), F.col("blocks")).cast("int"))
+    large = cut(placed.groupBy("band").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks")).where("blocks > 1"), "large")
+    left = spread_join(placed, large, ["band"], ["node"], "left").withColumn("blocks", F.coalesce("blocks", F.lit(1)))
+    left = left.withColumn("own", F.pmod(F.xxhash64("node", F.lit("block")), F.col("blocks")).cast("int"))
     left = left.join(near, "node").join(short, "node").withColumn("met", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     names = ["node", "component", "bands", "short", *SKETCHED]
     a = left.select("band", F.col("own").alias("p"), F.col("met").alias("q"), *[F.col(c).alias(f"a_{c}") for c in names])
@@ -254,14 +258,14 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     unique = cut(nodes.groupBy("node").agg(*facts, F.min("doc_id").alias("least")), "nodes")  # copies are one node from here on
     bands = unique.select("node", F.explode("bands").alias("band"))
     shared = cut(bands.groupBy("band").agg(F.min("node").alias("low"), F.max("node").alias("high")).where("low < high").select("band"), "shared")
-    members = cut(spread_join(bands, shared, ["band"], ["node"], "left_semi").distinct(), "members")
+    members = cut(spread_join(bands, shared, ["band"], ["node"], "left_semi"), "members")
     near = cut(unique.drop("least").join(members.select("node").distinct(), "node", "left_semi"), "near")
     texts = cut(_texts(near.select("node"), prints, docs, text_col), "texts")
 
     placed = members.withColumn("component", F.col("node"))
     parts = None
     for turn in range(TURNS):
-        pairs = cut(_star_pairs(placed, near.drop("bands"), turn), "pairs")
+        pairs = cut(_star_pairs(placed, near, parts, turn), "pairs")
         links = cut(confirm(pairs, texts), "links")
         if links.isEmpty():
             break
@@ -279,10 +283,11 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         if turn < TURNS:
             rest = cut(_still_apart(rest.join(pairs, ["a", "b"], "left_anti"), parts), "rest")
 
-    least = cut(unique.select("node", "least").join(parts, "node", "left").withColumn("component", F.coalesce("component", "node")), "least")
-    named = cut(least.groupBy("component").agg(F.min("least").alias("component_id")), "ids")
-    labels = cut(spread_join(least, named, ["component"], ["node"]).select("node", "component_id"), "labels")
-    linked = spread_join(nodes, labels, ["node"], ["doc_id", "text_key"]).select("doc_id", "text_key", "n_shingles", "component_id")
+    joined = cut(parts.join(unique.select("node", "least"), "node"), "joined")
+    named = cut(joined.groupBy("component").agg(F.min("least").alias("component_id")), "ids")
+    labels = unique.select("node", "least").join(spread_join(joined, named, ["component"], ["node"]).select("node", "component_id"), "node", "left")
+    labels = labels.select("node", F.coalesce("component_id", "least").alias("component_id"))
+    linked = spread_join(nodes, labels, ["node"], ["doc_id", "text_key"], counted=False).select("doc_id", "text_key", "n_shingles", "component_id")
     alone = prints.where("node is null").select("doc_id", "text_key", "n_shingles", F.col("doc_id").alias("component_id"))
     return linked.union(alone).withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
 
