@@ -48,7 +48,8 @@ def band_of(vector: Column) -> Column:
     """The number of the band of length of a vector, whatever the size of its components."""
     v = F.transform(vector, lambda x: F.abs(x.cast("double")))
     top = F.array_max(v)
-    squares = F.aggregate(v, F.lit(0.0), lambda total, x: total + (x / top) * (x / top))
+    start = F.struct(F.lit(0.0).alias("total"), top.alias("top"))  # the largest component is found once
+    squares = F.aggregate(v, start, lambda s, x: F.struct((s["total"] + (x / s["top"]) * (x / s["top"])).alias("total"), s["top"].alias("top")), lambda s: s["total"])
     return F.floor((F.log2(top) + F.log2(squares) / 2) * BANDS_PER_OCTAVE + 0.5).cast("int")
 
 
