@@ -258,7 +258,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     unique = cut(nodes.groupBy("node").agg(*facts, F.min("doc_id").alias("least")), "nodes")  # copies are one node from here on
     bands = unique.select("node", F.explode("bands").alias("band"))
     shared = cut(bands.groupBy("band").agg(F.min("node").alias("low"), F.max("node").alias("high")).where("low < high").select("band"), "shared")
-    members = cut(spread_join(bands, shared, ["band"], ["node"], "left_semi"), "members")
+    members = cut(bands.join(shared, "band", "left_semi"), "members")  # nothing after it needs a band together: Spark splits a skewed one
     near = cut(unique.drop("least").join(members.select("node").distinct(), "node", "left_semi"), "near")
     texts = cut(_texts(near.select("node"), prints, docs, text_col), "texts")
 
