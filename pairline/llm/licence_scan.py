@@ -116,7 +116,7 @@ NONE, UNKNOWN = "none", "unknown"
 CLASSES = sorted([NONE, UNKNOWN, *NOTICES])
 WORD = r"[\p{L}\p{N}]+"
 #: Hash values for words and for pairs; words of a window, between the starts of windows, and before and after a window that are compared too.
-BUCKETS, WINDOW, STEP, AROUND = 1 << 15, 16, 4, 12
+BUCKETS, WINDOW, STEP, AROUND = 1 << 12, 16, 4, 12
 #: Documents whose windows are sampled, about, and windows of the sample that each notice is put into; allowed shares of wrong families and of false licences; words of a confirming run.
 SAMPLE_DOCS, MIXED, WRONG, FALSE, RUN_WORDS = 1500, 12, 0.01, 0.001, 4
 FINDINGS = "array<struct<place:int,family:string,probability:double,confirmed:boolean>>"
@@ -255,8 +255,9 @@ class Classifier:
         for gram, x in zip(self.counter.vocabulary, best.tolist(), strict=True):
             table[int(gram)] = x
         table[BUCKETS:] = np.maximum(table[BUCKETS:], 0)  # a pair may reach over the end of a window
+        table += 1e-6 * (table != 0)  # rounding never lowers the bound
         needed = self.temperature * math.log(self.any_bar / (1 - self.any_bar) / (len(CLASSES) - 1))  # if all classes were alike
-        return F.from_json(F.lit(json.dumps(table.tolist())), "array<double>"), float(np.delete(base - base[none], none).max() - needed)
+        return F.from_json(F.lit(json.dumps(np.round(table, 6).tolist())), "array<double>"), float(np.delete(base - base[none], none).max() - needed)
 
 
 def _softmax(raw: Column, temperature: float) -> Column:
