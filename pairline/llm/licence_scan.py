@@ -26,6 +26,7 @@ from __future__ import annotations
 import json
 import math
 import re
+from collections.abc import Callable
 
 import numpy as np
 from pyspark.ml.classification import LogisticRegression
@@ -260,25 +261,46 @@ class Classifier:
         return F.from_json(F.lit(json.dumps(np.round(table, 6).tolist())), "array<double>"), float(np.delete(base - base[none], none).max() - needed)
 
 
+def _let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """body of the value, which is computed once a row: a column named in a step before may be computed anew at each use in a lambda."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def _softmax(raw: Column, temperature: float) -> Column:
-    top = F.array_max(raw)
-    powers = F.transform(raw, lambda x: F.exp((x - top) / temperature))
-    return F.transform(powers, lambda x: x / F.aggregate(powers, F.lit(0.0), lambda s, y: s + y))
+    powers = _let(raw, lambda r: _let(F.array_max(r), lambda top: F.transform(r, lambda x: F.exp((x - top) / temperature))))
+    return _let(powers, lambda p: _let(F.aggregate(p, F.lit(0.0), lambda s, y: s + y), lambda total: F.transform(p, lambda x: x / total)))
 
 
 def candidates(docs: DataFrame, text_col: str, classifier: Classifier) -> DataFrame:
     """(t1, t2, place, words, around): the windows that can be held for a licence."""
     text = F.col(text_col)
     table, base = classifier.advantage()
+
+    def starts(words: Column) -> Column:
+        return F.sequence(F.lit(0), F.greatest(F.lit(0), F.size(words) - (WINDOW - STEP) - 1), F.lit(STEP))
+
+    def steps(words: Column) -> Column:
+        """What the words can gain, summed for each STEP words."""
+        gains = F.transform(words, lambda w, i: F.get(table, _bucket(w)) + F.get(table, _bucket(w, F.get(words, i + 1)) + BUCKETS))
+        return _let(gains, lambda g: F.transform(F.sequence(F.lit(0), F.size(g) - 1, F.lit(STEP)), lambda i: F.aggregate(F.slice(g, i + 1, F.lit(STEP)), F.lit(0.0), lambda s, x: s + x)))
+
+    def likely(words: Column) -> Column:
+        def sums(g: Column, i: Column) -> Column:
+            return sum((F.coalesce(F.get(g, (i / STEP).cast("int") + k), F.lit(0.0)) for k in range(WINDOW // STEP)), F.lit(base))
+
+        def window(i: Column) -> Column:
+            around = F.slice(words, F.greatest(F.lit(1), i + 1 - AROUND), F.lit(WINDOW + AROUND) + F.least(i, F.lit(AROUND)))
+            return F.struct(F.slice(words, i + 1, F.lit(WINDOW)).alias("words"), around.alias("around"))
+
+        return _let(steps(words), lambda g: F.transform(F.filter(starts(words), lambda i: sums(g, i) >= 0), window))
+
+    def found(paragraph: Column) -> Column:
+        return _let(words_of(paragraph), lambda words: F.when(F.size(words) > 0, likely(words)))
+
     each = docs.select(F.xxhash64(text).alias("t1"), F.xxhash64(F.lit("2"), text).alias("t2"), F.posexplode(paragraphs_of(text)).alias("place", "paragraph"))
-    each = each.select("t1", "t2", "place", words_of(F.col("paragraph")).alias("all")).where(F.size("all") > 0)
-    gain = F.transform("all", lambda w, i: F.get(table, _bucket(w)) + F.get(table, _bucket(w, F.get("all", i + 1)) + BUCKETS))
-    each = each.withColumn("gain", gain)
-    starts = F.sequence(F.lit(0), F.greatest(F.lit(0), F.size("all") - (WINDOW - STEP) - 1), F.lit(STEP))
-    likely = F.filter(starts, lambda i: F.aggregate(F.slice("gain", i + 1, F.lit(WINDOW)), F.lit(base), lambda s, x: s + x) >= 0)
-    each = each.select("t1", "t2", "place", "all", F.explode(likely).alias("at"))
-    around = F.slice("all", F.greatest(F.lit(1), F.col("at") + 1 - AROUND), F.lit(WINDOW + AROUND) + F.least(F.col("at"), F.lit(AROUND)))
-    return each.select("t1", "t2", "place", F.slice("all", F.col("at") + 1, F.lit(WINDOW)).alias("words"), around.alias("around"))
+    # outer, as Spark would compute the windows twice to leave empty lists out before
+    each = each.select("t1", "t2", "place", F.explode_outer(found(F.col("paragraph"))).alias("found")).where("found is not null")
+    return each.select("t1", "t2", "place", "found.words", "found.around")
 
 
 def predict(classifier: Classifier, rows: DataFrame) -> DataFrame:
