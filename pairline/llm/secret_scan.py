@@ -1,7 +1,10 @@
-"""Secret scan: a random forest removes the false positives among long unbroken strings.
+"""Secret scan: a random forest removes the false positives among long unbroken strings and assigned values.
 
-One pass over all texts counts character transitions and short words; the transitions and the DICTIONARY commonest
-words say how much a candidate looks like language. A second pass finds the candidates with their context.
+One pass over all texts counts character transitions and words; the transitions and the DICTIONARY commonest words say how
+much a candidate looks like language. A second pass finds the candidates with their context: strings of 16 or more of the
+characters of keys, and values of 8 or more characters of any kind but blanks and quotes, without a full stop or the like at
+their end, that stand behind a credential's name and = or :.
+Where two overlap, the one that starts first counts, and of two that start together the longer one.
 A forest is trained on labelled findings and keeps the candidates that it holds for secrets. Without a table of
 labelled findings the labels come from fixed formats (issued keys and assignments to credential names are secrets, strings of
 letters only that the dictionary covers are not) and other candidates stay unlabelled.
@@ -23,19 +26,22 @@ import pyarrow as pa
 from pyspark.ml.classification import RandomForestClassifier
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from pairline.llm.common import cut, small_batches
 
 CANDIDATE = re.compile(r"[A-Za-z0-9+/_\-]{16,}")
-SHORT_WORD = re.compile(rb"(?<![a-z])[a-z]{2,4}(?![a-z])")
+DICTIONARY_WORD = re.compile(rb"(?<![a-z])[a-z]{3,16}(?![a-z])")
 # Formats of issued keys, and names that credentials are assigned to.
 ISSUED = re.compile(r"AKIA[0-9A-Z]{16}|gh[pousr]_[A-Za-z0-9]{36}|xox[bp]-[A-Za-z0-9-]{20,}")
 NAMES = ("password", "passwd", "pwd", "token", "secret", "api_key", "apikey", "access_key", "auth")
 PLACEHOLDER = re.compile(r"(?i)example|placeholder|your[_-]|xxxx|changeme|dummy")
 ASSIGNED = re.compile(rf"(?i)(?:{'|'.join(NAMES)})[\"']?\s*[=:]\s*[\"']?$")
-CONTEXT, DICTIONARY = 40, 1000
+VALUE = re.compile(rf"(?i)(?:{'|'.join(NAMES)})[\"']?\s*[=:]\s*[\"']?([^\s\"'<>]{{7,}}[^\s\"'<>.,;:)\]}}])")
+CONTEXT, DICTIONARY = 40, 5000
+#: Different words that a task counts before it hands its counts on.
+COUNTED = 100_000
 #: Labelled findings of each kind that the forest is trained on, about.
 SAMPLE = 4000
 TREES, DEPTH, KEEP = 40, 8, 0.5
@@ -46,9 +52,12 @@ FEATURES = ["length", "digits", "uppers", "switches", "entropy", "transitions",
 
 
 def corpus_counts(docs: DataFrame, text_col: str) -> DataFrame:
-    """(kind, item, n): 't' character transitions and 'w' short words of all texts."""
+    """(kind, item, n): 't' character transitions and 'w' words of 3 to 16 letters of all texts."""
     bodies = docs.select(F.col(text_col).cast("binary").alias("body"))
 
+    def counts(kind: str, items: list[str], numbers: list[int]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array([kind] * len(items), pa.string()), pa.array(items, pa.string()), pa.array(numbers, pa.int64())], ["kind", "item", "n"])
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         moves, words = np.zeros(KINDS * KINDS, np.int64), Counter()
         for batch in batches:
@@ -56,17 +65,19 @@ def corpus_counts(docs: DataFrame, text_col: str) -> DataFrame:
                 if body:
                     codes = CLASSES[np.frombuffer(body, np.uint8)]
                     moves += np.bincount(codes[:-1] * KINDS + codes[1:], minlength=KINDS * KINDS)
-                    words.update(SHORT_WORD.findall(body.lower()))
-        rows = [("t", str(i), int(n)) for i, n in enumerate(moves) if n] + [("w", w.decode(), n) for w, n in words.items()]
-        if rows:
-            kinds, items, counts = zip(*rows, strict=True)
-            yield pa.RecordBatch.from_arrays([pa.array(kinds), pa.array(items), pa.array(counts, pa.int64())], ["kind", "item", "n"])
+                    words.update(DICTIONARY_WORD.findall(body.lower()))
+                if len(words) >= COUNTED:
+                    yield counts("w", [w.decode() for w in words], list(words.values()))
+                    words.clear()
+        at = np.flatnonzero(moves)
+        yield counts("t", [str(i) for i in at], moves[at].tolist())
+        yield counts("w", [w.decode() for w in words], list(words.values()))
 
     return bodies.mapInArrow(run, "kind string, item string, n long").groupBy("kind", "item").agg(F.sum("n").alias("n"))
 
 
 def language(counts: DataFrame) -> dict:
-    """Log-probabilities of transitions (at most 54 * 54) and the DICTIONARY commonest short words."""
+    """Log-probabilities of transitions (at most 54 * 54) and the DICTIONARY commonest words."""
     moves = np.ones((KINDS, KINDS))
     for r in counts.where("kind = 't'").collect():
         moves[divmod(int(r["item"]), KINDS)] += r["n"]
@@ -80,8 +91,8 @@ def covered(value: str, words: set[str]) -> float:
     best = [0] * (len(low) + 1)
     for end in range(1, len(low) + 1):
         best[end] = best[end - 1]
-        for size in (2, 3, 4):
-            if end >= size and best[end - size] + size > best[end] and low[end - size : end] in words:
+        for size in range(3, min(end, 16) + 1):
+            if best[end - size] + size > best[end] and low[end - size : end] in words:
                 best[end] = best[end - size] + size
     return best[-1] / len(low)
 
@@ -113,6 +124,15 @@ def label_of(text: str, start: int, end: int, coverage: float) -> int | None:
     return 0 if value.isalpha() and coverage >= 0.6 else None
 
 
+def spans_of(text: str) -> list[tuple[int, int]]:
+    """The candidates of a text, in order and without overlaps."""
+    out: list[tuple[int, int]] = []
+    for start, end in sorted([m.span() for m in CANDIDATE.finditer(text)] + [m.span(1) for m in VALUE.finditer(text)], key=lambda s: (s[0], -s[1])):
+        if not out or start >= out[-1][1]:
+            out.append((start, end))
+    return out
+
+
 def candidates(docs: DataFrame, lang: dict, id_col: str, text_col: str, path_col: str) -> DataFrame:
     """(id, start, end, value_sha256, label, and the features) of every candidate."""
     kind = docs.schema[id_col].dataType.simpleString()
@@ -124,12 +144,12 @@ def candidates(docs: DataFrame, lang: dict, id_col: str, text_col: str, path_col
         for batch in batches:
             at, spans, digests, labels, rows = [], [], [], [], []
             for i, (text, path) in enumerate(zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True)):
-                for m in CANDIDATE.finditer(text or ""):
-                    facts = describe(text, *m.span(), path, own)
+                for span in spans_of(text or ""):
+                    facts = describe(text, *span, path, own)
                     at.append(i)
-                    spans.append(m.span())
-                    digests.append(hashlib.sha256(m.group().encode()).hexdigest())
-                    labels.append(label_of(text, *m.span(), facts[6]))
+                    spans.append(span)
+                    digests.append(hashlib.sha256(text[slice(*span)].encode()).hexdigest())
+                    labels.append(label_of(text, *span, facts[6]))
                     rows.append(facts)
             arrays = [batch.column(0).take(pa.array(at, pa.int64())), pa.array([s for s, _ in spans], pa.int32()), pa.array([e for _, e in spans], pa.int32()), pa.array(digests, pa.string()), pa.array(labels, pa.int32())]
             arrays += [pa.array([r[k] for r in rows], pa.float64()) for k in range(len(FEATURES))]
@@ -146,7 +166,8 @@ def find_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     if labelled is not None:
         reviewed = labelled.where("label is not null").groupBy("value_sha256").agg(F.max("label").alias("__label"))
         found = found.join(reviewed, "value_sha256", "left").withColumn("label", F.coalesce("__label", "label")).drop("__label")
-    own = found.where("label is not null").dropDuplicates(["value_sha256"])
+    first = Window.partitionBy("value_sha256").orderBy("label", *FEATURES)  # equal values in other places: the same one at each run
+    own = found.where("label is not null").withColumn("turn", F.row_number().over(first)).where("turn = 1").drop("turn")
     counts = {r["label"]: r["count"] for r in own.groupBy("label").count().collect()}
     if len(counts) < 2:
         return found.where("label = 1").select(F.col("id").alias(id_col), "start", "end", "value_sha256", F.lit(1.0).alias("probability"))
