@@ -25,11 +25,11 @@ def fresh(spark, name: str) -> str:
 
 @query("read_prompts_json", V(TRIPLE_SQL, "prompts"))
 def read_prompts_json(spark, d):
-    """Files of JSON arrays, one for each part of the prompts."""
+    """Files that hold a JSON array each, one for each part of the prompts."""
     path = fresh(spark, "prompts-json")
-    arrays = views.prompts(spark, d).groupBy(F.floor(F.col("prompt_idx") / 500)).agg(F.to_json(F.collect_list(F.struct(*TRIPLE))).alias("value"))
-    arrays.select("value").write.option("lineSep", "\n").text(path)
-    return io.read_prompts_jsonl(spark, path).select(*TRIPLE)
+    arrays = views.prompts(spark, d).groupBy(F.floor(F.col("prompt_idx") / 500).alias("part")).agg(F.to_json(F.collect_list(F.struct(*TRIPLE))).alias("value"))
+    arrays.write.partitionBy("part").text(path)
+    return io.read_prompts_json(spark, path).select(*TRIPLE)
 
 
 @query("read_prompts_jsonl", V(TRIPLE_SQL, "prompts"))

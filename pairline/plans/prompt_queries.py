@@ -84,11 +84,11 @@ def persona_name(spark, d):
     return views.table(spark, d, "customer").select(tx.persona_name(persona).alias("name")).distinct()
 
 
-@query("generation_grid", """SELECT (m.place * 55 + t.place * 11 + p.place)::BIGINT AS call, model, temperature, persona FROM
-  (SELECT r_regionkey AS place, r_name AS model FROM region) m, (SELECT t AS place, (t / 10.0)::DOUBLE AS temperature FROM range(0, 5) AS r(t)) t, (SELECT n_nationkey AS place, n_name AS persona FROM nation WHERE n_nationkey < 11) p""")
+@query("generation_grid", """SELECT (m.place * 125 + t.place * 25 + p.place)::BIGINT AS call, model, temperature, persona FROM
+  (SELECT r_regionkey AS place, r_name AS model FROM region) m, (SELECT t AS place, (t / 10.0)::DOUBLE AS temperature FROM range(0, 5) AS r(t)) t, (SELECT n_nationkey AS place, n_name AS persona FROM nation) p""")
 def generation_grid(spark, d):
     models = views.table(spark, d, "region").select(F.col("r_regionkey").alias("place"), F.col("r_name").alias("value"))
-    personas = views.table(spark, d, "nation").where("n_nationkey < 11").select(F.col("n_nationkey").alias("place"), F.col("n_name").alias("value"))
+    personas = views.table(spark, d, "nation").select(F.col("n_nationkey").alias("place"), F.col("n_name").alias("value"))
     temperatures = spark.range(5).select(F.col("id").alias("place"), (F.col("id") / 10).alias("value"))
     return prompts.generation_grid(models, temperatures, personas)
 

@@ -98,14 +98,14 @@ def draw_params(spark, d):
     return drawn.withColumns({c: F.round(c, 6) for c in BOUNDS})
 
 
-FLIPS = "SELECT folder, seed::VARCHAR || s AS path, s = '' OR (folder + seed) % 3 <> 0 AS e FROM scores, unnest(['', '_flip']) AS t(s) WHERE seed = 1"
+FLIPS = "SELECT folder::VARCHAR || ':' || seed::VARCHAR AS sample, seed::VARCHAR || s AS path, s = '' OR (folder + seed) % 3 <> 0 AS e FROM scores, unnest(['', '_flip']) AS t(s)"
 
 
-@query("flip_variant", V(f"SELECT folder, arg_min(path, {H('flip', 'folder', 'path')}) AS path, count(*) AS n_variants FROM ({FLIPS}) WHERE e GROUP BY folder", "scores"))
+@query("flip_variant", V(f"SELECT sample, arg_min(path, {H('flip', 'sample', 'path')}) AS path, count(*) AS n_variants FROM ({FLIPS}) WHERE e GROUP BY sample", "scores"))
 def flip_variant(spark, d):
-    s = views.scores(spark, d).where("seed = 1").withColumn("s", F.explode(F.array(F.lit(""), F.lit("_flip"))))
+    s = views.scores(spark, d).withColumn("s", F.explode(F.array(F.lit(""), F.lit("_flip"))))
     exists = (F.col("s") == "") | (F.pmod(F.col("folder") + F.col("seed"), F.lit(3)) != 0)
-    return sp.flip_variant(s.select("folder", F.concat(F.col("seed").cast("string"), "s").alias("path"), exists.alias("exists")), "folder", "path", "flip")
+    return sp.flip_variant(s.select(F.concat_ws(":", "folder", "seed").alias("sample"), F.concat(F.col("seed").cast("string"), "s").alias("path"), exists.alias("exists")), "sample", "path", "flip")
 
 
 @query("seed_manifest", "SELECT folder, list_transform(list_sort(list(seed::VARCHAR || '_0')), lambda x: string_split(x, '_')[1]) AS seeds FROM (SELECT o_custkey AS folder, o_orderkey AS seed FROM orders) GROUP BY folder")
