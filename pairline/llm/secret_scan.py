@@ -5,9 +5,10 @@ much a candidate looks like language. A second pass finds the candidates with th
 characters of keys, and values of 8 or more characters of any kind but blanks and quotes, without a full stop or the like at
 their end, that stand behind a credential's name and = or :.
 Where two overlap, the one that starts first counts, and of two that start together the longer one.
-A forest is trained on labelled findings and keeps the candidates that it holds for secrets. Without a table of
-labelled findings the labels come from fixed formats (issued keys and assignments to credential names are secrets, strings of
-letters only that the dictionary covers are not) and other candidates stay unlabelled.
+A forest is trained on labelled findings and keeps the candidates that it holds for secrets; the word before a candidate is
+among its features, in NEIGHBOURS buckets, but no rule that makes labels. Without a table of labelled findings the labels come
+from fixed formats: issued keys and assignments to credential names are secrets; numbers, UUIDs, parts of addresses, digests
+behind a digest's name, placeholders and names made of the dictionary's words are not; other candidates stay unlabelled.
 
 Defined results: a null or empty text has no findings; ids may be null or stand repeatedly, each row is scanned; a text's
 findings are in order of their place; without labels of both kinds all labelled as secrets are kept; an empty table gives no rows.
@@ -18,14 +19,14 @@ from __future__ import annotations
 import hashlib
 import math
 import re
+import zlib
 from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.ml.classification import RandomForestClassifier
-from pyspark.ml.feature import VectorAssembler
-from pyspark.ml.functions import vector_to_array
+from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -38,6 +39,9 @@ ISSUED = re.compile(r"AKIA[0-9A-Z]{16}|gh[pousr]_[A-Za-z0-9]{36}|xox[bp]-[A-Za-z
 NAMES = ("password", "passwd", "pwd", "token", "secret", "api_key", "apikey", "access_key", "auth")
 PLACEHOLDER = re.compile(r"(?i)example|placeholder|your[_-]|xxxx|changeme|dummy")
 ASSIGNED = re.compile(rf"(?i)(?:{'|'.join(NAMES)})[\"']?\s*[=:]\s*[\"']?$")
+NUMBER = re.compile(r"[0-9\-]+|[0-9A-Fa-f]{8}(?:-[0-9A-Fa-f]{4}){3}-[0-9A-Fa-f]{12}")
+DIGEST = re.compile(r"(?i)\b(?:sha-?[0-9]*|md5|commit|revision|digest|checksum)[\s:=\"']*$")
+ADDRESS = re.compile(r"(?i)\b[a-z][a-z0-9+.\-]*://[^\s\"'<>]*$")
 VALUE = re.compile(rf"(?i)(?:{'|'.join(NAMES)})[\"']?\s*[=:]\s*[\"']?([^\s\"'<>]{{7,}}[^\s\"'<>.,;:)\]}}])")
 CONTEXT, DICTIONARY = 40, 5000
 #: Different words that a task counts before it hands its counts on.
@@ -45,10 +49,12 @@ COUNTED = 100_000
 #: Labelled findings of each kind that the forest is trained on, about.
 SAMPLE = 4000
 TREES, DEPTH, KEEP = 40, 8, 0.5
+#: Buckets for the word before a candidate.
+NEIGHBOURS = 32
 #: Letters in two cases, digits and the rest.
 CLASSES = np.array([b - 97 if 97 <= b <= 122 else b - 39 if 65 <= b <= 90 else 52 if 48 <= b <= 57 else 53 for b in range(256)], np.int64)
 KINDS = 54
-FEATURES = ["length", "digits", "uppers", "switches", "entropy", "transitions", "covered", "hex", "quoted", "assigned", "word_before", "word_after", "path_test", "path_depth"]
+FEATURES = ["length", "digits", "uppers", "switches", "entropy", "transitions", "covered", "hex", "quoted", "word_before", "word_after", "path_test", "path_depth", "neighbour"]
 
 
 def corpus_counts(docs: DataFrame, text_col: str) -> DataFrame:
@@ -109,19 +115,26 @@ def describe(text: str, start: int, end: int, path: str, lang: dict) -> list[flo
     return [
         float(n), float((codes == 52).mean()), float(((codes >= 26) & (codes < 52)).mean()), float((np.diff(kinds) != 0).mean()),
         float(-(share * np.log2(share)).sum()), float(lang["moves"][codes[:-1], codes[1:]].mean()), covered(value, lang["words"]),
-        float(bool(re.fullmatch(r"[0-9a-f]+|[0-9A-F]+", value))), float(before[-1:] in "\"'" and before != ""), float(bool(ASSIGNED.search(before))),
+        float(bool(re.fullmatch(r"[0-9a-f]+|[0-9A-F]+", value))), float(before[-1:] in "\"'" and before != ""),
         known(last), known(following), float(bool(re.search(r"(?i)test|example|fixture|doc", path))), float(path.count("/")),
+        float(zlib.crc32(last[0].lower().encode()) % NEIGHBOURS) if last else -1.0,
     ]
 
 
 def label_of(text: str, start: int, end: int, coverage: float) -> int | None:
-    """1: a secret by its format or assignment, 0: language, None: not labelled."""
+    """1: a secret by its format or assignment, 0: by its form or place something else, None: not labelled."""
     value, before = text[start:end], text[max(0, start - CONTEXT) : start]
+    assigned = bool(ASSIGNED.search(before))
     if PLACEHOLDER.search(value):
         return 0
-    if ISSUED.fullmatch(value) or ASSIGNED.search(before) and re.search(r"\d", value):
+    if ISSUED.fullmatch(value) or assigned and re.search(r"\d", value):
         return 1
-    return 0 if value.isalpha() and coverage >= 0.6 else None
+    if assigned:
+        return None
+    if NUMBER.fullmatch(value) or DIGEST.search(before) or ADDRESS.search(before):
+        return 0
+    letters = re.sub(r"[+/_\-]", "", value)
+    return 0 if letters.isalpha() and coverage * len(value) >= 0.6 * len(letters) else None
 
 
 def spans_of(text: str) -> list[tuple[int, int]]:
@@ -158,6 +171,12 @@ def candidates(docs: DataFrame, lang: dict, id_col: str, text_col: str, path_col
     return rows.mapInArrow(run, f"id {kind}, start int, end int, value_sha256 string, label int, " + ", ".join(f"{f} double" for f in FEATURES))
 
 
+def featured(found: DataFrame) -> DataFrame:
+    """found with the vector `features`: the numbers, and a one in the bucket of the word before."""
+    near = [(F.col("neighbour") == float(i)).cast("double") for i in range(NEIGHBOURS)]
+    return found.withColumn("features", array_to_vector(F.array(*FEATURES[:-1], *near)))
+
+
 def find_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", path_col: str = "source", labelled: DataFrame | None = None) -> DataFrame:
     """(id, start, end, value_sha256, probability) of the findings kept; labelled: (value_sha256, label) of reviewed findings."""
     small_batches(docs.sparkSession)
@@ -172,8 +191,7 @@ def find_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     if len(counts) < 2:
         return found.where("label = 1").select(F.col("id").alias(id_col), "start", "end", "value_sha256", F.lit(1.0).alias("probability"))
     every = F.when(F.col("label") == 1, max(1, math.ceil(counts[1] / SAMPLE))).otherwise(max(1, math.ceil(counts[0] / SAMPLE)))
-    assembler = VectorAssembler(inputCols=FEATURES, outputCol="features")
-    sample = assembler.transform(own.where(F.pmod(F.xxhash64("value_sha256"), every) == 0))
+    sample = featured(own.where(F.pmod(F.xxhash64("value_sha256"), every) == 0))
     forest = RandomForestClassifier(numTrees=TREES, maxDepth=DEPTH, seed=11).fit(sample.withColumn("label", F.col("label").cast("double")))
-    scored = forest.transform(assembler.transform(found)).withColumn("probability", vector_to_array("probability")[1])
+    scored = forest.transform(featured(found)).withColumn("probability", vector_to_array("probability")[1])
     return scored.where(F.col("probability") >= KEEP).select(F.col("id").alias(id_col), "start", "end", "value_sha256", "probability")

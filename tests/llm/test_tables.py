@@ -1,5 +1,6 @@
 """Mixing, sharding, line dedup, licences, secrets, tokens, toxicity and the pipeline."""
 
+import hashlib
 import re
 import zlib
 from collections import Counter, defaultdict
@@ -7,6 +8,7 @@ from collections import Counter, defaultdict
 import numpy as np
 import pytest
 from compare import SF, same
+from pyspark.ml.classification import RandomForestClassifier
 from pyspark.sql import functions as F
 
 import corpus_pipeline
@@ -249,6 +251,44 @@ def test_words_counted_in_parts_are_the_same(spark, monkeypatch):
     assert {tuple(r) for r in secret_scan.corpus_counts(docs, "text").collect()} == whole and len(whole) > 100
 
 
+def test_labels_of_hard_negatives():
+    digest = "9dd3c80004c73dc9e548fee51b23b527780d4f20"
+    want = {
+        f"commit {digest}": 0, f"token = {digest}": 1, f"see {digest}": None, "card 4692819832630923": 0, "id 123e4567-e89b-12d3-a456-426614174000": 0,
+        "at https://host.org/a/0123456789abcdefAB": 0, "password: correcthorsebattery": None, "api_key=your_key_0123456789": 0,
+    }
+    for text, label in want.items():
+        span = secret_scan.spans_of(text)[-1]
+        assert secret_scan.label_of(text, *span, 0.0) == label, text
+    assert secret_scan.label_of("the_quick_brown_fox", 0, 19, 16 / 19) == 0
+
+
+def test_secrets_held_out_by_value(spark):
+    """The labels of a quarter of all values are hidden from the forest: it finds their secrets and keeps away from the others."""
+    docs = spark.read.parquet("/root/testdata/sf0.1/documents.parquet")
+    secret_scan.small_batches(spark)
+    lang = secret_scan.language(secret_scan.corpus_counts(docs, "text"))
+    rows = secret_scan.featured(secret_scan.candidates(docs, lang, "doc_id", "text", "source").where("label is not null").dropDuplicates(["value_sha256"])).withColumn("label", F.col("label").cast("double")).cache()
+    hidden = F.pmod(F.crc32("value_sha256"), F.lit(4)) == 0
+    model = RandomForestClassifier(numTrees=secret_scan.TREES, maxDepth=secret_scan.DEPTH, seed=11).fit(rows.where(~hidden))
+    got = {(r.label, r.prediction): r["count"] for r in model.transform(rows.where(hidden)).groupBy("label", "prediction").count().collect()}
+    rows.unpersist()
+    hits, missed, false = got.get((1.0, 1.0), 0), got.get((1.0, 0.0), 0), got.get((0.0, 1.0), 0)
+    assert hits >= 20 and hits >= 0.95 * (hits + missed) and false <= 0.05 * hits
+
+
+def test_reviewed_findings_decide(spark):
+    """A reviewed value behind a word that no rule knows is found in repeated rows and rows without id; one reviewed as harmless isn't."""
+    value = lambda i, kind: hashlib.sha256(f"{kind}{i}".encode()).hexdigest()[:40]
+    rows = [(i, f"the sesame {value(i, 'a')} was there", "s") for i in range(60)] + [(100 + i, f"the parcel {value(i, 'b')} was there", "s") for i in range(60)]
+    rows += [rows[3], (None, rows[4][1], None), (200, f"a new sesame {value(0, 'c')} today", "s"), (201, f"a new parcel {value(1, 'c')} today", "s"), (202, None, "s")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    sha = lambda v: hashlib.sha256(v.encode()).hexdigest()
+    labelled = [(sha(value(i, "a")), 1) for i in range(60)] + [(sha(value(i, "b")), 0) for i in range(60)] + [(sha("none"), None), (None, 1)]
+    found = secret_scan.find_secrets(docs, labelled=spark.createDataFrame(labelled, "value_sha256 string, label int")).collect()
+    assert sorted((r.doc_id is None, r.doc_id or 0) for r in found) == sorted([(False, i) for i in [*range(60), 3, 200]] + [(True, 0)])
+
+
 def test_secrets_awkward(spark, awkward):
     assert secret_scan.find_secrets(awkward).count() == 0
     assert secret_scan.find_secrets(awkward.limit(0)).count() == 0
