@@ -7,6 +7,10 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from pairline.functions.text import prepend_if_missing
+from pairline.functions.vectors import pair_metrics_clip
+from pairline.operators.prompts import caption_diff
+
 
 @dataclass(frozen=True)
 class Thresholds:
@@ -148,6 +152,19 @@ def kept_samples(routed: DataFrame) -> DataFrame:
     return routed.where("status = 'kept'")
 
 
+def curate_pairs(prompts: DataFrame, samples: DataFrame, scores: DataFrame, t: Thresholds, phrase: str) -> DataFrame:
+    """The whole run: captions with their phrase and word differences, candidates rated by their vectors, curated, and the kept ones.
+
+    prompts: (prompt_idx, original_caption, edit_instruction, resulting_caption), each prompt once; samples: (prompt_idx, seed
+    and the vectors image0, image1, text0, text1); a kept sample without a prompt has null captions.
+    """
+    captions = ("original_caption", "resulting_caption")
+    texts = caption_diff(prompts.select("prompt_idx", "edit_instruction", *[prepend_if_missing(F.col(c), phrase).alias(c) for c in captions]))
+    metrics = pair_metrics_clip(*map(F.col, ("image0", "image1", "text0", "text1")))
+    routed = curate(samples.select("prompt_idx", "seed", *[v.alias(k) for k, v in metrics.items()]), scores, t)
+    return kept_samples(routed).drop("status").join(texts, "prompt_idx", "left")
+
+
 def pairwise_preference(left: DataFrame, right: DataFrame, key: str = "prompt_idx") -> DataFrame:
     """Two scored candidates of a prompt side by side, with the winner (tie if equal, the scored one if one is not)."""
     a = left.select(key, F.col("overall_score").alias("left_score"))

@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from pairline.functions import text as tx
 from pairline.functions.hashing import hash_long
+from pairline.operators.infer import Batch, batch_infer
+from pairline.sources.scratch import cut
 
 DELIMITER = "||V^=^V||"
 RATE_LIMITED = "rate_limit_exceeded"
@@ -72,11 +76,38 @@ def parse_judge_output(c: Column, give_up: bool = False, seed: str = "judge", ke
     bare = F.when(F.lit(give_up), out(guess, None, "guessed")).when(bracketed_pair(c).isNotNull(), out(bracketed_pair(c), None, "list"))
     bare = bare.when(is_score(c), out(F.array(tx.py_strip(c).try_cast("double")), None, "number")).otherwise(out(None, None, "failed"))
     result = F.when(c.isNull(), out(None, None, "failed")).when(c == RATE_LIMITED, out(None, None, "rate_limited")).when(inner.isNull(), bare)
-    result = result.when(F.contains(clean, F.lit("edit")) & value.isNotNull() & F.try_variant_get(value, "$.edit", "string").isNotNull(), out(_scores(clean), clean, "edit"))
+    result = result.when(F.contains(clean, F.lit("edit")) & value.isNotNull() & F.try_variant_get(value, "$.edit", "variant").isNotNull(), out(_scores(clean), clean, "edit"))
     result = result.when(_scores(clean).isNotNull(), out(_scores(clean), reason, "json"))
     return result.when(_scores(fixed).isNotNull(), out(_scores(fixed), F.try_variant_get(F.try_parse_json(fixed), "$.reasoning", "string"), "repaired")).otherwise(out(None, None, "failed"))
 
 
+def score_with_retry(df: DataFrame, init: Callable[[], Callable[[Batch, int], Batch]], keys: list[str], seed: str = "again") -> DataFrame:
+    """df with the judge's scores `sc` and `pq`, and `attempt`: where one of a row's two answers has none, both are asked for again.
+
+    init() gives a function of (batch, attempt) that returns the batch with the texts sc_answer and pq_answer. An answer
+    that fails at the second attempt as well is a guess from the row's keys. A judge that refuses for its rate has no score.
+    The first answers are written to the shared folder, so that no row is judged more often than that.
+    """
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema) + ", sc_answer string, pq_answer string"
+    each = ("sc", "pq")
+
+    def ask(rows: DataFrame, attempt: int) -> DataFrame:
+        def once():
+            model = init()
+            return lambda batch: model(batch, attempt)
+
+        return batch_infer(rows, once, schema).withColumn("attempt", F.lit(attempt))
+
+    def parsed(rows: DataFrame, give_up: bool) -> DataFrame:
+        return rows.withColumns({f"__{s}": parse_judge_output(F.col(f"{s}_answer"), give_up, f"{seed}:{s}", F.concat_ws(":", *keys)) for s in each})
+
+    first = cut(parsed(ask(df, 1), give_up=False), "judged")
+    failed = (F.col("__sc.method") == "failed") | (F.col("__pq.method") == "failed")
+    second = parsed(ask(first.where(failed).select(*df.columns), 2), give_up=True)
+    both = first.where(~failed).unionByName(second)
+    return both.select(*df.columns, *[F.col(f"__{s}.score").alias(s) for s in each], "attempt")
+
+
 def validate_scores(c: Column) -> dict[str, Column]:
     """Predicates over an answer: two delimiters, one whole score, a list of scores, named scores in order."""
     inside = F.regexp_extract(c, r"^\s*\[(.*)\]\s*$", 1)

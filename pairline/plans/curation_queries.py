@@ -9,6 +9,7 @@ from pairline.functions.text import folder_key
 from pairline.operators import curate as cu
 from pairline.operators import infer, judge
 from pairline.plans import views
+from pairline.plans.prompt_queries import DIFF
 from pairline.plans.registry import query
 from pairline.plans.views import H, U, with_views as V  # noqa: N812
 from pairline.sources import io
@@ -153,6 +154,19 @@ def curate(spark, d):
     return rounded(out, *SIMS, "overall_score").select("prompt_idx", "seed", "rank", *SIMS, "overall_score", "status")
 
 
+PREFIXED = ", ".join(f"CASE WHEN starts_with({c}, '{views.PHRASE}') THEN {c} ELSE '{views.PHRASE}' || {c} END AS {c}" for c in ("original_caption", "resulting_caption"))
+PAIRS = f"""SELECT c.* EXCLUDE (status), original_caption, resulting_caption, edit_instruction, amplify, suppress, shared FROM ({CURATE}) c
+  LEFT JOIN (SELECT * FROM phrased JOIN ({DIFF.replace("FROM prompts", "FROM phrased")}) USING (prompt_idx)) USING (prompt_idx) WHERE status = 'kept'"""
+
+
+@query("curate_pairs", V("SELECT * FROM metrics", "metrics", "prompts").removesuffix("SELECT * FROM metrics") + f", phrased AS (SELECT prompt_idx, edit_instruction, {PREFIXED} FROM prompts) {PAIRS}")
+def curate_pairs(spark, d):
+    """Prompts by their number; the pictures of a prompt without a number among them have no captions."""
+    s = views.samples(spark, d)
+    out = cu.curate_pairs(views.prompts(spark, d), s, judged(s.select("prompt_idx", "seed")), FIXTURE, views.PHRASE)
+    return rounded(out, *SIMS, "overall_score").select("prompt_idx", "seed", "rank", *SIMS, "overall_score", "original_caption", "resulting_caption", "edit_instruction", "amplify", "suppress", "shared")
+
+
 PREFER = """SELECT folder, a AS left_score, b AS right_score, CASE WHEN a > b THEN 'left' WHEN b > a THEN 'right' ELSE 'tie' END AS winner
   FROM (SELECT folder, semantics_score AS a FROM overall WHERE seed = 1) JOIN (SELECT folder, semantics_score AS b FROM overall WHERE seed = 2) USING (folder)"""
 
@@ -166,33 +180,53 @@ def pairwise_preference(spark, d):
 # ---- judge ----------------------------------------------------------------------------------
 
 JUDGE_SQL = """SELECT folder, seed, k, CASE k WHEN 0 THEN '{"score": [' || a::VARCHAR || ', ' || b::VARCHAR || '], "reasoning": "fine"}' WHEN 1 THEN 'so: ||V^=^V||{"score": ' || a::VARCHAR || ', "reasoning": "one"}||V^=^V|| end'
-  WHEN 2 THEN 'I say [' || a::VARCHAR || ', ' || b::VARCHAR || ']' WHEN 3 THEN a::VARCHAR WHEN 4 THEN 'rate_limit_exceeded' ELSE 'no idea' END AS answer, a, b
-  FROM (SELECT folder, seed, (folder + seed) % 6 AS k, sc[1]::INT AS a, sc[2]::INT AS b FROM scores)"""
+  WHEN 2 THEN 'I say [' || a::VARCHAR || ', ' || b::VARCHAR || ']' WHEN 3 THEN a::VARCHAR WHEN 4 THEN 'rate_limit_exceeded'
+  WHEN 6 THEN '{"edit": null, "score": [' || a::VARCHAR || ', ' || b::VARCHAR || ']}' WHEN 7 THEN '{score: ' || a::VARCHAR || ', reasoning: looks fine}' WHEN 9 THEN '[' || a::VARCHAR || ', ' || b::VARCHAR || ']'
+  WHEN 10 THEN '[score1: ' || a::VARCHAR || ', score2: ' || b::VARCHAR || ']' ELSE 'no idea' END AS answer, a, b
+  FROM (SELECT folder, seed, (folder + seed) % 11 AS k, sc[1]::INT AS a, sc[2]::INT AS b FROM scores)"""
 
 
 def judge_text(spark, d):
-    s = views.scores(spark, d).select("folder", "seed", F.pmod(F.col("folder") + F.col("seed"), F.lit(6)).alias("k"), F.col("sc")[0].cast("int").cast("string").alias("a"), F.col("sc")[1].cast("int").cast("string").alias("b"))
+    s = views.scores(spark, d).select("folder", "seed", F.pmod(F.col("folder") + F.col("seed"), F.lit(11)).alias("k"), F.col("sc")[0].cast("int").cast("string").alias("a"), F.col("sc")[1].cast("int").cast("string").alias("b"))
     text = F.when(F.col("k") == 0, F.concat(F.lit('{"score": ['), "a", F.lit(", "), "b", F.lit('], "reasoning": "fine"}')))
     text = text.when(F.col("k") == 1, F.concat(F.lit('so: ||V^=^V||{"score": '), "a", F.lit(', "reasoning": "one"}||V^=^V|| end')))
     text = text.when(F.col("k") == 2, F.concat(F.lit("I say ["), "a", F.lit(", "), "b", F.lit("]"))).when(F.col("k") == 3, F.col("a"))
+    text = text.when(F.col("k") == 6, F.concat(F.lit('{"edit": null, "score": ['), "a", F.lit(", "), "b", F.lit("]}")))
+    text = text.when(F.col("k") == 7, F.concat(F.lit("{score: "), "a", F.lit(", reasoning: looks fine}"))).when(F.col("k") == 9, F.concat(F.lit("["), "a", F.lit(", "), "b", F.lit("]")))
+    text = text.when(F.col("k") == 10, F.concat(F.lit("[score1: "), "a", F.lit(", score2: "), "b", F.lit("]")))
     return s.withColumn("answer", text.when(F.col("k") == 4, "rate_limit_exceeded").otherwise("no idea"))
 
 
-@query("parse_judge_output", V(f"SELECT folder, seed, CASE WHEN k IN (0, 2) THEN [a::DOUBLE, b::DOUBLE] WHEN k IN (1, 3) THEN [a::DOUBLE] END AS score, CASE k WHEN 0 THEN 'fine' WHEN 1 THEN 'one' END AS reasoning, (['json', 'json', 'list', 'number', 'rate_limited', 'failed'])[k + 1] AS method FROM ({JUDGE_SQL})", "scores"))
+PARSED = f"""SELECT folder, seed, CASE WHEN k IN (0, 2, 6, 9) THEN [a::DOUBLE, b::DOUBLE] WHEN k IN (1, 3, 7) THEN [a::DOUBLE] WHEN k = 8 THEN [({H('again', 'folder', 'seed')} % 11)::DOUBLE] END AS score,
+  CASE k WHEN 0 THEN 'fine' WHEN 1 THEN 'one' WHEN 6 THEN answer WHEN 7 THEN 'looks fine' END AS reasoning,
+  (['json', 'json', 'list', 'number', 'rate_limited', 'failed', 'edit', 'repaired', 'guessed', 'list', 'failed'])[k + 1] AS method FROM ({JUDGE_SQL})"""
+
+
+@query("parse_judge_output", V(PARSED, "scores"))
 def parse_judge_output(spark, d):
-    return judge_text(spark, d).withColumn("p", judge.parse_judge_output(F.col("answer"))).select("folder", "seed", "p.score", "p.reasoning", "p.method")
+    """All methods; one form of answer may be guessed."""
+    guessed = judge.parse_judge_output(F.col("answer"), give_up=True, seed="again", key=F.concat_ws(":", "folder", "seed"))
+    p = F.when(F.col("k") == 8, guessed).otherwise(judge.parse_judge_output(F.col("answer")))
+    return judge_text(spark, d).withColumn("p", p).select("folder", "seed", "p.score", "p.reasoning", "p.method")
 
 
-@query("validate_scores", V(f"SELECT folder, seed, k = 1 AS two_delimiters, k = 3 AS whole_score FROM ({JUDGE_SQL})", "scores"))
+@query("validate_scores", V(f"SELECT folder, seed, k = 1 AS two_delimiters, k = 3 AS whole_score, k = 9 AS score_list, k = 10 AS named_scores FROM ({JUDGE_SQL})", "scores"))
 def validate_scores(spark, d):
     v = judge.validate_scores(F.col("answer"))
-    return judge_text(spark, d).select("folder", "seed", v["two_delimiters"].alias("two_delimiters"), v["whole_score"].alias("whole_score"))
+    return judge_text(spark, d).select("folder", "seed", *[c.alias(name) for name, c in v.items()])
+
+
+REPAIRED = f"""SELECT folder, seed, CASE k % 5 WHEN 0 THEN '{{"score": [' || a || '], "reasoning": "looks fine"}}' WHEN 1 THEN '{{"score": [' || a || ']}}' WHEN 2 THEN '{{"score": [-' || a || '.5], "ok": true, "why": null}}'
+  WHEN 3 THEN '{{"reasoning": "good", "score": [' || a || ', ' || b || ']}}' END AS repaired FROM ({JUDGE_SQL})"""
 
 
-@query("repair_json")
+@query("repair_json", V(REPAIRED, "scores"))
 def repair_json(spark, d):
-    bare = F.concat(F.lit("{score: "), "a", F.lit(", reasoning: looks fine}"))
-    return judge_text(spark, d).select("folder", "seed", judge.repair_json(bare).alias("repaired"))
+    """Bare keys, texts and numbers; text around and a second object; constants; a list as it is; no object."""
+    a, b, form = F.col("a"), F.col("b"), F.pmod("k", F.lit(5))
+    near = F.when(form == 0, F.concat(F.lit("{score: "), a, F.lit(", reasoning: looks fine}"))).when(form == 1, F.concat(F.lit('so {"score": '), a, F.lit("} and {x: 1}")))
+    near = near.when(form == 2, F.concat(F.lit("{score: -"), a, F.lit(".5, ok: true, why: null}"))).when(form == 3, F.concat(F.lit("{reasoning: good, score: ["), a, F.lit(", "), b, F.lit("]}")))
+    return judge_text(spark, d).select("folder", "seed", judge.repair_json(near.otherwise("no object")).alias("repaired"))
 
 
 TASKS = sorted(judge.RULES.items())
@@ -237,13 +271,29 @@ def infer_with_retry(spark, d):
     return rows.select("prompt_idx", "attempt", "reason")
 
 
-@query("score_with_retry", V(f"SELECT folder, seed, CASE WHEN k IN (0, 2) THEN [a::DOUBLE, b::DOUBLE] WHEN k IN (1, 3) THEN [a::DOUBLE] WHEN k = 5 THEN [({H('again', 'folder', 'seed')} % 11)::DOUBLE] END AS score FROM ({JUDGE_SQL})", "scores"))
+def guess_sql(side: str) -> str:
+    return f"[({H('again:' + side, 'folder', 'seed')} % 11)::DOUBLE]"
+
+
+JUDGED_AGAIN = f"""SELECT folder, seed, attempt, CASE WHEN attempt = 1 THEN first WHEN (folder + seed) % 2 = 0 THEN [9.0::DOUBLE, 8.0::DOUBLE] ELSE {guess_sql('sc')} END AS sc,
+  CASE WHEN attempt = 2 AND (folder + seed) % 2 = 0 THEN [7.0::DOUBLE] ELSE [(folder % 11)::DOUBLE] END AS pq
+  FROM (SELECT folder, seed, CASE WHEN k IN (5, 8, 10) THEN 2 ELSE 1 END AS attempt, CASE WHEN k IN (0, 2, 6, 9) THEN [a::DOUBLE, b::DOUBLE] WHEN k IN (1, 3, 7) THEN [a::DOUBLE] END AS first FROM ({JUDGE_SQL}))"""
+
+
+@query("score_with_retry", V(JUDGED_AGAIN, "scores"))
 def score_with_retry(spark, d):
-    """A failed answer is judged again; a second failure is guessed from the key."""
-    key = F.concat_ws(":", "folder", "seed")
-    first = judge_text(spark, d).withColumn("p", judge.parse_judge_output(F.col("answer")))
-    second = judge.parse_judge_output(F.col("answer"), give_up=True, seed="again", key=key)
-    return first.select("folder", "seed", F.when(F.col("p.method") == "failed", second["score"]).otherwise(F.col("p.score")).alias("score"))
+    """A stub that answers with the row's text at first, and better at the second attempt for every other row."""
+
+    def init():
+        def model(batch, attempt):
+            better = ((batch["folder"] + batch["seed"]) % 2 == 0) & (attempt == 2)
+            quality = '{"score": [' + (batch["folder"] % 11).astype(str) + '], "reasoning": ""}'
+            return batch.assign(sc_answer=batch["answer"].mask(better, '{"score": [9, 8]}'), pq_answer=quality.mask(better, '{"score": 7}'))
+
+        return model
+
+    rows = judge.score_with_retry(judge_text(spark, d).select("folder", "seed", "answer"), init, ["folder", "seed"])
+    return rows.select("folder", "seed", "attempt", "sc", "pq")
 
 
 @query("capture_errors", V("SELECT folder, seed, CASE WHEN folder % 9 = 0 THEN 'ValueError: no picture' END AS error FROM scores", "scores"))

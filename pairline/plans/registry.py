@@ -38,4 +38,4 @@ def oracle_sql() -> dict:
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     _load()
-    return _QUERIES["curate"](spark, sf_dir)
+    return _QUERIES["curate_pairs"](spark, sf_dir)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -11,8 +12,11 @@ LOCAL_DIR = "/tmp/checkpoints"
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir where it is set."""
-    return (spark.conf.get("spark.checkpoint.dir", None) or LOCAL_DIR).rstrip("/") + "/pairline"
+    """The folder that driver and executors share: spark.checkpoint.dir, which only a session on one machine may leave unset."""
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    if not folder and not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+        raise ValueError("a cluster needs spark.checkpoint.dir, a folder that driver and executors share")
+    return (folder or LOCAL_DIR).rstrip("/") + "/pairline"
 
 
 def cut(df: DataFrame, name: str) -> DataFrame:

@@ -22,11 +22,13 @@ def done_keys(spark: SparkSession, path: str, key: str, kind: str) -> DataFrame:
 def incremental_run(df: DataFrame, key: str, process: Callable[[DataFrame], DataFrame], path: str) -> int:
     """Process the rows whose key has no output yet and append the result; gives the number of keys processed.
 
-    Committed rows are the marker, so that a broken run is tried again and a run after a full one adds nothing.
+    Committed rows are the marker, so that a broken run is tried again and a run after a full one adds nothing; a null
+    key is a key like others.
     """
     spark = df.sparkSession
     kind = df.schema[key].dataType.simpleString()
-    pending = df.join(done_keys(spark, path, key, kind), key, "left_anti")
+    done = done_keys(spark, path, key, kind).withColumnRenamed(key, "__done")
+    pending = df.join(done, F.col(key).eqNullSafe(F.col("__done")), "left_anti")
     n = pending.select(key).distinct().count()
     if n:
         process(pending).write.mode("append").parquet(path)
@@ -38,6 +40,6 @@ def incremental_stream(spark: SparkSession, source: str, schema: str, process: C
     rows = spark.readStream.schema(schema).parquet(source)
 
     def batch(df: DataFrame, number: int) -> None:
-        process(df).withColumn("batch", F.lit(number)).write.mode("overwrite").parquet(f"{path}/batch={number}")
+        process(df).write.mode("overwrite").parquet(f"{path}/batch={number}")
 
     rows.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()

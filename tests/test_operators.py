@@ -315,6 +315,8 @@ def test_a_second_incremental_run_adds_nothing(spark, tmp_path):
     assert incremental.incremental_run(df, "k", work, out) == 4
     assert incremental.incremental_run(df, "k", work, out) == 0
     assert sorted(r.v for r in spark.read.parquet(out).collect()) == [2 * i for i in range(10)]
+    more = df.union(spark.createDataFrame([(None,)], "k long"))
+    assert [incremental.incremental_run(more, "k", work, out) for _ in range(2)] == [1, 0]
 
 
 def test_incremental_stream(spark, tmp_path):
