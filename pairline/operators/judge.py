@@ -49,14 +49,18 @@ def repair_json(c: Column) -> Column:
     return F.nullif(F.regexp_replace(numbers, r':\s*(?!(?:true|false|null)\s*[,}])([A-Za-z][^,}"\[\]{]*?)\s*(?=[,}])', ': "$1"'), F.lit(""))
 
 
-def _scores(json: Column) -> Column:
+def _scores(value: Column) -> Column:
     """The score list of an object, a single score as a list of one."""
-    value = F.try_parse_json(json)
     many = F.try_variant_get(value, "$.score", "array<double>")
     one = F.try_variant_get(value, "$.score", "double")
     return F.coalesce(many, F.when(one.isNotNull(), F.array(one)))
 
 
+def _bound(c: Column, f: Callable[[Column], Column]) -> Column:
+    """f(c) with c computed once a row, however often f names it."""
+    return F.transform(F.array(c), f)[0]
+
+
 def parse_judge_output(c: Column, give_up: bool = False, seed: str = "judge", key: Column | None = None) -> Column:
     """struct(score, reasoning, method) of a judge's answer, by the first stage that applies.
 
@@ -64,21 +68,29 @@ def parse_judge_output(c: Column, give_up: bool = False, seed: str = "judge", ke
     without braces gets a seeded guess, also where it holds a valid list.
     """
     inner = F.when(delimiter_count(c) == 2, between_delimiters(c)).otherwise(braced(c))
-    clean = F.regexp_replace(tx.py_strip(inner), "\n", "")
-    fixed = repair_json(clean)
-    value = F.try_parse_json(clean)
-    reason = F.try_variant_get(value, "$.reasoning", "string")
     guess = F.array(F.pmod(hash_long(seed, key if key is not None else c), F.lit(11)).cast("double"))
 
     def out(score: Column | None, why: Column | None, method: str) -> Column:
         return F.struct((score if score is not None else F.lit(None).cast("array<double>")).alias("score"), (why if why is not None else F.lit(None).cast("string")).alias("reasoning"), F.lit(method).alias("method"))
 
+    def reason(value: Column) -> Column:
+        return F.try_variant_get(value, "$.reasoning", "string")
+
+    def repaired(fixed: Column) -> Column:
+        value = F.try_parse_json(fixed)
+        return _bound(value, lambda v: F.when(_scores(v).isNotNull(), out(_scores(v), reason(v), "repaired")).otherwise(out(None, None, "failed")))
+
+    def parsed(clean: Column) -> Column:
+        def staged(v: Column) -> Column:
+            edit = F.contains(clean, F.lit("edit")) & F.try_variant_get(v, "$.edit", "variant").isNotNull()
+            return F.when(edit, out(_scores(v), clean, "edit")).when(_scores(v).isNotNull(), out(_scores(v), reason(v), "json")).otherwise(_bound(repair_json(clean), repaired))
+
+        return _bound(F.try_parse_json(clean), staged)
+
     bare = F.when(F.lit(give_up), out(guess, None, "guessed")).when(bracketed_pair(c).isNotNull(), out(bracketed_pair(c), None, "list"))
     bare = bare.when(is_score(c), out(F.array(tx.py_strip(c).try_cast("double")), None, "number")).otherwise(out(None, None, "failed"))
-    result = F.when(c.isNull(), out(None, None, "failed")).when(c == RATE_LIMITED, out(None, None, "rate_limited")).when(inner.isNull(), bare)
-    result = result.when(F.contains(clean, F.lit("edit")) & value.isNotNull() & F.try_variant_get(value, "$.edit", "variant").isNotNull(), out(_scores(clean), clean, "edit"))
-    result = result.when(_scores(clean).isNotNull(), out(_scores(clean), reason, "json"))
-    return result.when(_scores(fixed).isNotNull(), out(_scores(fixed), F.try_variant_get(F.try_parse_json(fixed), "$.reasoning", "string"), "repaired")).otherwise(out(None, None, "failed"))
+    found = _bound(inner, lambda i: F.when(i.isNull(), bare).otherwise(_bound(F.regexp_replace(tx.py_strip(i), "\n", ""), parsed)))
+    return F.when(c.isNull(), out(None, None, "failed")).when(c == RATE_LIMITED, out(None, None, "rate_limited")).otherwise(found)
 
 
 def score_with_retry(df: DataFrame, init: Callable[[], Callable[[Batch, int], Batch]], keys: list[str], seed: str = "again") -> DataFrame:
