@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 import corpus_pipeline
 
-from pairline.llm import ann, decontaminate, licence_scan, line_dedup, mixing, near_dup, secret_scan, sharding, token_counts, toxicity
+from pairline.llm import ann, decontaminate, licence_scan, line_dedup, mixing, near_dup, secret_scan, sharding, token_counts, token_files, toxicity
 from pairline.llm.common import table
 
 
@@ -113,12 +113,16 @@ FROM docs LEFT JOIN hits USING (r) LEFT JOIN named USING (r)
 """
 
 
+def op11_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_files.read_token_files(spark, token_files.write_token_files(table(spark, sf_dir, "documents").select("doc_id", "text")))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     return corpus_pipeline.run(spark, sf_dir)
 
 
 def queries() -> dict:
-    return {"pipeline": pipeline, "op1_nearest": op1_nearest, "op2_mix": op2_mix, "op3_near_duplicates": op3_near_duplicates, "op4_licences": op4_licences, "op5_shard": op5_shard, "op6_line_dedup": op6_line_dedup, "op7_secrets": op7_secrets, "op8_token_counts": op8_token_counts, "op9_toxicity": op9_toxicity, "op10_decontaminate": op10_decontaminate}
+    return {"pipeline": pipeline, "op1_nearest": op1_nearest, "op2_mix": op2_mix, "op3_near_duplicates": op3_near_duplicates, "op4_licences": op4_licences, "op5_shard": op5_shard, "op6_line_dedup": op6_line_dedup, "op7_secrets": op7_secrets, "op8_token_counts": op8_token_counts, "op9_toxicity": op9_toxicity, "op10_decontaminate": op10_decontaminate, "op11_token_files": op11_token_files}
 
 
 def oracle_sql() -> dict:
