@@ -1,48 +1,41 @@
-"""Nearest neighbours by normalised inner product: exact, and by coarse partitions with exact re-ranking."""
+"""Nearest neighbours by normalised inner product, exactly; attributes of neighbours, pooling and tiles. quantised.py has the searches over codes."""
 
 from __future__ import annotations
 
-import math
 from collections.abc import Iterator
 from functools import reduce
 
 import numpy as np
 import pandas as pd
-from pyspark.ml.clustering import KMeans
-from pyspark.ml.functions import array_to_vector
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from pairline.functions import vectors as vx
 from pairline.sources.scratch import cut
 
-#: Below the first an exact search is used, below the second the quantised search of other engines would be; here both give exact results.
-EXACT_BELOW, HASH_BELOW = 20_000, 100_000
 #: Queries that are broadcast at once; the pool is read once for each block of them.
 QUERY_BLOCK = 8192
-#: Rows of a score matrix, and vectors of a leaf, that a task holds at once.
-ROWS, LEAF_PART = 256, 4096
-#: Up to so many centres of leaves are broadcast; more are met by the queries in blocks.
-BROADCAST_LEAVES = 4096
+#: Rows of a score matrix.
+ROWS = 256
 
 
-def _ranked(scored: DataFrame, k: int) -> DataFrame:
+def ranked(scored: DataFrame, k: int) -> DataFrame:
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "id")
     return scored.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "id", "score")
 
 
-def _units(column: pd.Series) -> np.ndarray:
+def units(column: pd.Series) -> np.ndarray:
     x = np.array(column.tolist(), float)
     return x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), vx.FLOOR)
 
 
-def _best(scores: np.ndarray, ids: np.ndarray, k: int) -> np.ndarray:
+def best(scores: np.ndarray, ids: np.ndarray, k: int) -> np.ndarray:
     """Places of the k largest scores, ties to the smaller id."""
     by_id = np.argsort(ids, kind="stable")
     return by_id[np.argsort(-scores[by_id], kind="stable")[:k]]
 
 
-def _vectors(df: DataFrame, id_col: str, vector_col: str, name: str) -> DataFrame:
+def vectors(df: DataFrame, id_col: str, vector_col: str, name: str) -> DataFrame:
     return df.select(F.col(id_col).alias(name), F.col(vector_col).alias("v")).where(F.col(name).isNotNull() & F.col("v").isNotNull())
 
 
@@ -53,8 +46,8 @@ def knn_exact(pool: DataFrame, queries: DataFrame, k: int, id_col: str = "img_id
     the pool and passes on the k best of each query. Queries have different ids.
     """
     spark = pool.sparkSession
-    asked = _vectors(queries, id_col, vector_col, "query_id")
-    base = _vectors(pool, id_col, vector_col, "id")
+    asked = vectors(queries, id_col, vector_col, "query_id")
+    base = vectors(pool, id_col, vector_col, "id")
     schema = f"query_id {queries.schema[id_col].dataType.simpleString()}, id {pool.schema[id_col].dataType.simpleString()}, score double"
     blocks = max(1, -(-asked.count() // QUERY_BLOCK))
 
@@ -66,7 +59,7 @@ def knn_exact(pool: DataFrame, queries: DataFrame, k: int, id_col: str = "img_id
             for batch in batches:
                 if batch.empty or not len(names):
                     continue
-                ids, p = batch["id"].to_numpy(), _units(batch["v"])
+                ids, p = batch["id"].to_numpy(), units(batch["v"])
                 for low in range(0, len(names), ROWS):
                     scores = q[low : low + ROWS] @ p.T
                     least = floor[low : low + ROWS]
@@ -76,22 +69,23 @@ def knn_exact(pool: DataFrame, queries: DataFrame, k: int, id_col: str = "img_id
                     for i in np.flatnonzero(hits.any(axis=1)):
                         old_ids, old = top[low + i]
                         all_ids, every = np.concatenate([old_ids, ids[hits[i]]]), np.concatenate([old, scores[i, hits[i]]])
-                        kept = _best(every, all_ids, k)
+                        kept = best(every, all_ids, k)
                         top[low + i] = all_ids[kept], every[kept]
                         if len(kept) == k:
                             floor[low + i] = every[kept[-1]]
             for low in range(0, len(names), ROWS):
                 part = top[low : low + ROWS]
                 sizes = [len(s) for _, s in part]
-                yield pd.DataFrame({"query_id": np.repeat(names[low : low + ROWS], sizes), "id": list(np.concatenate([i for i, _ in part])), "score": np.concatenate([s for _, s in part])})
+                if any(sizes):
+                    yield pd.DataFrame({"query_id": np.repeat(names[low : low + ROWS], sizes), "id": list(np.concatenate([i for i, _ in part])), "score": np.concatenate([s for _, s in part])})
 
         return run
 
     found = []
     for block in range(blocks):
         rows = asked.where(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == block).toPandas()  # a block of bounded size
-        shared = spark.sparkContext.broadcast((rows["query_id"].to_numpy(), _units(rows["v"]) if len(rows) else np.empty((0, 0))))
-        part = _ranked(base.mapInPandas(nearest(shared), schema), k)
+        shared = spark.sparkContext.broadcast((rows["query_id"].to_numpy(), units(rows["v"]) if len(rows) else np.empty((0, 0))))
+        part = ranked(base.mapInPandas(nearest(shared), schema), k)
         if blocks == 1:
             return part
         found.append(cut(part, "nearest"))
@@ -99,79 +93,6 @@ def knn_exact(pool: DataFrame, queries: DataFrame, k: int, id_col: str = "img_id
     return reduce(DataFrame.unionByName, found)
 
 
-def _leaves_of(asked: DataFrame, centres: list[list[float]], probes: int) -> DataFrame:
-    """asked (query_id, q) with each query's nearest leaves; the centres, at most BROADCAST_LEAVES, are broadcast."""
-    shared = asked.sparkSession.sparkContext.broadcast(np.array(centres))
-    kind = asked.schema["query_id"].dataType.simpleString()
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        numbers = np.arange(len(shared.value))
-        for batch in batches:
-            if len(batch):
-                near = np.concatenate([_best(row, numbers, probes) for row in np.array(batch["q"].tolist(), float) @ shared.value.T])
-                yield batch.loc[batch.index.repeat(len(near) // len(batch))].assign(leaf=near.astype("int32"))
-
-    return asked.mapInPandas(run, f"query_id {kind}, q array<double>, leaf int")
-
-
-def _parts(df: DataFrame, key: str, name: str) -> DataFrame:
-    """df with the part of its leaf, and the number of parts, for leaves of more than LEAF_PART rows."""
-    sizes = df.groupBy("leaf").agg(F.ceil(F.count("*") / LEAF_PART).cast("int").alias(f"{name}s"))  # a row for each leaf
-    return df.join(sizes, "leaf").withColumn(name, F.pmod(F.xxhash64(key), F.col(f"{name}s")).cast("int"))
-
-
-def knn_partitioned(pool: DataFrame, queries: DataFrame, k: int, id_col: str = "img_id", vector_col: str = "embedding", leaves: int | None = None, probes: int | None = None, seed: int = 5) -> DataFrame:
-    """As knn_exact, but each query looks into the nearest of floor(sqrt(n)) leaves only, max(leaves / 20, 1) of them.
-
-    The queries of a leaf meet its vectors in a matrix product; large leaves, and leaves asked for by many queries,
-    are dealt over parts, each two of which meet in a task.
-    """
-    unit = vx.l2_normalise(vx.doubles(F.col("v")))
-    base = _vectors(pool, id_col, vector_col, "id").select("id", unit.alias("v")).withColumn("features", array_to_vector("v"))
-    asked = _vectors(queries, id_col, vector_col, "query_id").select("query_id", unit.alias("q"))
-    schema = f"query_id {asked.schema['query_id'].dataType.simpleString()}, id {base.schema['id'].dataType.simpleString()}, score double"
-    spark = pool.sparkSession
-    zero = F.forall("v", lambda x: x == 0)  # no direction: such vectors are dealt over all leaves
-    whole = base.where(~zero)
-    n = whole.count()
-    if n == 0:
-        return knn_exact(pool, queries, k, id_col, vector_col)
-    leaves = leaves or max(1, math.isqrt(n))
-    probes = probes or max(leaves // 20, 1)
-    # a tenth of the pool, drawn by hash, and enough for every leaf
-    train = whole.where(F.pmod(F.xxhash64("id"), F.lit(10)) == 0) if n >= 100 * leaves else whole
-    model = KMeans(k=leaves, seed=seed, distanceMeasure="cosine", maxIter=10).fit(train)
-    centres = [[float(x) for x in c] for c in model.clusterCenters()]
-    other = base.where(zero).select("id", "v", F.pmod(F.xxhash64("id"), F.lit(len(centres))).cast("int").alias("leaf"))
-    placed = _parts(model.transform(whole).select("id", "v", F.col("prediction").alias("leaf")).unionAll(other), "id", "part")
-    if len(centres) <= BROADCAST_LEAVES:
-        probed = _leaves_of(asked, centres, probes)
-    else:
-        table = spark.createDataFrame(list(enumerate(centres)), f"{id_col} int, {vector_col} array<double>")
-        probed = asked.join(knn_exact(table, queries, probes, id_col, vector_col).select("query_id", F.col("id").alias("leaf")), "query_id")
-    probed = _parts(probed, "query_id", "block")
-
-    def meet(key, one: pd.DataFrame, other: pd.DataFrame) -> pd.DataFrame:
-        if one.empty or other.empty:
-            return pd.DataFrame({"query_id": [], "id": [], "score": []})
-        q, p, ids = np.array(one["q"].tolist()), np.array(other["v"].tolist()).T, other["id"].to_numpy()
-        found = [(row[at], ids[at]) for low in range(0, len(q), ROWS) for row in q[low : low + ROWS] @ p for at in [_best(row, ids, k)]]
-        return pd.DataFrame({"query_id": np.repeat(one["query_id"].to_numpy(), len(found[0][0])), "id": np.concatenate([i for _, i in found]), "score": np.concatenate([s for s, _ in found])})
-
-    def each(count: str):
-        return F.explode(F.sequence(F.lit(0), F.col(count) - 1))
-
-    left = probed.join(placed.select("leaf", "parts").distinct(), "leaf").withColumn("part", each("parts")).select("leaf", "part", "block", "query_id", "q")
-    right = placed.join(probed.select("leaf", "blocks").distinct(), "leaf").withColumn("block", each("blocks")).select("leaf", "part", "block", "id", "v")
-    found = left.groupBy("leaf", "part", "block").cogroup(right.groupBy("leaf", "part", "block")).applyInPandas(meet, schema)
-    return _ranked(found, k)
-
-
-def knn(pool: DataFrame, queries: DataFrame, k: int, **options) -> DataFrame:
-    """Exact below EXACT_BELOW rows of the pool, by partitions above HASH_BELOW, exact between the two."""
-    return (knn_exact if pool.count() < HASH_BELOW else knn_partitioned)(pool, queries, k, **options)
-
-
 def gather_by_id(neighbours: DataFrame, attributes: DataFrame, id_col: str, columns: list[str]) -> DataFrame:
     """(query_id, one array for each column): attributes of the neighbours in order of rank; neighbours: (query_id, rank, id)."""
     joined = neighbours.join(attributes.select(F.col(id_col).alias("id"), *columns), "id")

@@ -5,10 +5,12 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from pairline.functions import vectors as vx
+from pairline.operators import quantised
 from pairline.operators import retrieval as re_
 from pairline.plans import views
 from pairline.plans.registry import query
 from pairline.plans.views import with_views as V  # noqa: N812
+from pairline.sources.scratch import cut
 
 
 def pool(spark, d):
@@ -85,7 +87,25 @@ def knn_exact(spark, d):
 @query("knn_partitioned")
 def knn_partitioned(spark, d):
     p = pool(spark, d)
-    return re_.knn_partitioned(p, p.where("img_id % 50 = 0"), 10)
+    return quantised.knn_partitioned(p, p.where("img_id % 50 = 0"), 10)
+
+
+@query("knn_hashed")
+def knn_hashed(spark, d):
+    p = pool(spark, d)
+    return quantised.knn_hashed(p, p.where("img_id % 50 = 0"), 10)
+
+
+@query("knn_recall", "SELECT unnest(['knn_hashed', 'knn_partitioned']) AS search, (SELECT count(*) FROM embeddings WHERE vec_id % 50 = 0) AS n_queries, 10::BIGINT AS fewest, true AS reached")
+def knn_recall(spark, d):
+    """For both searches over codes: the queries, the fewest rows of one, and whether 90 of 100 exact neighbours were found."""
+    p, rows = cut(pool(spark, d), "pool"), []
+    asked = p.where("img_id % 50 = 0")
+    true = cut(re_.knn_exact(p, asked, 10).select("query_id", "id", F.lit(1).alias("hit")), "true")
+    for name, search in (("knn_hashed", quantised.knn_hashed), ("knn_partitioned", quantised.knn_partitioned)):
+        each = search(p, asked, 10).join(true, ["query_id", "id"], "left").groupBy("query_id").agg(F.count("*").alias("n"), F.count("hit").alias("hits"))
+        rows.append(each.agg(F.lit(name).alias("search"), F.count("*").alias("n_queries"), F.min("n").alias("fewest"), (F.sum("hits") >= 0.9 * F.sum("n")).alias("reached")))
+    return rows[0].unionByName(rows[1])
 
 
 @query("gather_by_id", f"SELECT query_id, list(id ORDER BY rank) AS ids, list(label ORDER BY rank) AS label FROM ({KNN}) JOIN embeddings ON vec_id = id GROUP BY query_id")

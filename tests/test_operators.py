@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from pairline.functions import text as tx
 from pairline.functions import vectors as vx
-from pairline.operators import align, curate, judge, metrics, retrieval, split
+from pairline.operators import align, curate, judge, metrics, split
 from pairline.operators.order import index_rows, running_total
 from pairline.sources import io
 from pairline.streaming import incremental
@@ -194,75 +194,6 @@ def test_psnr_of_equal_and_unequal_arrays(spark):
         one(spark, vx.psnr(F.array(F.lit(1.0)), F.array(F.lit(1.0), F.lit(2.0))), a=1)
 
 
-def test_partitioned_search_finds_clusters(spark):
-    import numpy as np
-
-    rng = np.random.default_rng(1)
-    centres = rng.normal(size=(20, 16)) * 5
-    x = centres[np.arange(600) % 20] + rng.normal(size=(600, 16)) * 0.3
-    pool = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "img_id long, embedding array<double>")
-    asked = pool.where("img_id < 30")
-    exact = {(r.query_id, r.id) for r in retrieval.knn_exact(pool, asked, 10).collect()}
-    near = {(r.query_id, r.id) for r in retrieval.knn_partitioned(pool, asked, 10, probes=3).collect()}
-    assert len(exact & near) >= 0.9 * len(exact)
-    first = retrieval.knn_exact(pool, asked, 1).collect()
-    assert all(r.query_id == r.id for r in first)
-
-
-def test_partitioned_search_by_default_probes_and_with_many_leaves(spark, monkeypatch):
-    import numpy as np
-
-    rng = np.random.default_rng(3)
-    centres = rng.normal(size=(40, 16)) * 5
-    x = centres[np.arange(2500) % 40] + rng.normal(size=(2500, 16)) * 0.3
-    pool = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "img_id long, embedding array<double>")
-    asked = pool.where("img_id < 40")
-    exact = {(r.query_id, r.id) for r in retrieval.knn_exact(pool, asked, 10).collect()}
-    near = {(r.query_id, r.rank, r.id) for r in retrieval.knn_partitioned(pool, asked, 10).collect()}
-    assert len(exact & {(q, i) for q, _, i in near}) >= 0.9 * len(exact)
-    monkeypatch.setattr(retrieval, "BROADCAST_LEAVES", 8)
-    assert {(r.query_id, r.rank, r.id) for r in retrieval.knn_partitioned(pool, asked, 10).collect()} == near
-
-
-def test_searches_in_blocks_parts_and_with_awkward_rows(spark, monkeypatch):
-    import numpy as np
-
-    rng = np.random.default_rng(4)
-    x = rng.normal(size=(300, 8))
-    x[100:200] = x[7]
-    rows = [(f"p{i:03d}", v.tolist()) for i, v in enumerate(x)] + [("none", None), (None, x[0].tolist()), ("zero", [0.0] * 8)]
-    pool = spark.createDataFrame(rows, "img_id string, embedding array<double>").repartition(5)
-    asked = pool.where("img_id like 'p0%' or img_id is null or embedding is null")
-    unit = x / np.linalg.norm(x, axis=1, keepdims=True)
-    want = {}
-    for i in range(100):
-        scores = np.append(np.round(unit @ unit[i], 9), 0.0)
-        names = np.array([f"p{j:03d}" for j in range(300)] + ["zero"])
-        want[f"p{i:03d}"] = [str(names[j]) for j in np.lexsort((names, -scores))[:12]]
-
-    def lists(found):
-        out = {}
-        for r in sorted(found.collect(), key=lambda r: (r.query_id, r.rank)):
-            out.setdefault(r.query_id, []).append(r.id)
-        return out
-
-    def same_up_to_ties(got):
-        assert got.keys() == want.keys()
-        for q, ids in got.items():
-            assert len(ids) == 12 and len(set(ids)) == 12
-            copies = {f"p{j:03d}" for j in [7, *range(100, 200)]}
-            assert [i if i not in copies else "copy" for i in ids] == [i if i not in copies else "copy" for i in want[q]]
-
-    same_up_to_ties(lists(retrieval.knn_exact(pool, asked, 12)))
-    monkeypatch.setattr(retrieval, "QUERY_BLOCK", 30)
-    monkeypatch.setattr(retrieval, "ROWS", 7)
-    same_up_to_ties(lists(retrieval.knn_exact(pool, asked, 12)))
-    monkeypatch.setattr(retrieval, "LEAF_PART", 20)
-    same_up_to_ties(lists(retrieval.knn_partitioned(pool, asked, 12, leaves=4, probes=4)))
-    for search in (retrieval.knn_exact, retrieval.knn_partitioned):
-        assert search(pool.limit(0), asked, 3).count() == 0 and search(pool, asked.limit(0), 3).count() == 0
-
-
 def test_files(spark, tmp_path):
     root = tmp_path / "out"
     for name, body in {"0000001": {"original_caption": "a", "edit_instruction": "b", "resulting_caption": "c"}, "0000002": {"prompt": {"original_caption": "x"}, "global_index": 4}}.items():
