@@ -14,8 +14,8 @@ writes under a name of its attempt and renames at the end, so that a part is who
 runs again writes the same bytes.
 
 Texts are encoded word by word: ASCII white space parts tokens, merges and normalisation of the vocabulary, so the ids of
-a text are those of its words one after another. Each task asks the library once for a word and keeps a bounded
-table of answers. `splits_at_blanks` tells from a vocabulary's settings whether this holds; where it does not, texts are encoded whole.
+a text are those of its words one after another. A worker keeps a bounded table of the library's answers, from which words seen
+once go first; new words of plain characters are parted into the vocabulary's pieces, whose merges the library makes. `splits_at_blanks` tells from a vocabulary's settings whether this holds; where it does not, texts are encoded whole.
 
 Defined results: a null text is an empty one and has the end id only; documents are in ascending order of id, nulls first,
 those of one id by their text's hash; equal rows are documents of their own; invalid UTF-8 is read as U+FFFD; an empty
@@ -26,13 +26,17 @@ from __future__ import annotations
 
 import json
 import os
+import re
 import uuid
 import zlib
+from array import array
 from collections.abc import Iterator
-from itertools import accumulate
+from functools import lru_cache
+from itertools import accumulate, islice
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import pyarrow.fs as pfs
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -43,10 +47,14 @@ from pairline.llm.common import shared_dir, small_batches
 
 #: The vocabulary of the registered query and the id that ends its documents.
 VOCABULARY, END_ID = "word_bpe_49k.json", 1
-#: Text bytes in a part; words encoded at once; words and ids that a task remembers; ids that a reader holds at once.
-PART_BYTES, CHUNK_WORDS, KEEP_WORDS, KEEP_IDS, READ_IDS = 128 << 20, 1 << 17, 1 << 19, 1 << 24, 1 << 21
+#: Text bytes in a part; words encoded at once; words (and pieces of words) and ids that a worker remembers; ids that a reader holds at once.
+PART_BYTES, CHUNK_WORDS, KEEP_WORDS, KEEP_IDS, READ_IDS = 128 << 20, 1 << 17, 1 << 18, 1 << 24, 1 << 21
 # Fixed value: the pattern of pieces in which no blank can stand, as the vocabulary states it.
 BLANK_FREE = (r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+",)
+# Characters that normalisation leaves alone but for their case, and their pieces in lower case by that pattern.
+LETTERS = "ßàáâãäåæçèéêëìíîïðñòóôõöøùúûüýþÿ"
+PLAIN = re.compile(rf"[!-~{LETTERS}{LETTERS[1:-1].upper()}]+")
+PLAIN_PIECES = re.compile(rf"'s|'t|'re|'ve|'m|'ll|'d|[a-z{LETTERS}]+|[0-9]|[^a-z0-9{LETTERS}]+")
 MANIFEST = "part int, width int, n_docs long, n_ids long"
 
 
@@ -70,6 +78,7 @@ class Encoder:
         self.end_id = end_id
         self.dtype = np.dtype("<u2" if max(self.tokenizer.get_vocab_size() - 1, end_id) < 1 << 16 else "<u4")
         self.by_words = self.splits_at_blanks()
+        self.as_bytes = {ord(c): self.tokenizer.pre_tokenizer.pre_tokenize_str(c)[0][0] for c in LETTERS} if self.by_words else {}
         self.forget()
 
     def splits_at_blanks(self) -> bool:
@@ -84,39 +93,83 @@ class Encoder:
 
     def forget(self) -> None:
         self.places = _Places({None: 0})
+        self.pieces: dict[str, bytes] = {}
         self.flat, self.starts, self.lengths = np.array([self.end_id], self.dtype), np.zeros(1, np.int64), np.ones(1, np.int64)
-
-    def _ids(self, texts: list[bytes]) -> list[list[int]]:
-        return [e.ids for e in self.tokenizer.encode_batch([t.decode(errors="replace") for t in texts], add_special_tokens=False)]
+        self.seen = np.ones(1, np.int64)
+
+    def _keep_frequent(self) -> None:
+        """Forget the words that were seen once, and all of them if that leaves more than half."""
+        often = np.flatnonzero(self.seen > 1)
+        often = np.append(0, often[often > 0])
+        if 2 * len(often) > KEEP_WORDS or 2 * int(self.lengths[often].sum()) > KEEP_IDS:
+            return self.forget()
+        words = list(self.places)
+        self.flat, self.lengths = self._gather(often), self.lengths[often]
+        self.starts, self.seen = np.cumsum(self.lengths) - self.lengths, np.ones(len(often), np.int64)
+        self.places = _Places((words[k], i) for i, k in enumerate(often.tolist()))
+
+    def _gather(self, places: np.ndarray) -> np.ndarray:
+        """The ids of the words at these places, one after another."""
+        lengths = self.lengths[places]
+        ends = np.cumsum(lengths)
+        return self.flat[np.arange(ends[-1]) + np.repeat(self.starts[places] - ends + lengths, lengths)]
+
+    def _ids(self, texts: list[bytes]) -> list[bytes]:
+        """The ids of texts as the bytes of a file; thousands of lists would keep the garbage collector busy."""
+        return [np.array(e.ids, self.dtype).tobytes() for e in self.tokenizer.encode_batch([t.decode(errors="replace") for t in texts], add_special_tokens=False)]
+
+    def _plain_ids(self, word: str) -> bytes:
+        """The ids of a word of plain characters: those of its pieces, for each of which the vocabulary's merges are asked once."""
+        out = b""
+        for piece in PLAIN_PIECES.findall(word.lower()):
+            ids = self.pieces.get(piece)
+            if ids is None:
+                tokens = self.tokenizer.model.tokenize(piece.translate(self.as_bytes))
+                ids = self.pieces[piece] = array(self.dtype.char, [t.id for t in tokens]).tobytes()
+            out += ids
+        return out
 
     def _learn(self, words: list[bytes]) -> None:
-        found = self._ids(words)
-        lengths = np.fromiter(map(len, found), np.int64, len(found))
+        texts = [w.decode(errors="replace") for w in words]
+        plain = [PLAIN.fullmatch(t) is not None and "<|" not in t for t in texts]
+        others = iter(self._ids([w for w, p in zip(words, plain, strict=True) if not p]))
+        found = [self._plain_ids(t) if p else next(others) for t, p in zip(texts, plain, strict=True)]
+        lengths = np.fromiter(map(len, found), np.int64, len(found)) // self.dtype.itemsize
         self.starts = np.append(self.starts, len(self.flat) + np.cumsum(lengths) - lengths)
-        self.lengths = np.append(self.lengths, lengths)
-        self.flat = np.append(self.flat, np.fromiter((i for f in found for i in f), self.dtype, int(lengths.sum())))
+        self.lengths, self.seen = np.append(self.lengths, lengths), np.append(self.seen, np.zeros(len(words), np.int64))
+        self.flat = np.append(self.flat, np.frombuffer(b"".join(found), self.dtype))
 
     def encode(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         """The ids of all texts, each with its end id, and how many each has."""
         if not self.by_words:
-            found = [[*ids, self.end_id] for ids in self._ids(texts)]
-            return np.array([i for f in found for i in f], self.dtype), np.fromiter(map(len, found), np.int64, len(found))
+            end = np.array([self.end_id], self.dtype).tobytes()
+            found = [ids + end for ids in self._ids(texts)]
+            return np.frombuffer(b"".join(found), self.dtype), np.fromiter(map(len, found), np.int64, len(found)) // self.dtype.itemsize
         if len(self.places) > KEEP_WORDS or len(self.flat) > KEEP_IDS:
-            self.forget()
-        words: list[bytes | None] = []
-        firsts = []
-        for text in texts:
-            firsts.append(len(words))
-            words += text.split()  # bytes part at the six ASCII blanks only
-            words.append(None)
+            self._keep_frequent()
+        if len(self.pieces) > KEEP_WORDS:
+            self.pieces = {}
+        # Arrow parts at the six ASCII blanks only, and leaves an empty word where a text begins or ends with one
+        parted = pc.ascii_split_whitespace(pa.array(texts, pa.large_binary()).view(pa.large_string()))
+        words = parted.flatten().dictionary_encode()
+        distinct = words.dictionary.view(pa.large_binary()).to_numpy(zero_copy_only=False)
         known = len(self.places)
-        places = np.fromiter(map(self.places.__getitem__, words), np.int64, len(words))
+        numbers = np.fromiter(map(self.places.__getitem__, distinct), np.int64, len(distinct))
         if len(self.places) > known:
-            self._learn(list(self.places)[known:])
-        lengths = self.lengths[places]
-        ends = np.cumsum(lengths)
-        ids = self.flat[np.arange(ends[-1]) + np.repeat(self.starts[places] - ends + lengths, lengths)]
-        return ids, np.add.reduceat(lengths, firsts)
+            self._learn(list(islice(self.places, known, None)))
+        edges = parted.offsets.to_numpy() - parted.offsets[0].as_py()
+        places = np.zeros(len(words) + len(texts), np.int64)  # each text's words, then the end id
+        inner = np.ones(len(places), bool)
+        inner[edges[1:] + np.arange(len(texts))] = False
+        places[inner] = numbers[words.indices.to_numpy()]
+        self.seen += np.bincount(places, minlength=len(self.seen))
+        return self._gather(places), np.add.reduceat(self.lengths[places], edges[:-1] + np.arange(len(texts)))
+
+
+@lru_cache(maxsize=2)
+def encoder_of(vocabulary: str, end_id: int) -> Encoder:
+    """One for a worker process, which runs many tasks."""
+    return Encoder(vocabulary, end_id)
 
 
 def _chunks(batch: pa.RecordBatch) -> Iterator[tuple[int, list[bytes]]]:
@@ -160,7 +213,7 @@ def write_token_files(docs: DataFrame, folder: str | None = None, id_col: str =
             if not batch.num_rows:
                 continue
             if encoder is None:
-                encoder = Encoder(vocabulary, end_id)
+                encoder = encoder_of(vocabulary, end_id)
                 out = {kind: store.open_output_stream(name) for kind, (name, _) in names.items()}
                 keys = pa.ipc.new_file(out["keys"], pa.schema([batch.schema.field("key")]))
             for first, texts in _chunks(batch):
