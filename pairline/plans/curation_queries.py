@@ -84,10 +84,18 @@ def removal_report(spark, d):
     return cu.removal_report(removed(spark, d))
 
 
-@query("merge_removed", V("SELECT folder, seed, coalesce(a.s, b.s) AS overall_score FROM (SELECT folder, seed, 1.0::DOUBLE AS s FROM overall WHERE overall_score < 2 AND folder % 2 = 0) a FULL JOIN (SELECT folder, seed, round(overall_score, 6) AS s FROM overall WHERE overall_score < 2) b USING (folder, seed)", "overall"))
-def merge_removed(spark, d):
+MERGED = V("SELECT folder, seed, coalesce(a.s, b.s) AS overall_score FROM (SELECT folder, seed, 1.0::DOUBLE AS s FROM overall WHERE overall_score < 2 AND folder % 2 = 0) a FULL JOIN (SELECT folder, seed, round(overall_score, 6) AS s FROM overall WHERE overall_score < 2) b USING (folder, seed)", "overall")
+
+
+def removed_scores(spark, d):
+    """Stored and new scores of removed samples."""
     new = rounded(removed(spark, d), "overall_score").select("folder", "seed", "overall_score")
-    return cu.merge_removed(new.where("folder % 2 = 0").withColumn("overall_score", F.lit(1.0)), new)
+    return new.where("folder % 2 = 0").withColumn("overall_score", F.lit(1.0)), new
+
+
+@query("merge_removed", MERGED)
+def merge_removed(spark, d):
+    return cu.merge_removed(*removed_scores(spark, d))
 
 
 UPSERT = """SELECT coalesce(a.uid, b.uid) AS uid, coalesce(nullif(b.p, ''), a.p) AS prompt_input, coalesce(nullif(b.v, ''), a.v) AS vision_input, coalesce(b.s, a.s) AS score
@@ -95,12 +103,17 @@ UPSERT = """SELECT coalesce(a.uid, b.uid) AS uid, coalesce(nullif(b.p, ''), a.p)
   FULL JOIN (SELECT o_orderkey AS uid, CASE WHEN o_orderkey % 2 = 0 THEN '' ELSE 'new' END AS p, o_orderstatus || 'x' AS v, CASE WHEN o_orderkey % 5 <> 0 THEN 1.0::DOUBLE END AS s FROM orders WHERE o_orderkey % 4 <> 0) b ON a.uid = b.uid"""
 
 
-@query("upsert_results", UPSERT)
-def upsert_results(spark, d):
+def results(spark, d):
+    """Old and new results of orders."""
     o = views.table(spark, d, "orders").withColumnRenamed("o_orderkey", "uid")
     old = o.where("uid % 3 != 0").select("uid", F.col("o_orderpriority").alias("prompt_input"), F.col("o_orderstatus").alias("vision_input"), F.col("o_totalprice").alias("score"))
     new = o.where("uid % 4 != 0").select("uid", F.when(F.col("uid") % 2 == 0, "").otherwise("new").alias("prompt_input"), F.concat("o_orderstatus", F.lit("x")).alias("vision_input"), F.when(F.col("uid") % 5 != 0, 1.0).alias("score"))
-    return cu.upsert_results(old, new)
+    return old, new
+
+
+@query("upsert_results", UPSERT)
+def upsert_results(spark, d):
+    return cu.upsert_results(*results(spark, d))
 
 
 @query("pending_prompts", "SELECT o_orderkey AS folder FROM orders WHERE o_orderkey NOT IN (SELECT l_orderkey FROM lineitem)")

@@ -6,13 +6,16 @@ import uuid
 
 from pyspark.sql import functions as F
 
+from pairline.operators import curate as cu
 from pairline.operators import split as sp
 from pairline.plans import views
+from pairline.plans.curation_queries import MERGED, UPSERT, removed_scores, results
 from pairline.plans.registry import query
 from pairline.plans.split_queries import DOCS
 from pairline.plans.views import with_views as V  # noqa: N812
 from pairline.sources import io
 from pairline.sources.scratch import shared_dir
+from pairline.sources.store import Store
 from pairline.streaming import incremental
 
 TRIPLE = ("original_caption", "edit_instruction", "resulting_caption")
@@ -138,3 +141,48 @@ def incremental_run(spark, d):
     for part in (e.where("event_id % 2 = 0"), e, e):
         incremental.incremental_run(part, "event_id", lambda x: x.select("event_id", (F.col("value") * 2).alias("doubled")), path)
     return spark.read.parquet(path)
+
+
+@query("keyed_stream", "SELECT event_id, value * 2 AS doubled FROM events")
+def keyed_stream(spark, d):
+    """Events that arrive twice, in files cut otherwise the second time; a third run finds nothing new."""
+    source, path, mark = (fresh(spark, n) for n in ("arrivals", "keyed", "keyed-mark"))
+    e = views.table(spark, d, "events").select("event_id", "value")
+    for part in (e.where("event_id % 2 = 0").repartition(3), e.repartition(2), e.limit(0)):
+        part.write.mode("append").parquet(source)
+        incremental.keyed_stream(spark, source, "event_id bigint, value double", "event_id", lambda x: x.select("event_id", (F.col("value") * 2).alias("doubled")), path, mark)
+    return spark.read.schema("event_id bigint, doubled double").parquet(path).select("event_id", "doubled")
+
+
+@query("store_append", V("SELECT prompt_idx, seed, round(sim_dir, 6) AS sim_dir FROM samples_big", "samples_big"))
+def store_append(spark, d):
+    """Two halves appended to a stored table."""
+    s = views.samples_big(spark, d).select("prompt_idx", "seed", F.round("sim_dir", 6).alias("sim_dir"))
+    store = Store(spark, fresh(spark, "store"), ("prompt_idx",), "prompt_idx bigint, seed bigint, sim_dir double", 16)
+    for half in (0, 1):
+        store.append(s.where(F.col("seed") % 2 == half))
+    return store.read()
+
+
+@query("store_upsert", UPSERT)
+def store_upsert(spark, d):
+    """Results that are stored and then updated in three steps, of which the last touches one bucket."""
+    old, new = results(spark, d)
+    store = Store(spark, fresh(spark, "store"), ("uid",), "uid bigint, prompt_input string, vision_input string, score double", 16)
+    store.append(old)
+    last = store.bucket_of() == 7
+    for part in (new.where("uid % 2 = 0").where(~last), new.where("uid % 2 = 1").where(~last), new.where(last)):
+        touched = store.update(part, cu.upsert_results)
+    if touched > 1:
+        raise ValueError("rows of one bucket must touch no other")
+    store.vacuum()
+    return store.read()
+
+
+@query("store_merge_removed", MERGED)
+def store_merge_removed(spark, d):
+    stored, new = removed_scores(spark, d)
+    store = Store(spark, fresh(spark, "store"), ("folder", "seed"), "folder bigint, seed bigint, overall_score double", 16)
+    store.append(stored)
+    store.update(new, cu.merge_removed)
+    return store.read()
