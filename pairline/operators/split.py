@@ -11,6 +11,9 @@ from pairline.functions.hashing import hash_long, hash_uniform
 from pairline.operators.order import index_rows
 from pairline.sources.scratch import cut
 
+#: Rounds of a permutation; times that a value outside of the domain is permuted again: half of them or more are inside each time.
+ROUNDS, WALK = 6, 128
+
 
 def array_split_part(idx: Column, n: int, parts: int) -> Column:
     """Part of row idx when n rows are cut into contiguous parts, the first n mod parts being one longer."""
@@ -96,15 +99,41 @@ def one_per_group(df: DataFrame, group: str, member: str, seed: str) -> DataFram
     return df.groupBy(group).agg(F.min_by(member, F.struct(hash_long(seed, group, member), F.col(member))).alias(member))
 
 
+def permuted(i: Column, domain: int, seed: str, *keys: str) -> Column:
+    """i's place in a permutation of 0 ... domain - 1 that depends on the seed and the keys.
+
+    Rounds in turn change the upper bits by a hash of the lower ones and the lower by one of the upper, which can be undone, so
+    that no two i meet. Where the domain is no power of two, what falls outside of it is permuted again until it is inside.
+    """
+    bits = max(1, (domain - 1).bit_length())
+    low_bits = bits // 2
+    high_bits = bits - low_bits
+
+    def once(x: Column) -> Column:
+        low, high = x.bitwiseAND(F.lit((1 << low_bits) - 1)), F.shiftright(x, low_bits)
+        for r in range(ROUNDS):
+            if r % 2:
+                low = low.bitwiseXOR(F.pmod(hash_long(f"{seed}/{r}", *keys, high), F.lit(1 << low_bits)))
+            else:
+                high = high.bitwiseXOR(F.pmod(hash_long(f"{seed}/{r}", *keys, low), F.lit(1 << high_bits)))
+        return F.shiftleft(high, low_bits).bitwiseOR(low)
+
+    start = i.cast("long")
+    if domain == 1 << bits:
+        return once(start)
+    inside = F.aggregate(F.sequence(F.lit(1), F.lit(WALK)), once(start), lambda x, _: F.when(x < domain, x).otherwise(once(x)))
+    return F.when(F.assert_true(inside < domain, F.lit("a walk did not end")).isNull(), inside)
+
+
 def draw_seeds(prompts: DataFrame, key: str, n: int, seed: str, redraw: bool = True, bits: int = 32) -> DataFrame:
-    """(key, draw, seed): distinct seeds of each prompt. redraw: always n, drawn again on collision; else up to n, collisions skipped."""
-    tries = n + 16 if redraw else n
-    drawn = prompts.select(key).withColumn("draw", F.explode(F.sequence(F.lit(0), F.lit(tries - 1)))).withColumn("seed", F.pmod(hash_long(seed, key, "draw"), F.lit(1 << bits)))
-    firsts = drawn.groupBy(key, "seed").agg(F.min("draw").alias("draw"))
-    if not redraw:
-        return firsts.select(key, "draw", "seed")
-    place = F.row_number().over(Window.partitionBy(key).orderBy("draw")) - 1
-    return firsts.withColumn("place", place).where(F.col("place") < n).select(key, F.col("place").alias("draw"), "seed")
+    """(key, draw, seed): distinct seeds of each prompt. redraw: exactly n, by a permutation of all seeds; else up to n, collisions skipped."""
+    if redraw and n > 1 << bits:
+        raise ValueError(f"there are no {n} different seeds of {bits} bits")
+    drawn = prompts.select(key).withColumn("draw", F.explode(F.sequence(F.lit(0), F.lit(n - 1))) if n else F.explode(F.array().cast("array<int>")))
+    if redraw:
+        return drawn.withColumn("seed", permuted(F.col("draw"), 1 << bits, seed, key))
+    hashed = drawn.withColumn("seed", F.pmod(hash_long(seed, key, "draw"), F.lit(1 << bits)))
+    return hashed.groupBy(key, "seed").agg(F.min("draw").alias("draw")).select(key, "draw", "seed")
 
 
 def draw_params(draws: DataFrame, bounds: dict[str, tuple[float, float]], seed: str, *keys: str) -> DataFrame:

@@ -2,17 +2,20 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from pairline.functions.hashing import hash_long, hash_uniform
 from pairline.functions.text import folder_key
 from pairline.operators import curate as cu
-from pairline.operators import infer, judge
+from pairline.operators import infer, judge, seen
 from pairline.plans import views
 from pairline.plans.prompt_queries import DIFF
 from pairline.plans.registry import query
 from pairline.plans.views import H, U, with_views as V  # noqa: N812
 from pairline.sources import io
+from pairline.sources.scratch import shared_dir
 
 #: The driver's vectors are nearly orthogonal, so that the presets keep none of them.
 FIXTURE = cu.Thresholds(text=-0.05, direction=-0.05, image=0.1, max_out=4, overall=2.0)
@@ -134,6 +137,24 @@ def resume_unseen(spark, d):
     return cu.resume_unseen(c, c.where("gen_order % 10 = 0")).select("gen_order")
 
 
+@query("resume_unseen_filtered", V("SELECT gen_order FROM captions WHERE caption NOT IN (SELECT caption FROM captions WHERE gen_order % 10 = 0) AND url NOT IN (SELECT url FROM captions WHERE gen_order % 10 = 0)", "captions"))
+def resume_unseen_filtered(spark, d):
+    """As resume_unseen; the seen captions and urls were added by two runs."""
+    c = views.captions(spark, d)
+    keys = {k: seen.SeenKeys(spark, f"{shared_dir(spark)}/seen-{uuid.uuid4().hex}", expected=100_000, buckets=16) for k in ("caption", "url")}
+    for part in (0, 10):
+        for name, known in keys.items():
+            known.add(c.where(F.col("gen_order") % 20 == part), name)
+    return seen.resume_unseen(c, keys).select("gen_order")
+
+
+@query("pending_prompts_filtered", "SELECT o_orderkey AS folder FROM orders WHERE o_orderkey NOT IN (SELECT l_orderkey FROM lineitem)")
+def pending_prompts_filtered(spark, d):
+    done = seen.SeenKeys(spark, f"{shared_dir(spark)}/seen-{uuid.uuid4().hex}", "bigint", expected=20_000, buckets=16)
+    done.add(views.table(spark, d, "lineitem"), "l_orderkey")
+    return done.unseen(views.table(spark, d, "orders").select(F.col("o_orderkey").alias("folder")), "folder")
+
+
 @query("complete_pairs", V("SELECT folder, seed, bool_or(side = 0) AND bool_or(side = 1) AS complete FROM images GROUP BY folder, seed", "images"))
 def complete_pairs(spark, d):
     return cu.complete_pairs(views.images(spark, d))

@@ -78,10 +78,20 @@ def one_per_group(spark, d):
     return sp.one_per_group(views.table(spark, d, "events"), "user_id", "event_id", "one")
 
 
-@query("draw_seeds", f"""SELECT doc_id, (row_number() OVER (PARTITION BY doc_id ORDER BY d) - 1)::INT AS draw, seed FROM (SELECT doc_id, seed, min(draw) AS d FROM (SELECT doc_id, draw, {H('seeds', 'doc_id', 'draw')} % 64 AS seed FROM documents, range(0, 20) AS r(draw)) GROUP BY ALL) QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY d) <= 4""")
+def permuted_sql(domain_bits: int, seed: str, key: str) -> str:
+    """Common table expressions r0 ... over draws(key, draw), the last with the permuted draw as `seed`."""
+    low, high = domain_bits // 2, domain_bits - domain_bits // 2
+    steps = [f"r0 AS (SELECT {key}, draw, draw::BIGINT % {1 << low} AS l, draw::BIGINT // {1 << low} AS h FROM draws)"]
+    for r in range(sp.ROUNDS):
+        changed = f"xor(l, {H(f'{seed}/{r}', key, 'h')} % {1 << low}) AS l, h" if r % 2 else f"l, xor(h, {H(f'{seed}/{r}', key, 'l')} % {1 << high}) AS h"
+        steps.append(f"r{r + 1} AS (SELECT {key}, draw, {changed} FROM r{r})")
+    return ", ".join(steps) + f" SELECT {key}, draw::INT AS draw, h * {1 << low} + l AS seed FROM r{sp.ROUNDS}"
+
+
+@query("draw_seeds", "WITH draws AS (SELECT doc_id, draw FROM documents, range(0, 40) AS r(draw)), " + permuted_sql(6, "seeds", "doc_id"))
 def draw_seeds(spark, d):
-    """Few different seeds, so that draws collide."""
-    return sp.draw_seeds(docs(spark, d), "doc_id", 4, "seeds", bits=6)
+    """40 of 64 seeds for each document: drawn independently, half of them would collide."""
+    return sp.draw_seeds(docs(spark, d), "doc_id", 40, "seeds", bits=6)
 
 
 @query("draw_seeds_skip", f"SELECT doc_id, min(draw)::INT AS draw, seed FROM (SELECT doc_id, draw, {H('seeds', 'doc_id', 'draw')} % 64 AS seed FROM documents, range(0, 4) AS r(draw)) GROUP BY doc_id, seed")

@@ -2,16 +2,23 @@
 
 from __future__ import annotations
 
+import uuid
+from functools import reduce
+
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from pairline.functions.hashing import hash_uniform
 from pairline.operators import browse as br
 from pairline.operators import metrics as me
 from pairline.operators.curate import filter_report
+from pairline.operators.grams import GramIndex
+from pairline.operators.grams import indexed_search as indexed
 from pairline.plans import views
 from pairline.plans.registry import query
 from pairline.plans.views import U, with_views as V  # noqa: N812
 from pairline.sources import io
+from pairline.sources.scratch import shared_dir
 
 Q = me.QUESTIONS
 WIDE = "SELECT prompt_idx, " + ", ".join(f"max(answer) FILTER (question = '{q}') AS {q}_answer, max(reason) FILTER (question = '{q}') AS {q}_reason" for q in Q) + " FROM answers GROUP BY prompt_idx"
@@ -118,6 +125,15 @@ def facet_search(spark, d):
     return br.facet_search(views.hub(spark, d), ["kept", "N/A"], ["src1", "src2", "src3", "N/A"], {"original_caption": "The E"}).select("doc_id")
 
 
+@query("indexed_search", V("SELECT doc_id, 'the e' AS term FROM hub WHERE coalesce(status, 'N/A') IN ('kept', 'N/A') AND contains(lower(coalesce(original_caption, '')), 'the e') UNION ALL SELECT doc_id, 'xyzzy' FROM hub WHERE coalesce(status, 'N/A') IN ('kept', 'N/A') AND contains(lower(coalesce(original_caption, '')), 'xyzzy') UNION ALL SELECT doc_id, 'ab' FROM hub WHERE coalesce(status, 'N/A') IN ('kept', 'N/A') AND contains(lower(coalesce(original_caption, '')), 'ab') UNION ALL SELECT doc_id, 'license' FROM hub WHERE coalesce(status, 'N/A') IN ('kept', 'N/A') AND contains(lower(coalesce(original_caption, '')), 'license')", "hub"))
+def indexed_search(spark, d):
+    """Terms that are frequent, absent, too short for the index, and rare."""
+    hub, index = views.hub(spark, d), GramIndex(spark, f"{shared_dir(spark)}/grams-{uuid.uuid4().hex}")
+    index.build(hub, "doc_id", ("original_caption",))
+    found = [indexed(hub, index, "doc_id", ["kept", "N/A"], [], {"original_caption": t}).select("doc_id", F.lit(t.lower()).alias("term")) for t in ("The E", "xyzzy", "ab", "License")]
+    return reduce(DataFrame.unionByName, found)
+
+
 @query("facet_values", V("SELECT DISTINCT coalesce(class_name, 'N/A') AS value FROM hub", "hub"))
 def facet_values(spark, d):
     return br.facet_values(views.hub(spark, d), "class_name")

@@ -3,7 +3,7 @@
 import pytest
 from pyspark.sql import functions as F
 
-from pairline.operators import curate
+from pairline.operators import browse, curate, grams, seen, split
 from pairline.sources.store import Store
 from pairline.streaming import incremental
 
@@ -100,3 +100,72 @@ def test_a_stream_that_breaks_does_its_batch_again(spark, tmp_path):
     for _ in range(2):
         incremental.keyed_stream(spark, source, "id long", "id", lambda d: d, out, mark)
     assert sorted(r.id for r in spark.read.schema("id long").parquet(out).collect()) == list(range(6))
+
+
+def test_filters_have_no_false_negatives_and_few_false_hits(spark):
+    keys = spark.range(20_000).select((F.col("id") * 7 - 3).alias("k"))
+    blocks = seen.n_blocks(20_000)
+    whole = seen.bloom_filter(keys, "k", blocks)
+    parts = [seen.bloom_filter(keys.where(F.pmod("k", F.lit(3)) == i), "k", blocks) for i in range(3)]
+    assert sorted(whole.collect()) == sorted(seen.merge_filters(*parts).collect())
+    assert whole.count() <= blocks
+    asked = spark.range(140_000).select((F.col("id") - 3).alias("k"))
+    hits = seen.may_hold(asked, "k", whole, blocks).where("hit")
+    assert hits.where(F.pmod(F.col("k") + 3, F.lit(7)) == 0).count() == 20_000
+    assert hits.count() - 20_000 <= 0.015 * 120_000
+    assert seen.may_hold(spark.createDataFrame([(None,)], "k long"), "k", whole, blocks).first()["hit"] is False
+
+
+def test_the_history_is_read_for_hits_only(spark, tmp_path):
+    known = seen.SeenKeys(spark, str(tmp_path / "seen"), "bigint", expected=5000, buckets=32)
+    new = spark.range(1_000_000, 1_000_050).withColumnRenamed("id", "k")
+    assert known.unseen(new, "k").count() == 50 and known.read_buckets == set()
+    known.add(spark.range(3000), "id")
+    known.add(spark.range(2500, 4000), "id")
+    assert known.unseen(new, "k").count() == 50 and len(known.read_buckets) <= 3
+    mixed = spark.createDataFrame([(5, "a"), (5, "b"), (9999, "c"), (None, "d")], "k long, v string")
+    again = seen.SeenKeys(spark, str(tmp_path / "seen"), "bigint")
+    assert again.blocks == known.blocks
+    assert sorted(r.v for r in again.unseen(mixed, "k").collect()) == ["c", "d"] and 1 <= len(again.read_buckets) <= 2
+    assert again.unseen(mixed.limit(0), "k").count() == 0
+    again.add(mixed.limit(0), "k")
+    full = seen.SeenKeys(spark, str(tmp_path / "full"), "bigint", expected=1)  # every look-up hits, and is confirmed
+    full.add(spark.range(2000), "id")
+    assert full.unseen(spark.range(4000), "id").count() == 2000
+
+
+TEXTS = ["The quick\nbrown fox", "quick", "QUICK fox", None, "", "ab", "über \U0001f600 fox \U0001f600\U0001f600x", "a.b*c\\", "foxfox" * 40, "İstanbul fox"]
+
+
+@pytest.mark.parametrize("pushed", [0, 1000])
+def test_indexed_search_finds_what_a_scan_finds(spark, tmp_path, monkeypatch, pushed):
+    monkeypatch.setattr(grams, "PUSHED", pushed)
+    monkeypatch.setattr(grams, "BLOCK", 3)
+    df = spark.createDataFrame([(i, t, "kept" if i % 2 else None, f"c{i % 3}") for i, t in enumerate(TEXTS)], "n long, caption string, status string, class_name string")
+    index = grams.GramIndex(spark, str(tmp_path / "grams"))
+    index.build(df, "n", ("caption",))
+    assert index.lists("caption").agg(F.max("n")).first()[0] <= len(TEXTS) and index.lists("caption").groupBy("gram").count().agg(F.max("count")).first()[0] > 1
+    for term in ("fox", "QUICK", "quick\nb", "\U0001f600\U0001f600x", "a.b*c\\", "none of them", "", "ab", "İst", "foxfoxfox", "k\nbro"):
+        for statuses, classes in ((["kept", "N/A"], []), (["kept"], ["c1"])):
+            want = browse.facet_search(df, statuses, classes, {"caption": term})
+            assert sorted(r.n for r in grams.indexed_search(df, index, "n", statuses, classes, {"caption": term}).collect()) == sorted(r.n for r in want.collect()), term
+    plan = index.lists("caption").where(F.col("gram").isin(grams.grams_of("quick")))._jdf.queryExecution().executedPlan().toString()
+    assert "In(gram" in plan.split("PushedFilters")[1]
+
+
+@pytest.mark.parametrize(("n", "bits"), [(64, 6), (40, 6), (2, 1), (1, 3), (0, 4), (100, 32)])
+def test_seeds_are_exactly_as_many_as_asked_for(spark, n, bits):
+    prompts = spark.createDataFrame([("a",), ("b",), (None,)], "k string")
+    rows = split.draw_seeds(prompts, "k", n, "s", bits=bits).collect()
+    assert len(rows) == 3 * n and all(0 <= r.seed < 1 << bits for r in rows)
+    assert all(len({r.seed for r in rows if r.k == k}) == n for k in ("a", "b", None))
+    if n > 30:
+        assert [r.seed for r in sorted(rows, key=lambda r: r.draw) if r.k == "a"] != [r.seed for r in sorted(rows, key=lambda r: r.draw) if r.k == "b"]
+
+
+def test_permutations_of_any_domain(spark):
+    for domain in (1, 2, 3, 37, 1000, 1025):
+        got = [r.x for r in spark.range(domain).select(split.permuted(F.col("id"), domain, "p").alias("x")).collect()]
+        assert sorted(got) == list(range(domain)), domain
+    with pytest.raises(ValueError, match="different seeds"):
+        split.draw_seeds(spark.range(1), "id", 65, "s", bits=6)
