@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from pairline.functions import text as tx
+from pairline.operators.order import INTEGRAL, index_rows, nth_key, number_in_groups
+from pairline.sources.scratch import cut
 
 MISSING = "N/A"
 CLEANED = "Neutral Gray Background, "
@@ -36,11 +38,19 @@ def facet_values(df: DataFrame, column: str) -> DataFrame:
 
 
 def paginate(df: DataFrame, key: str, page: int, size: int = 20) -> DataFrame:
-    """Page `page` (from 1) in order of key, with the number of pages and the range shown; a page is bounded by its size."""
+    """Page `page` (from 1) in order of key, with the number of pages and the range shown; a page is bounded by its size.
+
+    For a whole-number key without nulls the keys at the ends of the page are found by counting, so that what lies before is not sorted.
+    """
     total = df.count()
     pages, first = -(-total // size), (page - 1) * size
-    shown = df.orderBy(key).offset(first).limit(size)
-    return shown.withColumns({"n_pages": F.lit(pages).cast("long"), "first_shown": F.lit(min(first + 1, total)).cast("long"), "last_shown": F.lit(min(first + size, total)).cast("long")})
+    last, rows, skipped = min(first + size, total), df, first
+    if dict(df.dtypes)[key] in INTEGRAL and 0 <= first < total and not df.where(F.col(key).isNull()).count():
+        keys = cut(df.select(key), "keys")
+        (low, before), (high, _) = nth_key(keys, key, first + 1), nth_key(keys, key, last)
+        rows, skipped = df.where(F.col(key).between(low, high)), first - before
+    shown = rows.orderBy(key).offset(skipped).limit(size)
+    return shown.withColumns({"n_pages": F.lit(pages).cast("long"), "first_shown": F.lit(min(first + 1, total)).cast("long"), "last_shown": F.lit(last).cast("long")})
 
 
 def display_text(c: str, term: str) -> Column:
@@ -49,11 +59,9 @@ def display_text(c: str, term: str) -> Column:
 
 
 def history_newest_first(history: DataFrame, user: str, order: list[str], per_row: int = 3) -> DataFrame:
-    """Each user's log, newest first, with number #n counted from the oldest and the display row."""
-    newest = Window.partitionBy(user).orderBy(*[F.desc(c) for c in order])
-    place = F.row_number().over(newest)
-    n = F.count("*").over(Window.partitionBy(user))
-    return history.withColumns({"number": n - place + 1, "display_row": F.floor((place - 1) / per_row)})
+    """Each user's log, newest first, with number #n counted from the oldest and the display row; a long log is dealt over partitions."""
+    placed = number_in_groups(history, [user], [F.desc(c) for c in order], "__place", "__n")
+    return placed.withColumns({"number": F.col("__n") - F.col("__place") + 1, "display_row": F.floor((F.col("__place") - 1) / per_row)}).drop("__place", "__n")
 
 
 def sample_paths(df: DataFrame, seed: str = "seed", class_name: str = "class_name") -> DataFrame:
@@ -81,8 +89,6 @@ def ignore_and_subset(files: DataFrame, ignored: DataFrame, classes: DataFrame,
 
 def label_join(files: DataFrame, class_column: str, original: DataFrame) -> DataFrame:
     """files with the dense label (rank of the sorted classes), the original index and the human name; original: (class, idx, human)."""
-    from pairline.operators.order import index_rows
-
     dense = index_rows(files.select(class_column).distinct(), class_column, name="label")
     return files.join(dense, class_column).join(original, class_column, "left")
 

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from pairline.functions.text import prepend_if_missing
 from pairline.functions.vectors import pair_metrics_clip
+from pairline.operators.order import number_in_groups
 from pairline.operators.prompts import caption_diff
 
 
@@ -121,8 +122,8 @@ def topk_per_prompt(samples: DataFrame, t: Thresholds) -> DataFrame:
 
 
 def rank_unfiltered(samples: DataFrame) -> DataFrame:
-    """All samples in the same order, without filter and cap."""
-    return samples.withColumn("rank", F.row_number().over(_best_first()))
+    """All samples in the same order, without filter and cap; the samples of a large prompt are dealt over partitions."""
+    return number_in_groups(samples, ["prompt_idx"], [F.desc("sim_dir"), F.desc("seed")], "rank").withColumn("rank", F.col("rank").cast("int"))
 
 
 def removal_report(removed: DataFrame, key: str = "folder") -> DataFrame:

@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from pairline.operators.order import index_rows
+from pairline.operators.order import MAX, MIN, index_rows, scan
+from pairline.sources.scratch import cut
 
 QUESTIONS = ("edited", "complete", "same_words", "minimal")
 PER_ROW = 40
@@ -74,15 +75,14 @@ def throughput(batches: DataFrame, n: Column, seconds: Column, *keys: str) -> Da
 
 
 def best_checkpoint(log: DataFrame, step: str, value: str, patience: int = 10) -> DataFrame:
-    """A training log (one run, in memory of one task) with best so far, whether the row is the best, and whether patience is exhausted."""
-    before = Window.orderBy(step).rowsBetween(Window.unboundedPreceding, -1)
-    upto = Window.orderBy(step).rowsBetween(Window.unboundedPreceding, 0)
-    improved = F.coalesce(F.col(value) < F.min(value).over(before), F.lit(True))
-    marked = log.withColumn("best", F.min(value).over(upto)).withColumn("__at", F.when(improved, F.col(step)))
-    numbered = marked.withColumn("__n", F.row_number().over(Window.orderBy(step)))
-    last = F.max(F.when(F.col("__at").isNotNull(), F.col("__n"))).over(upto)
-    out = numbered.withColumn("n_since", F.col("__n") - last)
-    return out.withColumn("stopped", F.col("n_since") >= patience).withColumn("is_best", F.col("__at").isNotNull()).drop("__at", "__n")
+    """A training log (one run, different steps) with the best value so far, the rows since it came, whether the row is it, and whether patience is exhausted.
+
+    Two scans over the steps: the smallest value before each, then the last improvement up to each.
+    """
+    before = cut(scan(index_rows(log, step, name="__n"), "__n", F.col(value), MIN, "__before", inclusive=False), "log")
+    improved = F.coalesce(F.col(value) < F.col("__before"), F.lit(True))
+    out = scan(before, "__n", F.when(improved, F.col("__n")), MAX, "__last").withColumns({"best": F.least("__before", value), "n_since": F.col("__n") - F.col("__last")})
+    return out.withColumns({"stopped": F.col("n_since") >= patience, "is_best": F.col("n_since") == 0}).drop("__n", "__before", "__last")
 
 
 def next_index(df: DataFrame, existing: DataFrame, order: str, idx: str = "idx") -> DataFrame:

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from pairline.functions import text as tx
+from pairline.operators.order import SUM, index_rows, scan
 
 STYLE = "Neutral Gray Background, "
 INPUT_END, EDIT_END, OUTPUT_END = "\n##\n", "\n%%\n", "\nEND"
@@ -81,10 +82,10 @@ def dedupe_first(captions: DataFrame) -> DataFrame:
 
 
 def dedupe_progress(captions: DataFrame, call: str) -> DataFrame:
-    """For each call the captions not seen before, and the running total; calls are few."""
+    """For each call the captions not seen before, and the running total."""
     firsts = captions.groupBy("caption").agg(F.min(call).alias(call)).groupBy(call).agg(F.count("*").alias("n_new"))
     every = captions.select(call).distinct().join(firsts, call, "left").select(call, F.coalesce("n_new", F.lit(0)).alias("n_new"))
-    return every.withColumn("n_total", F.sum("n_new").over(Window.orderBy(call).rowsBetween(Window.unboundedPreceding, 0)))
+    return scan(index_rows(every, call, name="__n"), "__n", F.col("n_new"), SUM, "n_total").drop("__n")
 
 
 def caption_diff(df: DataFrame, before: str = "original_caption", after: str = "resulting_caption") -> DataFrame:

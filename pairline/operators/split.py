@@ -4,11 +4,11 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from pairline.functions.hashing import hash_long, hash_uniform
-from pairline.operators.order import index_rows
+from pairline.operators.order import first_rows, index_rows
 from pairline.sources.scratch import cut
 
 #: Rounds of a permutation; times that a value outside of the domain is permuted again: half of them or more are inside each time.
@@ -83,15 +83,15 @@ def group_split(df: DataFrame, group: str, seed: str, train: float = 0.9, val: f
 
 
 def first_n_accepted(df: DataFrame, key: str, accepted: Column, n: int, done: int = 0) -> DataFrame:
-    """The first n - done accepted rows in order of key."""
-    return df.where(accepted).orderBy(key).limit(max(0, n - done))
+    """The first n - done accepted rows in order of key, selected by counting; any of equal keys."""
+    return first_rows(df.where(accepted), key, n - done)
 
 
 def sample_n(df: DataFrame, key: str, seed: str, n: int) -> DataFrame:
-    """n rows of a seeded permutation; an error if there are fewer."""
+    """The first n rows of a seeded permutation, selected by counting; an error if there are fewer."""
     if df.count() < n:
         raise ValueError(f"fewer than {n} rows")
-    return df.orderBy(hash_long(seed, key), key).limit(n)
+    return first_rows(df.withColumn("__h", hash_long(seed, key)), "__h", n, key).drop("__h")
 
 
 def one_per_group(df: DataFrame, group: str, member: str, seed: str) -> DataFrame:
