@@ -2,10 +2,13 @@
 
 Equal vectors are one point (with the k + 1 smallest ids that it stands for). Points are dealt into bands of nearly equal
 length, and a band into shards of bounded size by a hash, so that within a shard the largest inner product is close to the
-smallest angle. The graph of a shard is built on directions alone and starts at random; greedy beam searches from the
-entry point propose neighbours of each point, and pruning keeps a candidate only if no kept one is closer
+smallest angle. The graph of a shard is built on directions alone and starts at random; greedy beam searches
+propose neighbours of each point, and pruning keeps a candidate only if no kept one is closer
 to it by the factor ALPHA, so that short and long edges in different directions stay. Reverse edges are added and pruned alike, and
-a point that cannot be reached from the entry afterwards is linked from its nearest reachable one.
+a point that cannot be reached from the first entry afterwards is linked from its nearest reachable one. A shard that falls into clusters
+larger than the beam would keep a search in the first of them: a search begins at the nearest of many entries, points chosen
+farthest-first and at random, so that such a cluster has one. Each shard searches for a sample of its own points and widens its beam until
+CHECKED_RECALL of their nearest are found.
 A query's block visits every shard, where a beam search by inner product walks the graph; what it finds is scored again on the
 original vectors in double precision and merged. Each row is indexed; nothing is sampled. Every shard gives k + 1 points where it
 has as many, so that a query gets k rows wherever there are k candidates.
@@ -31,6 +34,10 @@ from pairline.llm.common import cut, small_batches
 SHARD_POINTS, QUERY_BLOCK = 4096, 1024
 DEGREE, BUILD_BEAM, SEARCH_BEAM, ALPHA, STEP = 32, 64, 128, 1.2, 4
 BUILD_BLOCK, ADOPTED = 256, 4
+#: Entries of a shard that are chosen farthest-first and at random; the nearest ones that a search begins with.
+FAR_ENTRIES, RANDOM_ENTRIES, SEEDS = 64, 256, 16
+#: Points of a shard that are searched for once it is built, how many of their nearest count, and which share must be found.
+CHECKED, CHECKED_NEAREST, CHECKED_RECALL = 64, 21, 0.97
 #: Bands of length for each doubling: the longest vector of a band is 9 % longer than its shortest.
 BANDS_PER_OCTAVE = 8
 #: There are at most 17,000 bands for each number of components; so many in all are broadcast. Tasks that build and search, at most.
@@ -67,7 +74,7 @@ def directions(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Unit vectors, and their share of the length of the longest row."""
     part, power, length = scaled(x)
     logs = power + np.log2(length)
-    return (part / length[:, None]).astype(np.float32), np.exp2(logs - logs.max()).astype(np.float32)
+    return part / length[:, None], np.exp2(logs - logs.max())
 
 
 def products(x: np.ndarray, chosen: np.ndarray, queries: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -84,16 +91,19 @@ def products(x: np.ndarray, chosen: np.ndarray, queries: np.ndarray) -> tuple[np
     return score, beyond
 
 
-def beam_search(graph: np.ndarray, x: np.ndarray, entry: int, queries: np.ndarray, beam: int) -> tuple[np.ndarray, np.ndarray]:
+def beam_search(graph: np.ndarray, x: np.ndarray, entries: np.ndarray, queries: np.ndarray, beam: int) -> tuple[np.ndarray, np.ndarray]:
     """The `beam` points found nearest to each query, best first, with their inner products; -1 where there are fewer."""
     q, n = len(queries), len(x)
     ids = np.full((q, beam), -1, np.int64)
-    near = np.full((q, beam), -np.inf, np.float32)
+    near = np.full((q, beam), -np.inf)
     done = np.ones((q, beam), bool)
-    ids[:, 0], near[:, 0], done[:, 0] = entry, queries @ x[entry], False
-    seen = np.zeros((q, n + 1), bool)  # the last column takes what is not there
-    seen[:, entry] = seen[:, n] = True
     rows = np.arange(q)
+    offered = queries @ x[entries].T
+    seeds = min(SEEDS, beam, len(entries))
+    first = np.argpartition(-offered, seeds - 1, axis=1)[:, :seeds]
+    ids[:, :seeds], near[:, :seeds], done[:, :seeds] = entries[first], np.take_along_axis(offered, first, 1), False
+    seen = np.zeros((q, n + 1), bool)  # the last column takes what is not there
+    seen[rows[:, None], ids[:, :seeds]] = seen[:, n] = True
     step = min(STEP, beam)
     while True:
         open_ = np.where(done, -np.inf, near)
@@ -138,7 +148,7 @@ def robust_prune(x: np.ndarray, points: np.ndarray, candidates: np.ndarray, alph
     order = np.argsort(-near, axis=1, kind="stable")
     ids, near, alive = (np.take_along_axis(v, order, 1) for v in (ids, near, alive))
     own = x[ids]
-    length = np.float32((x[0].astype(np.float64) ** 2).sum())
+    length = (x[0] ** 2).sum()
     to_point = np.maximum(length - near, 0)  # half the squared distance, as all lengths are one
     between = np.maximum(length - own @ own.transpose(0, 2, 1), 0)
     out = np.full((b, degree), -1, np.int64)
@@ -155,26 +165,51 @@ def robust_prune(x: np.ndarray, points: np.ndarray, candidates: np.ndarray, alph
     return out
 
 
-def build_graph(x: np.ndarray, degree: int = DEGREE, beam: int = BUILD_BEAM, seed: int = 7) -> tuple[np.ndarray, int]:
-    """Neighbour lists, n where there is none, and the entry point, from which all points are reached; x has rows of one length."""
+def choose_entries(x: np.ndarray, rng: np.random.Generator) -> np.ndarray:
+    """Different points: the one nearest to the mean, then each time the one farthest from those chosen, then random ones."""
+    chosen = [int((x @ x.mean(axis=0)).argmax())]
+    nearest = x @ x[chosen[0]]
+    for _ in range(min(FAR_ENTRIES, len(x)) - 1):
+        chosen.append(int(nearest.argmin()))
+        nearest = np.maximum(nearest, x @ x[chosen[-1]])
+    others = rng.permutation(len(x))[:RANDOM_ENTRIES]
+    return np.array(list(dict.fromkeys([*chosen, *others.tolist()])), np.int64)
+
+
+def checked_beam(graph: np.ndarray, x: np.ndarray, entries: np.ndarray, rng: np.random.Generator, beam: int = SEARCH_BEAM) -> int:
+    """The beam, doubled until searches for some of the points find CHECKED_RECALL of what comparing with all points finds."""
+    asked = x[rng.permutation(len(x))[:CHECKED]]
+    k = min(CHECKED_NEAREST, len(x))
+    exact = asked @ x.T
+    least = np.partition(exact, -k, axis=1)[:, -k]
+    while beam < len(x):
+        found, near = beam_search(graph, x, entries, asked, beam)
+        if (np.minimum(((near >= least[:, None] - 1e-12) & (found >= 0)).sum(axis=1), k)).sum() >= CHECKED_RECALL * k * len(asked):
+            return beam
+        beam *= 2
+    return len(x)
+
+
+def build_graph(x: np.ndarray, degree: int = DEGREE, beam: int = BUILD_BEAM, seed: int = 7) -> tuple[np.ndarray, np.ndarray]:
+    """Neighbour lists, n where there is none, and the entries, from the first of which all points are reached; x has rows of one length."""
     n = len(x)
     rng = np.random.default_rng(seed)
-    entry = int((x @ x.mean(axis=0)).argmax())
+    entries = choose_entries(x, rng)
     if n <= degree + 1:
         full = np.array([[j for j in range(n) if j != i] for i in range(n)], np.int64).reshape(n, n - 1)
-        return np.column_stack([full, np.full((n, max(0, degree - n + 1)), n)]).astype(np.int32), entry
+        return np.column_stack([full, np.full((n, max(0, degree - n + 1)), n)]).astype(np.int32), entries
     graph = np.full((n, degree), n, np.int64)
     graph[:, : degree // 2] = rng.integers(0, n, (n, degree // 2))
     for alpha in (1.0, ALPHA):
         turns = rng.permutation(n)
         for at in range(0, n, BUILD_BLOCK):
             points = turns[at : at + BUILD_BLOCK]
-            found, _ = beam_search(graph, x, entry, x[points], beam)
+            found, _ = beam_search(graph, x, entries, x[points], beam)
             old = np.where(graph[points] < n, graph[points], -1)
             chosen = robust_prune(x, points, np.concatenate([found, old], axis=1), alpha, degree)
             graph[points] = np.where(chosen >= 0, chosen, n)
             _reverse(graph, x, points, chosen, alpha, degree)
-    return adopt(graph.astype(np.int32), x, entry), entry
+    return adopt(graph.astype(np.int32), x, int(entries[0])), entries
 
 
 def reached(graph: np.ndarray, starts: np.ndarray, seen: np.ndarray) -> None:
@@ -254,7 +289,7 @@ def layout_of(points: DataFrame, shard_points: int) -> DataFrame:
     return bands.withColumn("base", F.coalesce(before, F.lit(0)).cast("int"))
 
 
-INDEX = "dim int, shard int, points long, ids binary, counts binary, vectors binary, graph binary, entry int"
+INDEX = "dim int, shard int, points long, ids binary, counts binary, vectors binary, graph binary, entries binary, beam int"
 
 
 def build_index(points: DataFrame, layout: DataFrame) -> DataFrame:
@@ -263,9 +298,11 @@ def build_index(points: DataFrame, layout: DataFrame) -> DataFrame:
     def build(key, pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(["h1", "h2"])
         own = np.array(pdf["vector"].tolist(), np.float64)
-        graph, entry = build_graph(directions(own)[0])
+        unit = directions(own)[0]
+        graph, entries = build_graph(unit)
+        beam = checked_beam(graph, unit, entries, np.random.default_rng(11))
         counts = np.array([len(v) for v in pdf["ids"]], np.int64)
-        return pd.DataFrame([{"dim": key[0], "shard": key[1], "points": len(own), "ids": np.concatenate(pdf["ids"].tolist()).astype(np.int64).tobytes(), "counts": counts.tobytes(), "vectors": own.tobytes(), "graph": graph.tobytes(), "entry": entry}])
+        return pd.DataFrame([{"dim": key[0], "shard": key[1], "points": len(own), "ids": np.concatenate(pdf["ids"].tolist()).astype(np.int64).tobytes(), "counts": counts.tobytes(), "vectors": own.tobytes(), "graph": graph.tobytes(), "entries": entries.tobytes(), "beam": beam}])
 
     bands, shards = layout.agg(F.count("*"), F.coalesce(F.sum("parts"), F.lit(0))).first()
     placed = points.join(F.broadcast(layout) if bands <= BROADCAST_BANDS else layout, ["dim", "band"])
@@ -321,7 +358,7 @@ def search(index: DataFrame, layout: DataFrame, queries: DataFrame, k: int, beam
                 query_ids = np.frombuffer(r.query_ids, np.int64).reshape(-1, 2)
                 asked = np.frombuffer(r.matrix).reshape(len(query_ids), r.dim)
                 unit, length = directions(own)
-                found, _ = beam_search(graph, unit * length[:, None], r.entry, directions(asked)[0], min(width, r.points))
+                found, _ = beam_search(graph, unit * length[:, None], np.frombuffer(r.entries, np.int64), directions(asked)[0], min(max(width, r.beam), r.points))
                 score, beyond = products(own, np.maximum(found, 0), asked)
                 query, each, value, rest = best_ids(found, score, beyond, ids, counts, query_ids[:, 0], k)
                 yield pd.DataFrame({"query_id": query_ids[query, 0], "query_key": query_ids[query, 1], "id": each, "score": value, "beyond": rest})

@@ -134,6 +134,34 @@ def test_components_near_the_ends_of_doubles(spark, factor):
     assert recall(spark, gaussian(1000) * factor * 1.0) >= 0.95
 
 
+def clusters(n, spread, seed):
+    rng = np.random.default_rng(seed)
+    return rng.normal(size=(n, 64))[np.arange(3000) % n] + rng.normal(size=(3000, 64)) * spread
+
+
+@pytest.mark.parametrize(("n", "spread", "shard_points"), [(2, 0.3, 4096), (3, 0.01, 4096), (4, 1e-4, 4096), (4, 0.3, 700), (8, 0.01, 700), (30, 1e-4, 4096)])
+def test_recall_on_clusters(spark, n, spread, shard_points):
+    assert recall(spark, clusters(n, spread, n), shard_points=shard_points) >= 0.95
+
+
+@pytest.mark.parametrize("n", [2, 3, 4, 8, 30, 100])
+def test_graphs_of_clusters_are_searched_well(n):
+    for spread in (0.3, 1e-4):
+        x = ann.directions(clusters(n, spread, n + 1)[:1500])[0]
+        graph, entries = ann.build_graph(x)
+        beam = ann.checked_beam(graph, x, entries, np.random.default_rng(0))
+        asked = x[::15]
+        found, _ = ann.beam_search(graph, x, entries, asked, beam)
+        true = np.argsort(-(asked @ x.T), axis=1)[:, :20]
+        assert np.mean([len(set(f[:20]) & set(t)) for f, t in zip(found, true, strict=True)]) >= 19
+
+
+def test_the_beam_is_widened_where_a_graph_is_poor():
+    x = ann.directions(np.random.default_rng(5).normal(size=(600, 32)))[0]
+    ring = np.column_stack([(np.arange(600) + 1) % 600, (np.arange(600) - 1) % 600]).astype(np.int32)
+    assert ann.checked_beam(ring, x, np.array([0]), np.random.default_rng(0), 32) > 256
+
+
 def test_recall_on_the_table(spark):
     x = np.array(spark.read.parquet("/root/testdata/sf0.1/embeddings.parquet").orderBy("vec_id").select("embedding").toPandas()["embedding"].tolist(), float)
     assert recall(spark, x) >= 0.95
@@ -161,14 +189,15 @@ def test_awkward_vectors(spark):
 
 def test_pruned_graph_keeps_degrees_and_reaches_all():
     x = ann.directions(np.random.default_rng(0).normal(size=(300, 8)))[0]
-    graph, entry = ann.build_graph(x, degree=12, beam=24)
+    graph, entries = ann.build_graph(x, degree=12, beam=24)
+    assert len(set(entries.tolist())) == len(entries) == 300 or len(entries) > ann.FAR_ENTRIES
     assert graph.shape[0] == 300 and 12 <= graph.shape[1] <= 12 + ann.ADOPTED
     for i, row in enumerate(graph):
         own = row[row < 300]
         assert i not in own and len(set(own)) == len(own)
     lone = np.full((300, 4), 300, np.int32)  # a graph without edges
     seen = np.zeros(300, bool)
-    ann.reached(ann.adopt(lone, x, entry), np.array([entry]), seen)
+    ann.reached(ann.adopt(lone, x, int(entries[0])), entries[:1], seen)
     assert seen.all()
 
 
