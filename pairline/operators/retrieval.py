@@ -7,6 +7,8 @@ from functools import reduce
 
 import numpy as np
 import pandas as pd
+from pyspark.ml.functions import array_to_vector, vector_to_array
+from pyspark.ml.stat import Summarizer
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -102,11 +104,10 @@ def gather_by_id(neighbours: DataFrame, attributes: DataFrame, id_col: str, colu
 
 
 def mean_pool(tokens: DataFrame, key: str, vector_col: str = "embedding") -> DataFrame:
-    """(key, pooled): the mean of each item's token vectors, normalised."""
-    each = tokens.select(key, F.posexplode(vector_col).alias("dim", "x"))
-    means = each.groupBy(key, "dim").agg(F.avg(F.col("x").cast("double")).alias("x"))
-    rows = means.groupBy(key).agg(F.array_sort(F.collect_list(F.struct("dim", "x"))).alias("rows"))
-    return rows.select(key, vx.l2_normalise(F.transform("rows", lambda r: r["x"])).alias("pooled"))
+    """(key, pooled): the mean of each item's token vectors, normalised; vectors that are null or hold nulls take no part, one item's are equally long."""
+    whole = tokens.where(F.forall(vector_col, lambda x: x.isNotNull())).select(key, array_to_vector(vx.doubles(F.col(vector_col))).alias("v"))
+    means = whole.groupBy(key).agg(Summarizer.mean(F.col("v")).alias("mean"))
+    return means.select(key, vx.l2_normalise(vector_to_array("mean")).alias("pooled"))
 
 
 def tile_grid(images: DataFrame, size: int, overlap: int, most: int, width: str = "w", height: str = "h") -> DataFrame:

@@ -193,7 +193,7 @@ PAIRS = f"""SELECT c.* EXCLUDE (status), original_caption, resulting_caption, ed
   LEFT JOIN (SELECT * FROM phrased JOIN ({DIFF.replace("FROM prompts", "FROM phrased")}) USING (prompt_idx)) USING (prompt_idx) WHERE status = 'kept'"""
 
 
-@query("curate_pairs", V("SELECT * FROM metrics", "metrics", "prompts").removesuffix("SELECT * FROM metrics") + f", phrased AS (SELECT prompt_idx, edit_instruction, {PREFIXED} FROM prompts) {PAIRS}")
+@query("curate_pairs", V("SELECT * FROM metrics", "metrics", "prompts").removesuffix("SELECT * FROM metrics") + f", phrased AS MATERIALIZED (SELECT prompt_idx, edit_instruction, {PREFIXED} FROM prompts) {PAIRS}")
 def curate_pairs(spark, d):
     """Prompts by their number; the pictures of a prompt without a number among them have no captions."""
     s = views.samples(spark, d)
@@ -291,6 +291,20 @@ def batch_infer(spark, d):
     return infer.batch_infer(views.prompts(spark, d).select("prompt_idx", "original_caption"), init, "prompt_idx long, n long")
 
 
+@query("batch_infer_by_length", V("SELECT prompt_idx, length(original_caption)::BIGINT AS n, true AS within FROM prompts", "prompts"))
+def batch_infer_by_length(spark, d):
+    """Batches of 2,000 characters at most, or of one longer caption."""
+
+    def init():
+        def model(batch):
+            sizes = batch["original_caption"].str.len()
+            return batch[["prompt_idx"]].assign(n=sizes, within=bool(sizes.sum() <= 2000 or len(batch) == 1))
+
+        return model
+
+    return infer.batch_infer(views.prompts(spark, d).select("prompt_idx", "original_caption"), init, "prompt_idx long, n long, within boolean", length_of="original_caption", most=2000)
+
+
 @query("infer_with_retry", V("SELECT prompt_idx, least(prompt_idx % 6 + 1, 4)::INT AS attempt, CASE WHEN prompt_idx % 6 < 4 THEN '' ELSE 'refused' END AS reason FROM prompts", "prompts"))
 def infer_with_retry(spark, d):
     """A stub that succeeds at try prompt_idx mod 6 + 1."""

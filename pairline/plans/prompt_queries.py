@@ -167,7 +167,28 @@ def replaced_words(spark, d):
     return p.select("prompt_idx", found.isNull().alias("unequal"), F.transform(found, lambda r: F.concat(r["position"].cast("string"), F.lit(":"), r["old"], F.lit(">"), r["new"])).alias("replaced"))
 
 
-@query("align_captions")
+# The table row by row (each is made from the one before), then the walk back from its corner: left, up, diagonal.
+ALIGN = V(f""", pairs AS MATERIALIZED (SELECT prompt_idx, {tokens_sql('original_caption')} AS a, {tokens_sql('resulting_caption')} AS b FROM prompts),
+grid AS (
+  SELECT prompt_idx, 0::BIGINT AS i, list_transform(range(len(b) + 1), lambda x: 0::BIGINT) AS row FROM pairs
+  UNION ALL
+  SELECT g.prompt_idx, g.i + 1, list_reduce(list_prepend([0::BIGINT], list_transform(range(1, len(b) + 1), lambda j: [j::BIGINT])),
+    lambda done, x: list_append(done, greatest(done[x[1]], g.row[x[1] + 1], g.row[x[1]] + CASE WHEN b[x[1]] = a[g.i + 1] THEN 1 ELSE -1 END)))
+  FROM grid g JOIN pairs p ON g.prompt_idx = p.prompt_idx WHERE g.i < len(a)),
+steps AS (
+  SELECT g.prompt_idx, g.i, list_transform(range(1, len(g.row)), lambda j: CASE WHEN g.row[j + 1] = g.row[j] THEN 0 WHEN g.row[j + 1] = up.row[j + 1] THEN 1 ELSE 2 END) AS step
+  FROM grid g LEFT JOIN grid up ON g.prompt_idx = up.prompt_idx AND g.i = up.i + 1),
+walk AS (
+  SELECT prompt_idx, len(a)::BIGINT AS i, len(b)::BIGINT AS j, -1::BIGINT AS x, -1::BIGINT AS y FROM pairs
+  UNION ALL
+  SELECT w.prompt_idx, w.i - (step[w.j] > 0)::INT, w.j - (step[w.j] <> 1)::INT, CASE WHEN step[w.j] = 2 THEN w.i - 1 ELSE -1 END, CASE WHEN step[w.j] = 2 THEN w.j - 1 ELSE -1 END
+  FROM walk w JOIN steps s ON w.prompt_idx = s.prompt_idx AND w.i = s.i WHERE w.j > 0),
+met AS (SELECT prompt_idx, map_from_entries(list((y, x))) AS m FROM walk WHERE y >= 0 GROUP BY prompt_idx)
+SELECT p.prompt_idx, g.row[len(b) + 1] AS score, list_transform(range(len(b)), lambda y: coalesce(m[y], -1)) AS mapping
+FROM pairs p JOIN grid g ON g.prompt_idx = p.prompt_idx AND g.i = len(a) LEFT JOIN met ON met.prompt_idx = p.prompt_idx""", "prompts").replace("WITH ", "WITH RECURSIVE ", 1).replace("\n, pairs", ", pairs", 1)
+
+
+@query("align_captions", ALIGN)
 def align_captions(spark, d):
     p = views.prompts(spark, d).select("prompt_idx", tx.clean_tokens(F.col("original_caption")).alias("a"), tx.clean_tokens(F.col("resulting_caption")).alias("b"))
     return align.align_captions(p, "prompt_idx", "a", "b")

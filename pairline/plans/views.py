@@ -148,4 +148,4 @@ def with_views(sql: str, *names: str) -> str:
 
     for name in names:
         add(name)
-    return "WITH " + ",\n".join(f"{n} AS {'MATERIALIZED ' if n in ('vecs', 'places') else ''}({SQL[n]})" for n in order) + "\n" + sql
+    return "WITH " + ",\n".join(f"{n} AS {'MATERIALIZED ' if n in ('vecs', 'places', 'prompts', 'metrics') else ''}({SQL[n]})" for n in order) + "\n" + sql
