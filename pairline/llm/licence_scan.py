@@ -161,8 +161,10 @@ def labelled_rows(spark: SparkSession, docs: DataFrame, text_col: str, labelled:
     text = F.col(text_col)
     sample = docs.where(F.pmod(F.xxhash64(F.lit("sample"), text), F.lit(every)) == 0).select(text.alias("text")).distinct()
     sample = sample.select((F.pmod(F.xxhash64(F.lit("held"), "text"), F.lit(5)) == 0).alias("held"), F.explode(paragraphs_of(F.col("text"))).alias("paragraph"))
-    sample = sample.select("held", words_of(F.col("paragraph")).alias("all")).where(F.size("all") > 0)
-    cuts = F.transform(F.slice(F.shuffle(F.sequence(F.lit(0), F.size("all") - 1, F.lit(WINDOW)), F.lit(3)), 1, 4), lambda i: F.slice("all", i + 1, F.lit(WINDOW)))
+    sample = sample.select("held", words_of(F.col("paragraph")).alias("all")).where(F.size("all") > 0).withColumn("hash", F.xxhash64("all"))
+    # four windows of a paragraph, drawn by a hash of its words and their place, so that they are the same however rows are dealt
+    drawn = F.slice(F.array_sort(F.transform(F.sequence(F.lit(0), F.size("all") - 1, F.lit(WINDOW)), lambda i: F.struct(F.xxhash64("hash", i).alias("draw"), i.alias("at")))), 1, 4)
+    cuts = F.transform(drawn, lambda d: F.slice("all", d["at"] + 1, F.lit(WINDOW)))
     telling = sorted({t for own in [*_triples().values(), _triples({"": OTHER_NOTICES})[""]] for t in own})
     # a window of the corpus with three words of a notice in a row may be one
     plain = sample.select("held", F.explode(cuts).alias("words")).where(~F.arrays_overlap(_joined(F.col("words"), 3), F.array(*map(F.lit, telling))))
@@ -219,10 +221,11 @@ class Classifier:
     def __init__(self, spark: SparkSession, docs: DataFrame, text_col: str = "text", labelled: DataFrame | None = None):
         rows = cut(labelled_rows(spark, docs, text_col, labelled).select("held", "family", grams(F.col("words")).alias("grams")), "licences")
         rows = rows.withColumn("label", (F.array_position(F.array(*map(F.lit, CLASSES)), F.col("family")) - 1).cast("double"))
-        own = rows.where("not held").coalesce(4)
+        # a bounded sample in one order: sums of doubles, and so the model, do not depend on how documents are dealt
+        own, held = (rows.where(F.col("held") == h).repartition(1).sortWithinPartitions("family", "grams") for h in (False, True))
         self.counter = CountVectorizer(inputCol="grams", outputCol="features", vocabSize=2 * BUCKETS).fit(own)
         self.model = LogisticRegression(maxIter=40, regParam=0.0001, elasticNetParam=0.3, family="multinomial", standardization=False).fit(self.counter.transform(own))
-        held = cut(self.raw(rows.where("held")).select("label", "raw"), "held")
+        held = cut(self.raw(held).select("label", "raw"), "held")
         self.temperature, self.bar, self.any_bar = 1.0, 0.5, 0.5
         self._calibrate(held)
 

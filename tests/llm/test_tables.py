@@ -189,6 +189,14 @@ def test_licences_of_documents(spark):
     assert right >= 0.99 * len(texts)
 
 
+def test_licences_do_not_depend_on_how_rows_are_dealt(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text")
+    more = spark.createDataFrame([(-i, t) for i, t in enumerate(["This program is free software under the GNU General Public License.", "Released under the terms of the MIT License.", "All rights reserved by the authors of the house."], 1)], "doc_id long, text string")
+    docs = docs.union(more)
+    told = [sorted((r.doc_id, str(r.families), str(r.findings)) for r in licence_scan.scan(docs.repartition(n)).select("doc_id", "families", "findings").collect()) for n in (2, 7)]
+    assert told[0] == told[1]
+
+
 def test_licences_awkward(spark, awkward):
     out = licence_scan.scan(awkward)
     assert out.count() == awkward.count() and out.where("n_licences > 0").count() == 0
