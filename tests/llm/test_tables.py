@@ -376,6 +376,24 @@ def test_spans_point_at_words():
 # ---- pipeline -------------------------------------------------------------------------------
 
 
+@pytest.mark.parametrize("empty", [False, True])
+def test_pipeline_awkward(spark, awkward, tmp_path, empty):
+    """Nulls, long and empty texts, repeated rows, columns named like results, tables without rows."""
+    clash = {"component_id": F.lit(1), "kept": F.lit(False), "row": F.lit("x"), "slot": F.lit(2.5), "target": F.lit(None).cast("int"), "predicted": F.lit(7), "node": F.lit("n")}
+    docs = awkward.withColumns(clash)
+    labels = spark.createDataFrame([(1, 0, 0, 0.5), (1, 0, 0, 0.5), (None, 1, 1, None), (6, None, None, None), (99, 1, 1, 1.0)], "doc_id long, toxic int, quality int, score double")
+    benchmark = spark.createDataFrame([(1, "only two", "a"), (2, None, None), (None, "", None), (3, "the quick brown fox jumps over the lazy dog tonight", "b")], "item_id long, text string, source string")
+    for name, df in (("documents", docs), ("labels", labels), ("benchmark", benchmark)):
+        (df.limit(0) if empty else df).write.parquet(f"{tmp_path}/{name}.parquet")
+    out = corpus_pipeline.run(spark, str(tmp_path))
+    rows = out.collect()
+    assert set(docs.columns) <= set(out.columns) and (not rows if empty else rows)
+    whole = {r.doc_id: r.text for r in docs.collect()}
+    assert all(r.text == whole[r.doc_id] or r.doc_id is None for r in rows)
+    assert not [r for r in rows if r.text == "only two"]  # a whole item of the benchmark
+    assert {r.doc_id for r in rows if r.doc_id in (6, 7)} <= {6}  # near copies, of which the first stays
+
+
 def test_pipeline_by_stages(spark):
     docs = spark.read.parquet(DOCS)
     toxic = {r.doc_id for r in entries.op9_toxicity(spark, SF).where("predicted = 1").collect()}
