@@ -201,14 +201,15 @@ def curate_pairs(spark, d):
     return rounded(out, *SIMS, "overall_score").select("prompt_idx", "seed", "rank", *SIMS, "overall_score", "original_caption", "resulting_caption", "edit_instruction", "amplify", "suppress", "shared")
 
 
-PREFER = """SELECT folder, a AS left_score, b AS right_score, CASE WHEN a > b THEN 'left' WHEN b > a THEN 'right' ELSE 'tie' END AS winner
-  FROM (SELECT folder, semantics_score AS a FROM overall WHERE seed = 1) JOIN (SELECT folder, semantics_score AS b FROM overall WHERE seed = 2) USING (folder)"""
+PREFER = """SELECT pair, a.semantics_score AS left_score, b.semantics_score AS right_score, CASE WHEN left_score > right_score THEN 'left' WHEN right_score > left_score THEN 'right' ELSE 'tie' END AS winner
+  FROM (SELECT folder * 10 + seed AS pair, semantics_score FROM overall) a JOIN (SELECT folder * 10 + seed - 1 AS pair, semantics_score FROM overall) b USING (pair)"""
 
 
 @query("pairwise_preference", V(PREFER, "overall"))
 def pairwise_preference(spark, d):
-    o = views.overall(spark, d).select("folder", "seed", F.col("semantics_score").alias("overall_score"))
-    return cu.pairwise_preference(o.where("seed = 1"), o.where("seed = 2"), "folder")
+    """Each scored sample beside the next one of its folder."""
+    o = views.overall(spark, d).select((F.col("folder") * 10 + F.col("seed")).alias("pair"), F.col("semantics_score").alias("overall_score"))
+    return cu.pairwise_preference(o, o.withColumn("pair", F.col("pair") - 1), "pair")
 
 
 # ---- judge ----------------------------------------------------------------------------------

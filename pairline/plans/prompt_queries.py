@@ -145,11 +145,13 @@ def diff_stats(spark, d):
     return prompts.diff_stats(views.prompts(spark, d))
 
 
-@query("phrase_position", V(f"SELECT prompt_idx, list_position(list_transform(range(1, len(t)), lambda i: t[i:i + 1]), list_value(t[len(t) // 2], t[len(t) // 2 + 1])) - 1 AS position FROM (SELECT prompt_idx, {tokens_sql('original_caption')} AS t FROM prompts) WHERE len(t) >= 2", "prompts"))
+@query("phrase_position", V(f"SELECT prompt_idx, CASE WHEN len(t) >= 2 THEN list_position(list_transform(range(1, len(t)), lambda i: t[i:i + 1]), list_value(t[len(t) // 2], t[len(t) // 2 + 1])) - 1 END AS position FROM (SELECT prompt_idx, {tokens_sql('original_caption')} AS t FROM prompts)", "prompts"))
 def phrase_position(spark, d):
-    t = views.prompts(spark, d).select("prompt_idx", tx.clean_tokens(F.col("original_caption")).alias("t")).where(F.size("t") >= 2)
-    middle = F.floor(F.size("t") / 2).cast("int")
-    return t.select("prompt_idx", tx.phrase_position(F.col("t"), F.slice("t", middle, F.lit(2))).cast("long").alias("position"))
+    """The two words in the middle of each caption; null for captions of fewer."""
+    t = views.prompts(spark, d).select("prompt_idx", tx.clean_tokens(F.col("original_caption")).alias("t"))
+    middle = F.greatest(F.floor(F.size("t") / 2), F.lit(1)).cast("int")
+    phrase = F.when(F.size("t") >= 2, F.slice("t", middle, F.lit(2)))
+    return t.select("prompt_idx", tx.phrase_position(F.col("t"), phrase).cast("long").alias("position"))
 
 
 @query("word_positions", V("SELECT prompt_idx, list_filter(list_transform(range(1, len(p) + 1), lambda i: CASE WHEN p[i] = 'the' THEN (i - 1)::INT END), lambda i: i IS NOT NULL) AS positions FROM (SELECT prompt_idx, string_split(original_caption, ' ') AS p FROM prompts)", "prompts"))
