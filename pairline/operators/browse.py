@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from pairline.functions import text as tx
 from pairline.operators.order import INTEGRAL, index_rows, nth_key, number_in_groups
-from pairline.sources.scratch import cut
+from pairline.sources.scratch import cut, temporary
 
 MISSING = "N/A"
 CLEANED = "Neutral Gray Background, "
@@ -46,8 +46,9 @@ def paginate(df: DataFrame, key: str, page: int, size: int = 20) -> DataFrame:
     pages, first = -(-total // size), (page - 1) * size
     last, rows, skipped = min(first + size, total), df, first
     if dict(df.dtypes)[key] in INTEGRAL and 0 <= first < total and not df.where(F.col(key).isNull()).count():
-        keys = cut(df.select(key), "keys")
-        (low, before), (high, _) = nth_key(keys, key, first + 1), nth_key(keys, key, last)
+        with temporary(df.sparkSession):
+            keys = cut(df.select(key), "keys")
+            (low, before), (high, _) = nth_key(keys, key, first + 1), nth_key(keys, key, last)
         rows, skipped = df.where(F.col(key).between(low, high)), first - before
     shown = rows.orderBy(key).offset(skipped).limit(size)
     return shown.withColumns({"n_pages": F.lit(pages).cast("long"), "first_shown": F.lit(min(first + 1, total)).cast("long"), "last_shown": F.lit(last).cast("long")})

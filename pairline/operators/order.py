@@ -8,7 +8,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from pairline.sources.scratch import cut
+from pairline.sources.scratch import cut, temporary
 
 _LOW = (1 << 33) - 1
 
@@ -126,15 +126,18 @@ def first_rows(df: DataFrame, key: str, n: int, *ties: Column | str) -> DataFram
         return df.limit(0)
     if dict(df.dtypes)[key] not in INTEGRAL:
         return index_rows(df, key, *ties, name="__rank").where(F.col("__rank") < n).drop("__rank")
-    kept = cut(df.select(key), "keys")
-    nulls, total = kept.where(F.col(key).isNull()).count(), kept.count()
+    with temporary(df.sparkSession):
+        kept = cut(df.select(key), "keys")
+        nulls, total = kept.where(F.col(key).isNull()).count(), kept.count()
+        if nulls < n < total:
+            last, below = nth_key(kept, key, n - nulls)
+            same = kept.where(F.col(key) == last).count()
     if n >= total:
         return df
     if n <= nulls:
         return index_rows(df.where(F.col(key).isNull()), *(ties or [F.monotonically_increasing_id()]), name="__rank").where(F.col("__rank") < n).drop("__rank")
-    last, below = nth_key(kept, key, n - nulls)
     more = n - nulls - below
     equal = df.where(F.col(key) == last)
-    if more < kept.where(F.col(key) == last).count():
+    if more < same:
         equal = index_rows(equal, *(ties or [F.monotonically_increasing_id()]), name="__rank").where(F.col("__rank") < more).drop("__rank")
     return df.where(F.col(key).isNull() | (F.col(key) < last)).unionByName(equal)

@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 
 from pairline.functions import vectors as vx
 from pairline.operators.retrieval import knn_exact, ranked, units, vectors
-from pairline.sources.scratch import cut
+from pairline.sources.scratch import cut, temporary
 
 #: Below the first an exact search is used, below the second one over codes without leaves.
 EXACT_BELOW, HASH_BELOW = 20_000, 100_000
@@ -266,6 +266,11 @@ def measured_probes(index: CodedPool, k: int, target: float = TARGET, most: int
     """The fewest probes whose leaves hold `target` of the k nearest neighbours of `most` of the pool's vectors, drawn by hash."""
     if len(index.centres) == 1:
         return 1
+    with temporary(index.codes.sparkSession):
+        return _measured(index, k, target, most)
+
+
+def _measured(index: CodedPool, k: int, target: float, most: int) -> int:
     drawn = index.vectors.where(F.exists("v", lambda x: x != 0)).orderBy(F.xxhash64(F.lit("probe"), "id"), "id").limit(most)
     asked = cut(drawn, "asked")
     near = knn_exact(index.vectors, asked, k + 1, "id", "v").where("id != query_id")

@@ -4,11 +4,16 @@ from __future__ import annotations
 
 import re
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
 
 from pyspark.sql import DataFrame, SparkSession
 
 #: Only where the session names no shared folder, as in tests on one machine.
 LOCAL_DIR = "/tmp/checkpoints"
+#: The tables written in the innermost temporary() block, if there is one.
+_written: ContextVar[list[str] | None] = ContextVar("written", default=None)
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -19,10 +24,30 @@ def shared_dir(spark: SparkSession) -> str:
     return (folder or LOCAL_DIR).rstrip("/") + "/pairline"
 
 
-def cut(df: DataFrame, name: str) -> DataFrame:
+@contextmanager
+def temporary(spark: SparkSession) -> Iterator[None]:
+    """Delete at the end the tables that cut() writes inside; what is read later has to be cut with lasting=True."""
+    own: list[str] = []
+    token = _written.set(own)
+    try:
+        yield
+    finally:
+        _written.reset(token)
+        for folder in own:
+            _delete(spark, folder)
+
+
+def _delete(spark: SparkSession, folder: str) -> None:
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def cut(df: DataFrame, name: str, lasting: bool = False) -> DataFrame:
     """Write df as a table in the shared folder and read it again: what follows does not compute it anew."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    if not lasting and (own := _written.get()) is not None:
+        own.append(path)
     df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
@@ -33,5 +58,4 @@ def drop(df: DataFrame) -> None:
     for folder in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
         if shared_dir(spark).split(":", 1)[-1].lstrip("/") not in folder:
             raise ValueError(f"{folder} is not below the shared folder")
-        path = spark._jvm.org.apache.hadoop.fs.Path(folder)
-        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+        _delete(spark, folder)

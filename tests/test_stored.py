@@ -1,9 +1,12 @@
 """Stored tables that change, streams by key, seen keys and indexes."""
 
+from pathlib import Path
+
 import pytest
 from pyspark.sql import functions as F
 
 from pairline.operators import browse, curate, grams, seen, split
+from pairline.sources.scratch import cut, drop, shared_dir, temporary
 from pairline.sources.store import Store
 from pairline.streaming import incremental
 
@@ -169,3 +172,25 @@ def test_permutations_of_any_domain(spark):
         assert sorted(got) == list(range(domain)), domain
     with pytest.raises(ValueError, match="different seeds"):
         split.draw_seeds(spark.range(1), "id", 65, "s", bits=6)
+
+
+def test_temporary_tables_go(spark):
+    def names():
+        made = Path(shared_dir(spark).removeprefix("file:"))
+        return {p.name.split("-")[0] for p in made.iterdir() if p.name.startswith("temporary")}
+
+    with temporary(spark):
+        first = cut(spark.range(3), "temporarygone")
+        with temporary(spark):
+            cut(first, "temporaryinner")
+        assert names() == {"temporarygone"} and first.count() == 3
+        kept = cut(first, "temporarykept", lasting=True)
+    assert kept.count() == 3 and names() == {"temporarykept"}
+    with pytest.raises(ValueError), temporary(spark):
+        cut(spark.range(3), "temporarybroken")
+        raise ValueError
+    outside = cut(spark.range(1), "temporaryoutside")
+    assert names() == {"temporarykept", "temporaryoutside"}
+    for table in (kept, outside):
+        drop(table)
+    assert not names()
