@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from pairline.llm import decontaminate, mixing, near_dup, sharding, toxicity
-from pairline.llm.common import cut, table
+from pairline.llm.common import cut, drop, table, temporary
 
 
 def reject_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -49,8 +49,15 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The result of all stages over the documents of sf_dir."""
-    docs = table(spark, sf_dir, "documents")
+    """The result of all stages over the documents of sf_dir.
+
+    What a stage wrote on its way is deleted once its result is written, and that once the next stage's is.
+    """
+    source = docs = table(spark, sf_dir, "documents")
     for name, stage in STAGES[:-1]:
-        docs = cut(stage(spark, docs, sf_dir), name)
+        with temporary(spark):
+            after = cut(stage(spark, docs, sf_dir), name, lasting=True)
+        if docs is not source:
+            drop(docs)
+        docs = after
     return STAGES[-1][1](spark, docs, sf_dir)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pairline.sources.scratch import cut, drop, shared_dir  # noqa: F401
+from pairline.sources.scratch import cut, drop, shared_dir, temporary  # noqa: F401
 
 #: Rows and bytes in an Arrow batch: whole texts go to Python.
 BATCH_ROWS, BATCH_BYTES = 1000, 64 << 20

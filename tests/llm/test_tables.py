@@ -4,6 +4,7 @@ import hashlib
 import re
 import zlib
 from collections import Counter, defaultdict
+from pathlib import Path
 
 import numpy as np
 import pytest
@@ -13,6 +14,7 @@ from pyspark.sql import functions as F
 
 import corpus_pipeline
 from pairline.llm import entries, licence_scan, line_dedup, mixing, secret_scan, sharding, token_counts, toxicity
+from pairline.llm.common import shared_dir
 
 DOCS = f"{SF}/documents.parquet"
 
@@ -385,7 +387,11 @@ def test_pipeline_awkward(spark, awkward, tmp_path, empty):
     benchmark = spark.createDataFrame([(1, "only two", "a"), (2, None, None), (None, "", None), (3, "the quick brown fox jumps over the lazy dog tonight", "b")], "item_id long, text string, source string")
     for name, df in (("documents", docs), ("labels", labels), ("benchmark", benchmark)):
         (df.limit(0) if empty else df).write.parquet(f"{tmp_path}/{name}.parquet")
+    made = Path(shared_dir(spark).removeprefix("file:"))
+    before = set(made.iterdir()) if made.exists() else set()
     out = corpus_pipeline.run(spark, str(tmp_path))
+    left = {p.name.split("-")[0] for p in set(made.iterdir()) - before}
+    assert "mixing" in left and not left & {"toxicity", "near_dedup", "decontamination"}  # the table that is still read
     rows = out.collect()
     assert set(docs.columns) <= set(out.columns) and (not rows if empty else rows)
     whole = {r.doc_id: r.text for r in docs.collect()}
