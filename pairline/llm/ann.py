@@ -176,9 +176,13 @@ def choose_entries(x: np.ndarray, rng: np.random.Generator) -> np.ndarray:
     return np.array(list(dict.fromkeys([*chosen, *others.tolist()])), np.int64)
 
 
-def checked_beam(graph: np.ndarray, x: np.ndarray, entries: np.ndarray, rng: np.random.Generator, beam: int = SEARCH_BEAM) -> int:
-    """The beam, doubled until searches for some of the points find CHECKED_RECALL of what comparing with all points finds."""
-    asked = x[rng.permutation(len(x))[:CHECKED]]
+def checked_beam(graph: np.ndarray, unit: np.ndarray, length: np.ndarray, entries: np.ndarray, rng: np.random.Generator, beam: int = SEARCH_BEAM) -> int:
+    """The beam, doubled until searches for some of the points find CHECKED_RECALL of what comparing with all points finds.
+
+    Inner products count, as in a search: where directions hardly differ, the longest points are nearest to all, and a graph
+    of directions leads to them with a wide beam only.
+    """
+    asked, x = unit[rng.permutation(len(unit))[:CHECKED]], unit * length[:, None]
     k = min(CHECKED_NEAREST, len(x))
     exact = asked @ x.T
     least = np.partition(exact, -k, axis=1)[:, -k]
@@ -298,9 +302,9 @@ def build_index(points: DataFrame, layout: DataFrame) -> DataFrame:
     def build(key, pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(["h1", "h2"])
         own = np.array(pdf["vector"].tolist(), np.float64)
-        unit = directions(own)[0]
+        unit, length = directions(own)
         graph, entries = build_graph(unit)
-        beam = checked_beam(graph, unit, entries, np.random.default_rng(11))
+        beam = checked_beam(graph, unit, length, entries, np.random.default_rng(11))
         counts = np.array([len(v) for v in pdf["ids"]], np.int64)
         return pd.DataFrame([{"dim": key[0], "shard": key[1], "points": len(own), "ids": np.concatenate(pdf["ids"].tolist()).astype(np.int64).tobytes(), "counts": counts.tobytes(), "vectors": own.tobytes(), "graph": graph.tobytes(), "entries": entries.tobytes(), "beam": beam}])
 

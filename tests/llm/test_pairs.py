@@ -149,7 +149,7 @@ def test_graphs_of_clusters_are_searched_well(n):
     for spread in (0.3, 1e-4):
         x = ann.directions(clusters(n, spread, n + 1)[:1500])[0]
         graph, entries = ann.build_graph(x)
-        beam = ann.checked_beam(graph, x, entries, np.random.default_rng(0))
+        beam = ann.checked_beam(graph, x, np.ones(len(x)), entries, np.random.default_rng(0))
         asked = x[::15]
         found, _ = ann.beam_search(graph, x, entries, asked, beam)
         true = np.argsort(-(asked @ x.T), axis=1)[:, :20]
@@ -159,7 +159,7 @@ def test_graphs_of_clusters_are_searched_well(n):
 def test_the_beam_is_widened_where_a_graph_is_poor():
     x = ann.directions(np.random.default_rng(5).normal(size=(600, 32)))[0]
     ring = np.column_stack([(np.arange(600) + 1) % 600, (np.arange(600) - 1) % 600]).astype(np.int32)
-    assert ann.checked_beam(ring, x, np.array([0]), np.random.default_rng(0), 32) > 256
+    assert ann.checked_beam(ring, x, np.ones(600), np.array([0]), np.random.default_rng(0), 32) > 256
 
 
 def test_recall_on_the_table(spark):
