@@ -29,6 +29,17 @@ def let(value: Column, body) -> Column:
     return F.get(F.transform(F.array(value), body), F.lit(0))
 
 
+def rounded(x: Column, digits: int = 6) -> Column:
+    """x to `digits` places, halves away from zero, as SQL engines round doubles: what is rounded to zero keeps its sign, which F.round drops."""
+    scale = F.lit(10.0**digits)
+
+    def nearest(w: Column, y: Column) -> Column:
+        whole = F.when(y - F.rint(y) == 0.5, F.rint(y) + 1).otherwise(F.rint(y))
+        return F.when(y < float("inf"), F.signum(w) * whole / scale).otherwise(w)
+
+    return let(x, lambda w: let(F.abs(w) * scale, lambda y: nearest(w, y)))
+
+
 def l2_normalise(v: Column) -> Column:
     """v over its length; a zero vector has no direction and gives null components."""
     return let(v, lambda w: let(F.nullif(norm(w), F.lit(0.0)), lambda length: F.transform(w, lambda x: x / length)))

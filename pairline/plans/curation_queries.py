@@ -6,6 +6,7 @@ import uuid
 
 from pyspark.sql import functions as F
 
+from pairline.functions import vectors as vx
 from pairline.functions.hashing import hash_long, hash_uniform
 from pairline.functions.text import folder_key
 from pairline.operators import curate as cu
@@ -24,7 +25,7 @@ SIMS = ("sim_0", "sim_1", "sim_dir", "sim_image")
 
 
 def rounded(df, *columns):
-    return df.withColumns({c: F.round(c, 6) for c in columns})
+    return df.withColumns({c: vx.rounded(F.col(c)) for c in columns})
 
 
 @query("drop_flagged", V("SELECT gen_order FROM captions WHERE gen_order NOT IN (SELECT doc_id FROM labels WHERE toxic = 1)", "captions"))

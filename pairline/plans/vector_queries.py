@@ -18,7 +18,7 @@ def pool(spark, d):
 
 
 def six(v):
-    return F.transform(v, lambda x: F.round(x, 6))
+    return F.transform(v, lambda x: vx.rounded(x))
 
 
 @query("l2_normalise", "SELECT vec_id, list_transform(v, lambda x: round(x / sqrt(list_dot_product(v, v)), 6)) AS unit FROM (SELECT vec_id, embedding::DOUBLE[] AS v FROM embeddings)")
@@ -28,25 +28,25 @@ def l2_normalise(spark, d):
 
 @query("pair_cosine", V("SELECT seed, round(list_cosine_similarity(image0, image1), 6) AS cosine FROM samples", "samples"))
 def pair_cosine(spark, d):
-    return views.samples(spark, d).select("seed", F.round(vx.cosine(F.col("image0"), F.col("image1")), 6).alias("cosine"))
+    return views.samples(spark, d).select("seed", vx.rounded(vx.cosine(F.col("image0"), F.col("image1"))).alias("cosine"))
 
 
 @query("direction_similarity", V("SELECT seed, round(sim_dir, 6) AS sim_dir FROM metrics", "metrics"))
 def direction_similarity(spark, d):
     unit = [vx.l2_normalise(F.col(c)) for c in ("image0", "image1", "text0", "text1")]
-    return views.samples(spark, d).select("seed", F.round(vx.direction_similarity(*unit), 6).alias("sim_dir"))
+    return views.samples(spark, d).select("seed", vx.rounded(vx.direction_similarity(*unit)).alias("sim_dir"))
 
 
 @query("pair_metrics_clip", V("SELECT prompt_idx, seed, round(sim_0, 6) AS sim_0, round(sim_1, 6) AS sim_1, round(sim_dir, 6) AS sim_dir, round(sim_image, 6) AS sim_image FROM metrics", "metrics"))
 def pair_metrics_clip(spark, d):
     m = vx.pair_metrics_clip(*map(F.col, ("image0", "image1", "text0", "text1")))
-    return views.samples(spark, d).select("prompt_idx", "seed", *[F.round(v, 6).alias(k) for k, v in m.items()])
+    return views.samples(spark, d).select("prompt_idx", "seed", *[vx.rounded(v).alias(k) for k, v in m.items()])
 
 
 @query("pair_metrics_dino", V("SELECT prompt_idx, seed, 1.0::DOUBLE AS sim_0, 1.0::DOUBLE AS sim_1, 1.0::DOUBLE AS sim_dir, round(list_cosine_similarity(image0, image1), 6) AS sim_image FROM samples", "samples"))
 def pair_metrics_dino(spark, d):
     m = vx.pair_metrics_dino(F.col("image0"), F.col("image1"))
-    return views.samples(spark, d).select("prompt_idx", "seed", *[F.round(v, 6).alias(k) for k, v in m.items()])
+    return views.samples(spark, d).select("prompt_idx", "seed", *[vx.rounded(v).alias(k) for k, v in m.items()])
 
 
 @query("mean_pool", """SELECT item, list_transform(p, lambda x: round(x / sqrt(list_dot_product(p, p)), 6)) AS pooled FROM (SELECT item, list(x ORDER BY i) AS p FROM (SELECT item, i, avg(v[i]) AS x FROM (SELECT vec_id // 7 AS item, embedding::DOUBLE[] AS v FROM embeddings), range(1, 65) AS r(i) GROUP BY item, i) GROUP BY item)""")
@@ -67,7 +67,7 @@ def channel_normalise(spark, d):
 
 @query("psnr", V("SELECT seed, round(20 * log10(255 / sqrt(list_sum(list_transform(list_zip(image0, image1), lambda z: (z[1] - z[2]) * (z[1] - z[2]))) / len(image0))), 6) AS psnr FROM samples", "samples"))
 def psnr(spark, d):
-    return views.samples(spark, d).select("seed", F.round(vx.psnr(F.col("image0"), F.col("image1")), 6).alias("psnr"))
+    return views.samples(spark, d).select("seed", vx.rounded(vx.psnr(F.col("image0"), F.col("image1"))).alias("psnr"))
 
 
 KNN = """SELECT query_id, rank, id, round(s, 6) AS score FROM (SELECT query_id, id, s, row_number() OVER (PARTITION BY query_id ORDER BY s DESC, id)::INT AS rank
@@ -81,7 +81,7 @@ def exact(spark, d):
 
 @query("knn_exact", KNN)
 def knn_exact(spark, d):
-    return exact(spark, d).withColumn("score", F.round("score", 6))
+    return exact(spark, d).withColumn("score", vx.rounded(F.col("score")))
 
 
 @query("knn_partitioned")

@@ -188,6 +188,27 @@ def test_perplexity_of_even_codes(spark):
     assert round(row.perplexity, 6) == 4.0 and row.used == 4
 
 
+def test_rounding_keeps_the_sign_of_what_becomes_zero(spark, duck):
+    values = [-3e-7, 3e-7, -0.0, 0.0, -5e-7, 2.5e-6, 3.5e-6, 0.1234565, -1.0000005, 12345.6789012, 1e303, float("inf"), float("nan"), None]
+    got = spark.createDataFrame([(i, v) for i, v in enumerate(values)], "i long, v double").select("i", vx.rounded(F.col("v")).alias("x")).orderBy("i")
+    want = duck.execute("SELECT list_transform($1::DOUBLE[], lambda x: round(x, 6))", [values]).fetchone()[0]
+    assert [repr(r.x) for r in got.collect()] == [repr(x) for x in want]
+
+
+@pytest.mark.parametrize("name", ["l2_normalise", "knn_exact"])
+def test_vectors_with_components_near_zero_give_what_sql_gives(spark, tmp_path, name):
+    import duckdb
+    from compare import same
+
+    from pairline.plans import registry
+
+    rows = [(i, [-1e-9 * (i + 1)] + [0.01 * (j % 7 - 3) + 0.001 * (i + 1) for j in range(62)] + [1e-8], i % 3) for i in range(14)]
+    spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int").write.parquet(f"{tmp_path}/embeddings.parquet")
+    with duckdb.connect() as con:
+        con.execute(f"CREATE VIEW embeddings AS SELECT * FROM '{tmp_path}/embeddings.parquet/*.parquet'")
+        same(registry.queries()[name](spark, str(tmp_path)), con.execute(registry.oracle_sql()[name]).df())
+
+
 def test_psnr_of_equal_and_unequal_arrays(spark):
     assert one(spark, vx.psnr(F.array(F.lit(1.0)), F.array(F.lit(1.0))), a=1) == float("inf")
     with pytest.raises(Exception, match="different lengths"):
