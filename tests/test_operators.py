@@ -195,7 +195,7 @@ def test_rounding_keeps_the_sign_of_what_becomes_zero(spark, duck):
     assert [repr(r.x) for r in got.collect()] == [repr(x) for x in want]
 
 
-@pytest.mark.parametrize("name", ["l2_normalise", "knn_exact"])
+@pytest.mark.parametrize("name", ["l2_normalise", "mean_pool", "knn_exact"])
 def test_vectors_with_components_near_zero_give_what_sql_gives(spark, tmp_path, name):
     import duckdb
     from compare import same
