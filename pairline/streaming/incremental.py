@@ -2,13 +2,11 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Callable
 
-import pandas as pd
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 
 def done_keys(spark: SparkSession, path: str, key: str, kind: str) -> DataFrame:
@@ -47,22 +45,10 @@ def incremental_stream(spark: SparkSession, source: str, schema: str, process: C
     rows.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
 
 
-def unseen_keys(rows: DataFrame, key: str) -> DataFrame:
-    """Of a stream the rows whose key was in no earlier batch; all rows of a new key in one batch pass.
-
-    The state is one flag for each key, in the checkpoint of the query; it grows with the number of keys, so that a large
-    stream wants spark.sql.streaming.stateStore.providerClass set to the one on RocksDB. A null key is a key like others.
-    A key's rows of one batch pass through one task, in Arrow batches.
-    """
-    columns = rows.columns
-
-    def first(_: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        if not state.exists:
-            state.update((True,))
-            for batch in batches:
-                yield batch[columns]
-
-    return rows.groupBy(key).applyInPandasWithState(first, rows.schema, "seen boolean", "append", GroupStateTimeout.NoTimeout)
+def new_keys(rows: DataFrame, key: str, seen: DataFrame | None) -> DataFrame:
+    """(key): the different keys of rows that are not among seen (key); a null key is a key like others."""
+    keys = rows.select(key).distinct()
+    return keys if seen is None else keys.join(seen.select(F.col(key).alias("__seen")), F.col(key).eqNullSafe(F.col("__seen")), "left_anti")
 
 
 def keyed_stream(spark: SparkSession, source: str, schema: str, key: str, process: Callable[[DataFrame], DataFrame], path: str, checkpoint: str, files_per_batch: int = 1000) -> None:
@@ -71,10 +57,20 @@ def keyed_stream(spark: SparkSession, source: str, schema: str, key: str, proces
     With one file in a batch the rows are those of an incremental_run for each file; they do not depend on how files are cut as
     long as rows of one key are equal. What is done is in the checkpoint: a run after a stop, also in another session, goes on,
     and a batch that broke is done again under its number, in the place of what it left. Returns when all that is there is done.
+
+    Each batch writes its new keys to `keys` in the checkpoint and is compared with those of the batches before it, by joins; a batch
+    reads the column of all earlier keys, so that batches should be large beside the history.
     """
     rows = spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_batch).parquet(source)
+    keys = f"{checkpoint.rstrip('/')}/keys"
+    kind = rows.schema[key].dataType.simpleString()
 
     def batch(df: DataFrame, number: int) -> None:
-        process(df).write.mode("overwrite").parquet(f"{path}/batch={number}")
+        session = df.sparkSession
+        seen = session.read.schema(f"`{key}` {kind}, batch bigint").parquet(keys).where(F.col("batch") < number) if number else None  # what a broken batch left is not read
+        new_keys(df, key, seen).write.mode("overwrite").parquet(f"{keys}/batch={number}")
+        new = session.read.schema(f"`{key}` {kind}").parquet(f"{keys}/batch={number}").withColumnRenamed(key, "__new")
+        fresh = df.join(new, F.col(key).eqNullSafe(F.col("__new")), "left_semi")
+        process(fresh).write.mode("overwrite").parquet(f"{path}/batch={number}")
 
-    unseen_keys(rows, key).writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
+    rows.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()

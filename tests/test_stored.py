@@ -105,6 +105,19 @@ def test_a_stream_that_breaks_does_its_batch_again(spark, tmp_path):
     assert sorted(r.id for r in spark.read.schema("id long").parquet(out).collect()) == list(range(6))
 
 
+def test_a_keyed_stream_joins_with_the_keys_of_earlier_batches_only(spark, tmp_path):
+    source, out, mark = (str(tmp_path / n) for n in ("in", "out", "mark"))
+    spark.range(100_000).write.parquet(source)
+    spark.range(100_000).write.parquet(f"{mark}/keys/batch=0")  # as a batch leaves them that broke before it was committed
+    incremental.keyed_stream(spark, source, "id long", "id", lambda d: d, out, mark)
+    assert spark.read.schema("id long").parquet(out).count() == 100_000
+    spark.range(50_000, 150_000).write.mode("append").parquet(source)
+    incremental.keyed_stream(spark, source, "id long", "id", lambda d: d, out, mark)
+    assert sorted(r.id for r in spark.read.schema("id long").parquet(out).collect()) == list(range(150_000))
+    assert spark.read.schema("id long").parquet(f"{mark}/keys").distinct().count() == 150_000
+    assert not (tmp_path / "mark" / "state").exists()  # no row for each key in Python
+
+
 def test_filters_have_no_false_negatives_and_few_false_hits(spark):
     keys = spark.range(20_000).select((F.col("id") * 7 - 3).alias("k"))
     blocks = seen.n_blocks(20_000)
