@@ -57,7 +57,7 @@ def read_prompt_folders(spark, d):
     bare = F.struct(F.col("s_name").alias("original_caption"), F.concat(F.lit("nation "), F.col("s_nationkey").cast("string")).alias("edit_instruction"))
     wrapped = F.struct(bare.alias("prompt"), F.col("s_suppkey").alias("global_index"))
     s = views.table(spark, d, "supplier").select(F.format_string("f%07d", "s_suppkey").alias("folder"), F.when(F.col("s_suppkey") % 2 == 0, F.to_json(wrapped)).otherwise(F.to_json(bare)).alias("value"))
-    s.repartition("folder").write.partitionBy("folder").text(path)
+    io.write_folders(s, path, "text")
     read = io.read_prompt_folders(spark, path, "folder=*/*.txt")
     return read.select(F.regexp_replace("folder", "^folder=f", "").alias("folder"), "original_caption", "edit_instruction", F.coalesce("global_index", F.lit(-1)).alias("global_index"))
 
@@ -66,9 +66,9 @@ def read_prompt_folders(spark, d):
 def read_folder_metadata(spark, d):
     path = fresh(spark, "metadata")
     rows = views.table(spark, d, "lineitem").select(F.col("l_suppkey").alias("folder"), F.col("l_orderkey").alias("seed"), F.col("l_discount").alias("sim_0"), F.col("l_tax").alias("sim_1"))
-    rows.repartition("folder").write.partitionBy("folder").json(path)
+    io.write_folders(rows, path, "json")
     read = io.read_folder_metadata(spark, path, "folder=*/*.json")
-    return read.select(F.regexp_replace("folder", "^folder=", "").cast("long").alias("folder"), "seed", "sim_0", "sim_1")
+    return read.select(F.substring_index("folder", "=", -1).cast("long").alias("folder"), "seed", "sim_0", "sim_1")
 
 
 @query("export_caption_files", "SELECT 'image_' || (row_number() OVER (ORDER BY page_id) - 1)::VARCHAR AS name, url AS caption, md5(html) AS image_md5 FROM pages")
@@ -128,7 +128,7 @@ def template_table(spark, d):
     """A folder with one text for each supplier; a template's name is its path, whose file part Spark chooses."""
     path = fresh(spark, "templates")
     s = views.table(spark, d, "supplier").select(F.col("s_suppkey").alias("folder"), F.col("s_name").alias("value"))
-    s.repartition("folder").write.partitionBy("folder").text(path)
+    io.write_folders(s, path, "text")
     return io.template_table(spark, path).select(F.regexp_replace("name", "_part-.*$", "_part").alias("name"), "text")
 
 

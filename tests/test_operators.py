@@ -237,6 +237,37 @@ def test_files(spark, tmp_path):
     assert io.read_prompts_jsonl(spark, str(lines)).count() == 2
 
 
+@pytest.mark.parametrize("name", ["read_folder_metadata", "read_prompt_folders", "template_table"])
+def test_folders_are_written_by_more_than_one_task(spark, name):
+    from compare import SF
+
+    from pairline.plans import registry
+
+    files = registry.queries()[name](spark, SF).inputFiles()
+    assert len(files) == 10 and len({Path(f).name.split("-")[1] for f in files}) > 1
+
+
+def test_folders_with_odd_names_and_other_depths(spark, tmp_path):
+    root = tmp_path / "a b+(c)%20" / "{0}"
+    for place in ("1", "1/2", "x=y z", "."):
+        (root / place).mkdir(parents=True, exist_ok=True)
+        (root / place / "prompt.json").write_text('{"original_caption": "a"}')
+        (root / place / "other.json").write_text('{"original_caption": "b"}')
+    root = str(root.parent / "*")  # Spark takes braces for a pattern
+    read = io.read_prompt_folders(spark, root)
+    assert sorted(r.original_caption for r in read.collect()) == ["a", "a"]
+    assert io.read_prompt_folders(spark, root, "x=*/*.json").count() == 2
+
+
+def test_tasks_are_dealt_folders_by_their_number(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(io, "FOLDERS", 5)
+    df = spark.range(90).select((F.col("id") % 45).alias("folder"), F.col("id").cast("string").alias("value"))
+    io.write_folders(df, str(tmp_path / "f"), "text")
+    files = list(Path(tmp_path / "f").glob("folder=*/*.txt"))
+    assert len(files) == 45 and len({f.name.split("-")[1] for f in files}) > 4
+    assert sorted(int(r.value) for r in spark.read.text(str(tmp_path / "f"), recursiveFileLookup=True).collect()) == list(range(90))
+
+
 def test_sinks(spark, tmp_path):
     df = spark.createDataFrame([(1, 'a "quoted", one'), (2, "two\nlines")], "prompt_idx long, caption string")
     io.write_csv(df, str(tmp_path / "csv"))
