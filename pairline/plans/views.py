@@ -12,6 +12,8 @@ from pairline.functions.hashing import hash_long, hash_uniform
 from pairline.operators.order import index_rows
 from pairline.operators.prompts import STYLE
 
+#: Rows of a partition of spread().
+SPREAD = 500_000
 PHRASE = STYLE + "studio shot, "
 
 
@@ -30,6 +32,12 @@ def table(spark: SparkSession, d: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{d}/{name}.parquet")
 
 
+def spread(rows: DataFrame, *keys: str) -> DataFrame:
+    """rows dealt by keys into as many partitions as keep each at about SPREAD rows, so that what a task holds does not grow with the table; rows are counted."""
+    spark = rows.sparkSession
+    return rows.repartition(max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-rows.count() // SPREAD)), *keys)
+
+
 def captions(spark: SparkSession, d: str) -> DataFrame:
     docs = table(spark, d, "documents")
     url = F.concat(F.lit("u"), F.pmod(hash_long("url", "doc_id"), F.lit(400)).cast("string"))
@@ -68,7 +76,8 @@ def samples_big(spark: SparkSession, d: str) -> DataFrame:
 
 
 def scores(spark: SparkSession, d: str) -> DataFrame:
-    lines = table(spark, d, "lineitem").groupBy(F.col("l_orderkey").alias("folder"), F.col("l_linenumber").cast("long").alias("seed")).agg(F.max("l_quantity").cast("long").alias("q"))
+    rows = table(spark, d, "lineitem").select(F.col("l_orderkey").alias("folder"), F.col("l_linenumber").cast("long").alias("seed"), "l_quantity")
+    lines = spread(rows, "folder", "seed").groupBy("folder", "seed").agg(F.max("l_quantity").cast("long").alias("q"))
     h = hash_long("score", "folder", "seed")
     lists_ = {"sc": F.array(F.pmod("q", F.lit(11)).cast("double"), F.pmod(h, F.lit(11)).cast("double")), "pq": F.array(F.pmod(F.col("q") + 3, F.lit(11)).cast("double"), F.pmod(hash_long("score2", "folder", "seed"), F.lit(11)).cast("double"))}
     return lines.withColumns(lists_).withColumn("scored", F.pmod(hash_long("there", "folder", "seed"), F.lit(5)) != 0)

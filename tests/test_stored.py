@@ -118,6 +118,20 @@ def test_a_keyed_stream_joins_with_the_keys_of_earlier_batches_only(spark, tmp_p
     assert not (tmp_path / "mark" / "state").exists()  # no row for each key in Python
 
 
+def test_scores_are_dealt_by_their_number(spark, monkeypatch):
+    from compare import SF
+
+    from pairline.operators.curate import complete_pairs
+    from pairline.plans import views
+
+    want = sorted(complete_pairs(views.images(spark, SF)).collect())
+    monkeypatch.setattr(views, "SPREAD", 500)
+    got = complete_pairs(views.images(spark, SF))
+    sizes = [len(part) for part in got.rdd.glom().collect()]
+    assert len(sizes) >= len(want) // 500 and max(sizes) <= 1000
+    assert sorted(got.collect()) == want
+
+
 def test_filters_have_no_false_negatives_and_few_false_hits(spark):
     keys = spark.range(20_000).select((F.col("id") * 7 - 3).alias("k"))
     blocks = seen.n_blocks(20_000)
