@@ -1,20 +1,26 @@
 """Substring search without a scan: posting lists of trigrams, and candidates verified on the text.
 
 The index holds, for each trigram of the lower-cased texts of a column, the ids of the rows that have it, in lists of
-bounded length: ids are dealt into blocks of about BLOCK rows, so that a trigram of every row is many lists. Lists are sorted by
-trigram, so that a look-up reads the row groups of the asked trigrams only. A term's rows have all its trigrams:
+bounded length: a task cuts its rows into blocks of BLOCK rows or BLOCK_CHARS characters, so that a trigram of every row is many lists, and
+makes the lists of a block by itself: no row for each trigram of a text is shuffled. Lists are sorted by trigram, so that a look-up reads the row groups of the asked trigrams only. A term's rows have all its trigrams:
 the rarest few are intersected, and what remains is compared with the term itself.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+
+import numpy as np
+import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pairline.operators.browse import facet_search
+from pairline.sources.scratch import cut, drop
 
-#: Characters of a gram (fixed by the layout), rows of a block, trigrams of a term that are intersected, candidates that are pushed down or broadcast.
-GRAM, BLOCK, RAREST, PUSHED, BROADCAST = 3, 1 << 16, 4, 1000, 200_000
+#: Characters of a gram (fixed by the layout), rows and characters of a block, trigrams of a term that are intersected, candidates that are pushed down or broadcast.
+GRAM, BLOCK, BLOCK_CHARS, RAREST, PUSHED, BROADCAST = 3, 1 << 16, 1 << 23, 4, 1000, 200_000
 
 
 def grams_of(term: str) -> list[str]:
@@ -23,6 +29,43 @@ def grams_of(term: str) -> list[str]:
     return sorted({t[i : i + GRAM] for i in range(len(t) - GRAM + 1)})
 
 
+def posting_lists(most: int, chars: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """A map from (id, text) to (gram, block, n, ids), one row for each trigram of a block: up to `most` texts that follow each other in a task, with about `chars` characters.
+
+    A trigram is a number of three times 21 bits here, so that a block is sorted as an array.
+    """
+
+    def block_of(ids: list[pa.Array], codes: list[np.ndarray], number: int) -> pa.RecordBatch:
+        rows = np.repeat(np.arange(len(codes)), [len(c) for c in codes])
+        flat = np.concatenate(codes)
+        order = np.argsort(flat, kind="stable")
+        grams, starts = np.unique(flat[order], return_index=True)
+        offsets = np.append(starts, len(flat)).astype(np.int32)
+        named = np.stack([grams >> 42, grams >> 21 & 0x1FFFFF, grams & 0x1FFFFF], axis=1).astype("<u4").tobytes().decode("utf-32-le")
+        names = pa.array([named[i : i + GRAM] for i in range(0, len(named), GRAM)], pa.string())
+        each = pa.ListArray.from_arrays(pa.array(offsets), pa.concat_arrays(ids).take(pa.array(rows[order])))
+        return pa.RecordBatch.from_arrays([names, pa.array(np.full(len(grams), number)), pa.array(np.diff(offsets).astype(np.int64)), each], ["gram", "block", "n", "ids"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        base = TaskContext.get().partitionId() << 32
+        ids, codes, size, number = [], [], 0, 0
+        for batch in batches:
+            for i, text in enumerate(batch.column("text")):
+                c = np.frombuffer(text.as_py().encode("utf-32-le"), "<u4").astype(np.int64)
+                if len(c) < GRAM:
+                    continue
+                ids.append(batch.column("id").slice(i, 1))
+                codes.append(np.unique(c[:-2] << 42 | c[1:-1] << 21 | c[2:]))
+                size += len(c)
+                if len(codes) >= most or size >= chars:
+                    yield block_of(ids, codes, base + number)
+                    ids, codes, size, number = [], [], 0, number + 1
+        if codes:
+            yield block_of(ids, codes, base + number)
+
+    return run
+
+
 class GramIndex:
     """Posting lists of some text columns, as Parquet in a shared folder."""
 
@@ -32,12 +75,12 @@ class GramIndex:
 
     def build(self, df: DataFrame, id_col: str, columns: tuple[str, ...]) -> None:
         """Index the columns of df, whose ids are unique and not null; null and shorter texts have no trigrams."""
-        blocks = max(1, -(-df.count() // BLOCK))
+        schema = f"gram string, block bigint, n bigint, ids array<{self.kind}>"
         for column in columns:
-            grams = F.array_distinct(F.regexp_extract_all(F.lower(F.col(column)), F.lit("(?s)(?=(...))"), F.lit(1)))  # at every place, in one pass
-            each = df.where(F.col(column).isNotNull()).select(F.col(id_col).alias("id"), F.explode(grams).alias("gram"))
-            lists = each.groupBy("gram", F.pmod(F.xxhash64("id"), F.lit(blocks)).alias("block")).agg(F.count("*").alias("n"), F.collect_list("id").alias("ids"))
+            texts = df.where(F.length(column) >= GRAM).select(F.col(id_col).cast(self.kind).alias("id"), F.lower(F.col(column)).alias("text"))
+            lists = cut(texts.mapInArrow(posting_lists(BLOCK, BLOCK_CHARS), schema), "lists")  # the range sort reads it twice
             lists.repartitionByRange("gram", "block").sortWithinPartitions("gram", "block").write.parquet(f"{self.path}/{column}")
+            drop(lists)
 
     def lists(self, column: str) -> DataFrame:
         return self.spark.read.schema(f"gram string, block bigint, n bigint, ids array<{self.kind}>").parquet(f"{self.path}/{column}")

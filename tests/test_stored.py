@@ -183,6 +183,24 @@ def test_indexed_search_finds_what_a_scan_finds(spark, tmp_path, monkeypatch, pu
     assert "In(gram" in plan.split("PushedFilters")[1]
 
 
+def test_the_index_shuffles_lists_of_blocks(spark, tmp_path, monkeypatch):
+    df = spark.range(600).coalesce(1).select("id", F.concat(F.lit("the same words \U0001f600 "), F.col("id").cast("string")).alias("t"))
+    index = grams.GramIndex(spark, str(tmp_path / "rows"))
+    index.build(df, "id", ("t",))
+    assert index.lists("t").where("gram = 'the'").count() == 1  # one list for a task's rows, as they fill no block
+    monkeypatch.setattr(grams, "BLOCK_CHARS", 1000)
+    monkeypatch.setattr(grams, "BLOCK", 100)
+    index = grams.GramIndex(spark, str(tmp_path / "blocks"))
+    index.build(df, "id", ("t",))
+    found = index.lists("t").where("gram = 'the'").collect()
+    assert sorted(i for r in found for i in r.ids) == list(range(600)) and len(found) >= 10 and max(r.n for r in found) <= 60
+    assert index.lists("t").where("n != size(ids)").count() == 0 and index.lists("t").groupBy("gram", "block").count().where("count > 1").count() == 0
+    assert index.candidates("t", "s \U0001f600 59").count() == 11 and index.candidates("t", "E WORDS").count() == 600
+    strings = grams.GramIndex(spark, str(tmp_path / "strings"), "string")
+    strings.build(df.withColumn("id", F.concat(F.lit("x"), F.col("id").cast("string"))), "id", ("t",))
+    assert strings.candidates("t", "words").where("id = 'x7'").count() == 1
+
+
 @pytest.mark.parametrize(("n", "bits"), [(64, 6), (40, 6), (2, 1), (1, 3), (0, 4), (100, 32)])
 def test_seeds_are_exactly_as_many_as_asked_for(spark, n, bits):
     prompts = spark.createDataFrame([("a",), ("b",), (None,)], "k string")
