@@ -104,10 +104,18 @@ def gather_by_id(neighbours: DataFrame, attributes: DataFrame, id_col: str, colu
 
 
 def mean_pool(tokens: DataFrame, key: str, vector_col: str = "embedding") -> DataFrame:
-    """(key, pooled): the mean of each item's token vectors, normalised; vectors that are null or hold nulls take no part, one item's are equally long."""
-    whole = tokens.where(F.forall(vector_col, lambda x: x.isNotNull())).select(key, array_to_vector(vx.doubles(F.col(vector_col))).alias("v"))
-    means = whole.groupBy(key).agg(Summarizer.mean(F.col("v")).alias("mean"))
-    return means.select(key, vx.l2_normalise(vector_to_array("mean")).alias("pooled"))
+    """(key, pooled): the mean of each item's token vectors, normalised; vectors that are null or hold nulls take no part, one item's are equally long.
+
+    Components above and below zero are summed apart, as lengths, and subtracted at the end: Summarizer's own mean is a running one, whose
+    last bits depend on the order of rows, so that components that cancel do not give zero.
+    """
+    v = vx.doubles(F.col(vector_col))
+    sides = F.concat(F.transform(v, lambda x: F.greatest(x, F.lit(0.0))), F.transform(v, lambda x: F.greatest(-x, F.lit(0.0))))
+    whole = tokens.where(F.forall(vector_col, lambda x: x.isNotNull())).select(key, array_to_vector(sides).alias("v"))
+    sums = whole.groupBy(key).agg(vector_to_array(Summarizer.normL1(F.col("v"))).alias("s"), F.count("*").alias("n"))
+    half = (F.size("s") / 2).cast("int")
+    mean = F.zip_with(F.slice("s", F.lit(1), half), F.slice("s", half + 1, half), lambda above, below: (above - below) / F.col("n"))
+    return sums.select(key, vx.l2_normalise(mean).alias("pooled"))
 
 
 def tile_grid(images: DataFrame, size: int, overlap: int, most: int, width: str = "w", height: str = "h") -> DataFrame:

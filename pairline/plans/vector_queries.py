@@ -51,7 +51,7 @@ def pair_metrics_dino(spark, d):
 
 @query("mean_pool", """SELECT item, list_transform(p, lambda x: round(x / sqrt(list_dot_product(p, p)), 6)) AS pooled FROM (SELECT item, list(x ORDER BY i) AS p FROM (SELECT item, i, avg(v[i]) AS x FROM (SELECT vec_id // 7 AS item, embedding::DOUBLE[] AS v FROM embeddings), range(1, 65) AS r(i) GROUP BY item, i) GROUP BY item)""")
 def mean_pool(spark, d):
-    tokens = pool(spark, d).withColumn("item", F.floor(F.col("img_id") / 7))
+    tokens = pool(spark, d).withColumn("item", F.expr("img_id div 7"))
     return re_.mean_pool(tokens, "item").select("item", six(F.col("pooled")).alias("pooled"))
 
 

@@ -3,6 +3,7 @@
 import json
 from pathlib import Path
 
+import numpy as np
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -209,6 +210,24 @@ def test_vectors_with_components_near_zero_give_what_sql_gives(spark, tmp_path,
         same(registry.queries()[name](spark, str(tmp_path)), con.execute(registry.oracle_sql()[name]).df())
 
 
+def test_components_that_cancel_pool_to_zero_as_in_sql(spark, tmp_path):
+    import duckdb
+    from compare import same
+
+    from pairline.plans import registry
+
+    rng = np.random.default_rng(3)
+    x = rng.normal(size=(700, 64)).astype(np.float32)
+    for i in range(0, 700, 7):
+        x[i + 3 : i + 6, :40] = -x[i : i + 3, :40]
+        x[i + 6, :40] = 0
+    rows = [(i, v.tolist(), 0) for i, v in enumerate(x)] + [(-3, x[0].tolist(), 0), (2**53 * 7 + 6, x[6].tolist(), 0)]
+    spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int").repartition(5).write.parquet(f"{tmp_path}/embeddings.parquet")
+    with duckdb.connect() as con:
+        con.execute(f"CREATE VIEW embeddings AS SELECT * FROM '{tmp_path}/embeddings.parquet/*.parquet'")
+        same(registry.queries()["mean_pool"](spark, str(tmp_path)), con.execute(registry.oracle_sql()["mean_pool"]).df())
+
+
 def test_psnr_of_equal_and_unequal_arrays(spark):
     assert one(spark, vx.psnr(F.array(F.lit(1.0)), F.array(F.lit(1.0))), a=1) == float("inf")
     with pytest.raises(Exception, match="different lengths"):
