@@ -171,6 +171,27 @@ def _asked(queries: DataFrame, id_col: str, vector_col: str) -> DataFrame:
     return vectors(queries, id_col, vector_col, "query_id").select("query_id", unit.alias("q"))
 
 
+def query_tables(q: np.ndarray, books: np.ndarray) -> np.ndarray:
+    """(queries, blocks, words): each query's inner products with all code words; in slices, so that no second copy in double precision is held."""
+    n_blocks, words, dims = books.shape
+    out = np.empty((len(q), n_blocks, words), np.float32)
+    for low in range(0, len(q), 128):
+        out[low : low + 128] = np.einsum("qbd,bwd->qbw", _padded(q[low : low + 128], dims), books)
+    return out
+
+
+def best_of_each(q: np.ndarray, ids: np.ndarray, scores: np.ndarray, most: int) -> tuple[tuple[np.ndarray, np.ndarray, np.ndarray], np.ndarray, np.ndarray]:
+    """The `most` best rows of each query, best first, ties to the smaller id; the queries that have as many, and the worst score of each of these."""
+    order = np.argsort(ids, kind="stable")
+    order = order[np.argsort(-scores[order], kind="stable")]
+    order = order[np.argsort(q[order], kind="stable")]
+    sizes = np.unique(q, return_counts=True)[1]
+    ends = np.cumsum(sizes)
+    order = order[np.arange(len(q)) - np.repeat(ends - sizes, sizes) < most]
+    last = np.cumsum(np.minimum(sizes, most))[sizes >= most] - 1
+    return (q[order], ids[order], scores[order]), q[order[last]], scores[order[last]]
+
+
 def candidates(index: CodedPool, asked: DataFrame, reorder: int, probes: int) -> DataFrame:
     """(query_id, rank, id, score): the `reorder` best of each query (query_id, q) by its tables, from its `probes` nearest leaves."""
     spark = asked.sparkSession
@@ -185,15 +206,12 @@ def candidates(index: CodedPool, asked: DataFrame, reorder: int, probes: int) ->
         def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             names, q, probed = shared.value
             centres, books = known.value
-            tables = np.einsum("qbd,bwd->qbw", _padded(q, dims), books).astype(np.float32) if len(q) else None
+            tables = query_tables(q, books) if len(q) else None
             floor, kept, held = np.full(len(names), -np.inf), [], 0
 
-            def best(parts: list[pd.DataFrame]) -> list[pd.DataFrame]:
-                rows = pd.concat(parts).sort_values(["q", "score", "id"], ascending=[True, False, True], kind="stable")
-                rows = rows[rows.groupby("q").cumcount() < reorder]
-                sizes = rows.groupby("q")["score"].agg(["size", "min"])
-                full = sizes[sizes["size"] == reorder]
-                floor[full.index.to_numpy()] = full["min"].to_numpy()
+            def best(parts: list[tuple]) -> list[tuple]:
+                rows, full, least = best_of_each(*map(np.concatenate, zip(*parts, strict=True)), reorder)
+                floor[full] = least
                 return [rows]
 
             for batch in batches:
@@ -223,13 +241,13 @@ def candidates(index: CodedPool, asked: DataFrame, reorder: int, probes: int) ->
                         else:
                             hits = scores >= floor[some][:, None]
                         at, col = np.nonzero(hits)
-                        kept.append(pd.DataFrame({"q": some[at], "id": pd.Series(ids[rows[col]], dtype=ids.dtype), "score": scores[at, col]}))
+                        kept.append((some[at], ids[rows[col]], scores[at, col]))
                         held += len(at)
                         if held > HELD:
                             kept, held = best(kept), 0
             if kept:
-                rows = best(kept)[0]
-                yield pd.DataFrame({"query_id": names[rows["q"].to_numpy()], "id": rows["id"].to_numpy(), "score": rows["score"].to_numpy()})
+                own, near, scores = best(kept)[0]
+                yield pd.DataFrame({"query_id": names[own], "id": near, "score": scores})
 
         return run
 

@@ -1,6 +1,9 @@
 """Searches: exact, over codes, and over leaves with codes."""
 
+import tracemalloc
+
 import numpy as np
+import pandas as pd
 import pytest
 from compare import SF
 from pyspark.sql import functions as F
@@ -81,6 +84,37 @@ def test_queries_in_blocks_find_the_same(spark, monkeypatch):
     assert {(r.query_id, r.rank, r.id) for r in quantised.search(index, asked, 5, probes=6).collect()} == one
 
 
+def test_tables_of_queries_are_made_without_a_second_copy():
+    rng = np.random.default_rng(6)
+    q, books = rng.normal(size=(1000, 15)), rng.normal(size=(8, 256, 2))
+    tracemalloc.start()
+    try:
+        made = quantised.query_tables(q, books)
+        peak = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    assert peak < 1.5 * made.nbytes
+    assert (made == np.einsum("qbd,bwd->qbw", np.pad(q, ((0, 0), (0, 1))).reshape(1000, 8, 2), books).astype(np.float32)).all()
+
+
+def test_best_rows_of_each_query_are_found_in_little_memory():
+    rng = np.random.default_rng(7)
+    q, ids, scores = rng.integers(0, 2000, 400_000), rng.permutation(400_000), np.round(rng.normal(size=400_000), 2)
+    tracemalloc.start()
+    try:
+        (a, b, c), full, least = quantised.best_of_each(q, ids, scores, 20)
+        peak = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    rows = pd.DataFrame({"q": q, "id": ids, "score": scores}).sort_values(["q", "score", "id"], ascending=[True, False, True])
+    rows = rows[rows.groupby("q").cumcount() < 20]
+    assert (a == rows["q"]).all() and (b == rows["id"]).all() and (c == rows["score"]).all()
+    assert (full == np.arange(2000)).all() and (least == rows.groupby("q")["score"].min()).all()
+    assert peak < 48 * len(q)
+    (a, b, c), full, least = quantised.best_of_each(np.array([3, 1, 3]), np.array(["x", "y", "w"], object), np.array([0.5, 1.0, 0.5]), 2)
+    assert (list(a), list(b), list(full), list(least)) == ([1, 3, 3], ["y", "w", "x"], [3], [0.5])
+
+
 def test_searches_in_blocks_and_with_awkward_rows(spark, monkeypatch):
     rng = np.random.default_rng(4)
     x = rng.normal(size=(300, 8))
